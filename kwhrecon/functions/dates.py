@@ -41,6 +41,10 @@ _DATE_REWRITES = [
 _CANONICAL = r"^(\d{4}-\d{1,2}-\d{1,2})$"
 
 
+def _g(s: Column, pattern: str, i: int) -> Column:
+    return F.regexp_extract(s, pattern, i)
+
+
 def parse_full_date(c) -> Column:
     """full date from mixed text; ``DateType`` or null.
 

@@ -13,6 +13,8 @@ from pyspark.sql.types import NumericType
 from kwhrecon.functions.text import as_text, col_of, strip
 
 MONEY = "decimal(18,2)"
+# Numeric inputs (rates such as the tariff) keep six decimals when summed.
+MEASURE = "decimal(24,6)"
 # Text that means "no number".
 NUMBER_NULL_TOKENS = ["", "-", "--", " - "]
 _PLAIN_NUMBER = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
@@ -32,7 +34,7 @@ def br_number(c, default=None, dtype=None) -> Column:
     c = col_of(c)
     dflt = F.lit(default).cast(MONEY)
     if dtype is not None and isinstance(dtype, NumericType):
-        return F.coalesce(c.cast(MONEY), dflt)
+        return F.coalesce(c.cast(MEASURE), dflt)
     raw = as_text(c)
     s = strip(raw)
     cleaned = F.when(s.contains(","), F.translate(F.translate(s, ".", ""), ",", ".")).otherwise(s)

@@ -137,7 +137,7 @@ def base_keys(base: DataFrame, uc: str = "uc", period: str = "period", alt: str
 
 def _charge_side(deduped: DataFrame) -> DataFrame:
     """Charge fields for the joins; identity columns stay on the base side."""
-    return deduped.select(*KEYS, *_present(deduped, CHARGE_FIELDS))
+    return deduped.select(*_present(deduped, KEYS), *_present(deduped, CHARGE_FIELDS))
 
 
 def primary_join(base_k: DataFrame, deduped: DataFrame, by_month: bool = True) -> DataFrame:
@@ -148,7 +148,7 @@ def primary_join(base_k: DataFrame, deduped: DataFrame, by_month: bool = True) -
     left = base_k.drop(*[c for c in CHARGE_FIELDS if c in base_k.columns])
     if by_month:
         return left.join(right, KEYS, "left")
-    right = right.drop("period_month")
+    right = right.drop("period_month") if "period_month" in right.columns else right
     return left.join(right, ["uc_key"], "left")
 
 
