@@ -271,3 +271,186 @@ consolidated AS (
 
 
 
+
+
+# ---------------------------------------------------------------- T2-T4 (reports)
+
+def bn(x: str) -> str:
+    return f"(CASE WHEN {strip(x)} <> '' THEN {x} END)"
+
+
+def period_parts(x: str) -> str:
+    p = f2(x)
+    return (f"(CASE WHEN regexp_matches({p}, '^\\d{{2}}-\\d{{4}}$') AND try_cast(substr({p}, 1, 2) AS INTEGER) "
+            f"BETWEEN 1 AND 12 THEN struct_pack(year := try_cast(substr({p}, 4, 4) AS INTEGER), "
+            f"month := try_cast(substr({p}, 1, 2) AS INTEGER)) END)")
+
+
+def periods_suffix(arr: str) -> str:
+    parts = f"list_sort(list_distinct(list_filter(list_transform({arr}, lambda p: {period_parts('p')}), lambda x: x IS NOT NULL)))"
+    return (f"coalesce(array_to_string(list_transform(list_distinct(list_transform({parts}, lambda x: x.year)), "
+            f"lambda y: array_to_string(list_transform(list_filter({parts}, lambda x: x.year = y), lambda x: {month_abbr('x.month')}), '_') "
+            f"|| '_' || CAST(y AS VARCHAR)), '_'), '')")
+
+
+def output_file_name(name: str, clients: str, periods: str) -> str:
+    raw = f"coalesce(nullif({txt(name)}, ''), 'Sem_Nome')"
+    n = f"coalesce(len({clients}), 0)"
+    base = sanitize_filename(f"(CASE WHEN {n} = 1 THEN {clients}[1] WHEN {n} > 1 THEN {clients}[1] || '_e_outros' "
+                             f"ELSE {raw} END)")
+    suffix = periods_suffix(periods)
+    generic = f"(CASE WHEN {suffix} = '' THEN {base} || '.xlsx' ELSE {base} || '_' || {suffix} || '.xlsx' END)"
+    return (f"(CASE WHEN regexp_matches({strip(raw)}, '^Grupo_\\d+$') THEN {generic} "
+            f"ELSE {sanitize_filename(raw)} || '.xlsx' END)")
+
+
+REPORT_NAMES = ["unit_id", "period", "uc", "account", "doc", "client", "distributor", "consumed_credit",
+                "contract_discount", "due_date", "status", "amount", "tariff", "cost_with_gd", "cost_without_gd",
+                "savings", "classification"]
+ABSENT = {"consumed_credit", "contract_discount", "cost_with_gd", "cost_without_gd"}
+
+
+def group_scope_ctes(with_periods: bool = True) -> str:
+    fname = output_file_name("group_name", "clients", "periods")
+    s = f"""grp AS (SELECT group_name, clients, periods, {fname} AS output_name FROM client_groups
+  WHERE len(clients) > 0 AND len(periods) > 0),
+gmembers AS (SELECT output_name, unnest(clients) AS client FROM grp),
+keyed AS (SELECT *, {doc_digits('doc')} AS dk FROM consolidated),
+by_client AS (SELECT k.*, m.output_name FROM keyed k JOIN gmembers m ON k.client = m.client),
+gdocs AS (SELECT DISTINCT output_name, dk FROM by_client WHERE dk <> ''),
+scope_all AS (SELECT k.*, d.output_name FROM keyed k JOIN gdocs d ON k.dk = d.dk WHERE k.dk <> ''
+  UNION ALL BY NAME SELECT * FROM by_client WHERE dk = '')"""
+    if with_periods:
+        s += f""",
+gmonths AS (SELECT DISTINCT output_name, {f5('p')} AS m FROM (SELECT output_name, unnest(periods) AS p FROM grp)
+  WHERE {f5('p')} <> ''),
+scope_p AS (SELECT s.* FROM scope_all s WHERE {f5('s.period')} <> ''
+  AND EXISTS (SELECT 1 FROM gmonths m WHERE m.output_name = s.output_name AND m.m = {f5('s.period')}))"""
+    return s
+
+
+def report_ctes(mode: str = "default", include_children: bool = True, sort_by: str = "savings",
+                only_pending: bool = False, split_audit: bool = False, multi_sheet: bool = False,
+                scope: str = "all", with_meta: bool = True, as_of: str = "1996-06-01",
+                incomplete: str = "all") -> str:
+    """The report as CTEs over ``t1_ctes()``; final CTEs ``grouped`` and ``report``."""
+    X = {"all": [], "by_month": ["output_period"], "by_group": ["output_name"]}[scope]
+    xk = "".join(k + ", " for k in X)
+    on_x = "".join(f" AND a.{k} = s.{k}" for k in X if k == "output_name")
+    if scope == "by_group":
+        scope_ctes = group_scope_ctes() + ",\nscope AS (SELECT * EXCLUDE (dk) FROM scope_p),\n" \
+                     "alias_scope AS (SELECT * EXCLUDE (dk) FROM scope_all)"
+        ax = "output_name, "
+    else:
+        scope_ctes = "scope AS (SELECT * FROM consolidated),\nalias_scope AS (SELECT * FROM consolidated)"
+        ax = ""
+    parts = [t1_ctes() + ",", scope_ctes + ","]
+    parts.append(f"""alias AS (SELECT {ax}alias_key, arg_min(alias_uc, struct_pack(s := src, r := row_id)) AS alias_uc
+  FROM (SELECT {ax}{uc_text('portal_uc')} AS alias_key, uc AS alias_uc, src, row_id FROM alias_scope)
+  WHERE alias_key IS NOT NULL AND alias_uc IS NOT NULL AND {contains_letter('alias_uc')} GROUP BY {ax}alias_key),
+work AS (SELECT s.*, coalesce({uc_text('s.portal_uc')}, a.alias_uc, {uc_text('s.uc')}) AS uc_final
+  FROM scope s LEFT JOIN alias a ON a.alias_key = {uc_text('s.uc')}{on_x}
+  WHERE s.charged_amount IS NOT NULL AND CAST(s.charged_amount AS DOUBLE) > 0),
+pref AS (SELECT *, NOT coalesce({lower_strip('source')} = 'fatura', false) AS p1,
+  NOT (account IS NOT NULL AND {strip('account')} <> '') AS p2, -{br('amount', 0, True)} AS p3
+  FROM work WHERE uc_final IS NOT NULL AND period IS NOT NULL),
+d4 AS (SELECT *, row_number() OVER (PARTITION BY {ax}uc_final, period ORDER BY p1, p2, p3, src, row_id) AS rn FROM pref),
+portal AS (SELECT * EXCLUDE (rn, uc, amount, uc_final), uc_final AS uc,
+  coalesce(CAST(charged_amount AS DOUBLE), 0.0) AS amount{', ' + f5('period') + ' AS output_period' if scope == 'by_month' else ''}
+  FROM d4 WHERE rn = 1),""")
+    if with_meta:
+        parts.append("""meta_last AS (SELECT uc AS m_uc, cost_center, tag FROM (SELECT *, row_number() OVER
+  (PARTITION BY uc ORDER BY seq DESC) AS rn FROM metadata) WHERE rn = 1),
+enriched AS (SELECT p.*, m.cost_center, m.tag FROM portal p LEFT JOIN meta_last m ON p.uc = m.m_uc),""")
+    else:
+        parts.append("enriched AS (SELECT * FROM portal),")
+    inc = {"all": "TRUE",
+           "complete_only": f"NOT (due_date IS NULL OR {lower_strip('due_date')} IN ('', 'nan', 'nat', 'none'))",
+           "incomplete_only": f"(due_date IS NULL OR {lower_strip('due_date')} IN ('', 'nan', 'nat', 'none'))"}[incomplete]
+    if sort_by == "savings":
+        kcols, korder = f"-{br('savings', 0)} AS k", "k"
+    elif sort_by == "client":
+        kcols, korder = "client IS NULL AS kn, client AS k", "kn, k"
+    else:
+        kcols, korder = "uc IS NULL AS kn, CAST(uc AS VARCHAR) AS k", "kn, k"
+    ordc = f"{korder}, p1, p2, p3, src, row_id"
+    parts.append(f"ordered AS (SELECT *, {kcols} FROM enriched WHERE {inc}),")
+    sums = [("amount", True), ("tariff", True), ("savings", False)]
+    parsed = ", ".join(f"CAST({br(c, None, num)} AS DOUBLE) AS {c}" for c, num in sums)
+    if mode == "none":
+        where = "" if include_children else f"WHERE coalesce(upper({strip('main_flag')}) = 'Y', false)"
+        parts.append(f"""grouped AS (SELECT * REPLACE ({parsed}), 'normal' AS row_kind, 1 AS kind_rank,
+  {classify()} AS classification FROM ordered {where}),""")
+    else:
+        if X:
+            hc = f"hc AS (SELECT {', '.join(X)}, bool_or({bn('commercial_id')} IS NOT NULL) AS has_ci FROM ordered GROUP BY {', '.join(X)}),"
+            hj = "LEFT JOIN hc USING (" + ", ".join(X) + ")"
+        else:
+            hc = f"hc AS (SELECT count(*) > 0 AS has_ci FROM ordered WHERE {bn('commercial_id')} IS NOT NULL),"
+            hj = "LEFT JOIN hc ON TRUE"
+        if mode == "distributor":
+            keys_sql, keys = f"{gkt('period')} AS g1, {gkt('distributor')} AS g2", ["g1", "g2"]
+            alt_sql = ""
+        elif mode == "cnpj":
+            keys_sql, keys = f"{gkt('period')} AS g1, {gkt('doc')} AS g2", ["g1", "g2"]
+            alt_sql = ""
+        else:
+            third = (f"coalesce(CAST(CASE WHEN has_ci THEN coalesce({bn('commercial_id')}, {bn('alt_uc')}, uc) "
+                     f"ELSE coalesce({bn('alt_uc')}, uc) END AS VARCHAR), 'N/A')")
+            keys_sql = f"{gkt('period')} AS g1, {gkt('client')} AS g2, {third} AS g3"
+            keys = ["g1", "g2", "g3"]
+            alt_sql = f", CASE WHEN has_ci THEN alt_uc ELSE coalesce({bn('alt_uc')}, uc) END AS alt_uc"
+        gk = X + keys
+        gks = ", ".join(gk)
+        san = ", ".join(f"{strip_suffix(c)} AS {c}" for c in ["uc", "alt_uc", "commercial_id", "account"])
+        marked = (f"bool_or(coalesce({strip('group_flag')} = 'Agrupamento', false) OR "
+                  f"coalesce(upper({strip('main_flag')}) = 'Y', false))")
+        q_expr = "s.n > 1 AND s.marked" if mode == "default" else "s.n > 1"
+        label = f"Consolidado ({mode.capitalize()})"
+        parent_class = ("CASE WHEN s.n_inv * 2 > s.n THEN 'Fatura' ELSE 'Regra de Negócio' END"
+                        if include_children else classify("f.source"))
+        child_where = "" if include_children else f"WHERE NOT ({q_expr})"
+        parts.append(f"""{hc}
+g0 AS (SELECT o.*, coalesce(hc.has_ci, false) AS has_ci FROM ordered o {hj}),
+g1s AS (SELECT * EXCLUDE (alt_uc){alt_sql or ', alt_uc'}, {keys_sql} FROM g0),
+g AS (SELECT * REPLACE ({san}) FROM g1s),
+stats AS (SELECT {gks}, count(*) AS n, {marked} AS marked, count_if({classify()} = 'Fatura') AS n_inv,
+  CAST(sum({br('amount', 0, True)}) AS DOUBLE) AS s_amount, CAST(sum({br('tariff', 0, True)}) AS DOUBLE) AS s_tariff,
+  CAST(sum({br('savings', 0)}) AS DOUBLE) AS s_savings FROM g GROUP BY {gks}),
+firsts AS (SELECT * EXCLUDE (rn) FROM (SELECT g.*, row_number() OVER (PARTITION BY {gks} ORDER BY {ordc}) AS rn FROM g) WHERE rn = 1),
+parents AS (SELECT f.* REPLACE ({q(label)} AS uc, s.s_amount AS amount, s.s_tariff AS tariff, s.s_savings AS savings),
+  'parent' AS row_kind, 0 AS kind_rank, {parent_class} AS classification
+  FROM firsts f JOIN stats s USING ({gks}) WHERE {q_expr}),
+members AS (SELECT g.* REPLACE ({parsed}), CASE WHEN {q_expr} THEN 'child' ELSE 'normal' END AS row_kind,
+  1 AS kind_rank, {classify('g.source')} AS classification FROM g JOIN stats s USING ({gks}) {child_where}),
+separators AS (SELECT {gks}, 'separator' AS row_kind, 2 AS kind_rank, 'Regra de Negócio' AS classification FROM stats),
+grouped AS (SELECT * FROM parents UNION ALL BY NAME SELECT * FROM members UNION ALL BY NAME SELECT * FROM separators),""")
+    proj = ", ".join(("CAST(NULL AS VARCHAR) AS " + c) if c in ABSENT else c for c in REPORT_NAMES
+                     if c not in ("status", "due_date", "period", "doc", "tariff", "account", "uc", "unit_id"))
+    extra = "cost_center, tag, " if with_meta else ""
+    pending = f"WHERE coalesce({lower_strip('status')} <> 'pago', true)" if only_pending else ""
+    s = "coalesce(lower(trim(status_raw, " + WS + ")), '')"
+    neg = f"(contains({s}, 'negociad') OR contains({s}, 'acordo'))"
+    paid = f"contains({s}, 'pago')"
+    sect = "(CASE WHEN row_kind = 'child' OR classification = 'Regra de Negócio' THEN 'Aud' ELSE 'Fin' END) || ' - '"
+    prefix = sect if split_audit else "''"
+    if multi_sheet:
+        sheet, sheet_where = f"{prefix} || CAST(distributor AS VARCHAR)", "WHERE distributor IS NOT NULL"
+    else:
+        sheet, sheet_where = f"{prefix} || 'Consolidado'", ""
+    parts.append(f"""paid AS (SELECT {xk}{proj}, {extra}row_kind, kind_rank,
+  CASE WHEN {neg} THEN 'Negociado' WHEN {paid} THEN 'Pago' WHEN {f1('due_raw')} < DATE '{as_of}' THEN 'Atrasado'
+       ELSE 'Em aberto' END AS status,
+  CASE WHEN NOT {neg} AND {paid} THEN '' END AS paid_date,
+  {f3('due_raw')} AS due_date,
+  CASE WHEN period_raw IS NULL THEN NULL ELSE {f4('period_raw')} END AS period,
+  {format_document('doc_raw')} AS doc,
+  CASE WHEN tariff_raw IS NOT NULL AND tariff_raw < 0 THEN 0.0 ELSE CAST(tariff_raw AS DOUBLE) END AS tariff,
+  trim(CAST(account_raw AS VARCHAR)) AS account, trim(CAST(uc_raw AS VARCHAR)) AS uc,
+  trim(CAST(unit_id_raw AS VARCHAR)) AS unit_id,
+  row_kind = 'parent' AS is_parent, row_kind = 'child' AS is_child, row_kind = 'separator' AS is_separator
+  FROM (SELECT *, status AS status_raw, due_date AS due_raw, period AS period_raw, doc AS doc_raw, tariff AS tariff_raw,
+        account AS account_raw, uc AS uc_raw, unit_id AS unit_id_raw FROM grouped)),
+pending AS (SELECT * REPLACE (trim(period) AS period) FROM paid {pending}),
+report AS (SELECT *, {sheet_title(sheet)} AS sheet FROM pending {sheet_where})""")
+    return "\n".join(parts)
