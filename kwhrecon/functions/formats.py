@@ -68,15 +68,25 @@ def period_token(c) -> Column:
 
 def periods_suffix(periods_array: Column) -> Column:
     """F26 over an ``array<string>``: distinct months sorted, grouped per year,
-    e.g. ``jan_fev_2026`` or ``dez_2025_jan_2026``; no valid month -> ''."""
+    e.g. ``jan_fev_2026`` or ``dez_2025_jan_2026``; no valid month -> ''.
+
+    One fold over the sorted (year, month) parts, so the month parser
+    appears once in the expression."""
     parts = F.array_sort(F.array_distinct(F.filter(F.transform(periods_array, period_parts),
                                                     lambda x: x.isNotNull())))
-    years = F.array_distinct(F.transform(parts, lambda x: x["year"]))
-    per_year = F.transform(years, lambda y: F.concat(
-        F.array_join(F.transform(F.filter(parts, lambda x: x["year"] == y),
-                                 lambda x: month_abbr(x["month"])), "_"),
-        F.lit("_"), y.cast("string")))
-    return F.coalesce(F.array_join(per_year, "_"), F.lit(""))
+    init = F.struct(F.lit(None).cast("int").alias("y"), F.lit("").alias("s"))
+
+    def merge(acc, x):
+        m = month_abbr(x["month"])
+        return (F.when(acc["y"].isNull(), F.struct(x["year"].alias("y"), m.alias("s")))
+                .when(acc["y"] == x["year"], F.struct(acc["y"].alias("y"), F.concat(acc["s"], F.lit("_"), m).alias("s")))
+                .otherwise(F.struct(x["year"].alias("y"), F.concat(acc["s"], F.lit("_"), acc["y"].cast("string"),
+                                                                   F.lit("_"), m).alias("s"))))
+
+    def finish(acc):
+        return F.when(acc["y"].isNull(), F.lit("")).otherwise(F.concat(acc["s"], F.lit("_"), acc["y"].cast("string")))
+
+    return F.coalesce(F.aggregate(parts, init, merge, finish), F.lit(""))
 
 
 def strip_period_signature(c) -> Column:

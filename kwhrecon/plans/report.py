@@ -26,6 +26,7 @@ from kwhrecon.operators import grouping as G
 from kwhrecon.operators import layout as L
 from kwhrecon.operators import payment as C
 from kwhrecon.operators import portal as J
+from kwhrecon.session import checkpoint_dir
 
 SORT_SAVINGS = "Economia Gerada (Desc)"
 SORT_CLIENT = "Razão Social"
@@ -43,6 +44,9 @@ class ReportOptions:
     split_audit: bool = False
     sort_by: str = SORT_SAVINGS
     as_of: object = None
+    # materialise the restricted, enriched scope in the shared checkpoint
+    # folder: grouping reads it three times (facts, members, separators)
+    checkpoint: bool = True
     extra: dict = field(default_factory=dict)
 
     def mode(self) -> str:
@@ -69,6 +73,9 @@ def report_order(df: DataFrame, sort_by: str) -> Column:
 
 def _finish(work: DataFrame, opts: ReportOptions, extra_cols, extra_keys) -> DataFrame:
     work = P.completeness_filter(work, opts.incomplete_filter)
+    if opts.checkpoint:
+        checkpoint_dir(work.sparkSession)
+        work = work.checkpoint(eager=True)
     work = work.withColumn("ord", report_order(work, opts.sort_by))
     grouped = G.apply_grouping(work, opts.mode(), opts.include_child_rows, extra_keys=extra_keys)
     proj = L.report_projection(grouped, extra_cols, keep=list(extra_keys))
