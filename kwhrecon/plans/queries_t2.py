@@ -312,3 +312,33 @@ def zip_names(spark, sf):
 
 
 _ = uc_text  # re-exported for callers building custom scopes
+
+
+# ------------------------------------------------------------------ header scan (rows-only)
+
+def export_with_junk(base, path: str, files: int = 4) -> None:
+    """Write the base table as ``;``-separated exports, ``files`` of them,
+    each with junk lines above its header line (the layout S2 must find)."""
+    cols = ["uc", "doc", "client", "period", "distributor"]
+    header = ";".join(["No. UC", "CPF/CNPJ", "Razao Social", "Referencia", "Distribuidora"])
+    body = base.select(F.pmod(F.col("row_id"), F.lit(files)).alias("f"), F.lit(2).alias("o"),
+                       F.col("row_id").alias("r"),
+                       F.concat_ws(";", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("value"))
+    spark = base.sparkSession
+    top = spark.range(files).select(F.col("id").cast("int").alias("f"), F.explode(F.array(
+        F.struct(F.lit(0).alias("o"), F.lit(0).cast("long").alias("r"), F.lit("Balanco Operacional").alias("value")),
+        F.struct(F.lit(0).alias("o"), F.lit(1).cast("long").alias("r"), F.lit(";;;").alias("value")),
+        F.struct(F.lit(1).alias("o"), F.lit(0).cast("long").alias("r"), F.lit(header).alias("value")))).alias("x")) \
+        .select("f", "x.o", "x.r", "x.value")
+    lines = body.unionByName(top).repartition(files, "f").sortWithinPartitions("f", "o", "r")
+    lines.select("value").write.mode("overwrite").text(path)
+
+
+@register("header_scan")
+def header_scan(spark, sf):
+    from kwhrecon.session import scratch_path
+    from kwhrecon.sources.readers import read_with_header
+    import uuid
+    path = scratch_path(spark, f"exports-{uuid.uuid4().hex}")
+    export_with_junk(T.base(spark, sf), path)
+    return read_with_header(spark, path).select("file", "line_no", F.col("cells")[0].alias("uc"))
