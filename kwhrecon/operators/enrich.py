@@ -89,3 +89,8 @@ def group_clients(groups: DataFrame, name: str | None = None) -> DataFrame:
     """Saved group(s) -> one row per (group, client)."""
     g = groups if name is None else groups.filter(F.col("group_name") == name)
     return g.select("group_name", F.explode("clients").alias("client"))
+
+
+def profile_names(primary: DataFrame, local: DataFrame, profile: str = "profile") -> DataFrame:
+    """U4: profile names of both stores, distinct, sorted."""
+    return primary.select(profile).union(local.select(profile)).distinct().orderBy(profile)

@@ -331,7 +331,8 @@ def export_with_junk(base, path: str, files: int = 4) -> None:
         F.struct(F.lit(1).alias("o"), F.lit(0).cast("long").alias("r"), F.lit(header).alias("value")))).alias("x")) \
         .select("f", "x.o", "x.r", "x.value")
     lines = body.unionByName(top).repartition(files, "f").sortWithinPartitions("f", "o", "r")
-    lines.select("value").write.mode("overwrite").text(path)
+    # one folder per export: a task never mixes two exports in one file
+    lines.select("value", "f").write.mode("overwrite").partitionBy("f").text(path)
 
 
 @register("header_scan")
