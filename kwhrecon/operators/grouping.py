@@ -1,11 +1,11 @@
 """Invoice grouping into parent / child / separator rows.
 
-Plan: one ``groupBy`` over the group keys computes size, flags, the first
-row (``min_by`` on the report order), the parsed sums and the first
-appearance of the group -- partial aggregation makes a hot group cheap.
-Parents come from that aggregate, separators too; members are the original
-rows joined to the per-group facts (AQE splits a skewed group). Nothing is
-collected per group. Layout order = (group first appearance, kind rank,
+Plan: one ``groupBy`` over the group keys computes size, flags, the parsed
+sums and the first appearance of the group (minimum report order) --
+partial aggregation makes a hot group cheap. Members are the original rows
+joined to those per-group facts (AQE splits a skewed group); the parent is
+the member whose order equals its group's minimum, with the sums put in;
+separators come from the aggregate. Nothing is collected per group. Layout order = (group first appearance, kind rank,
 row order), applied by ``layout_order`` with a range-partitioned sort.
 """
 
@@ -113,7 +113,6 @@ def apply_grouping(df: DataFrame, mode: str = "default", include_child_rows: boo
     g = g.drop("_has_ci") if "_has_ci" in g.columns else g
     keys = extra_keys + keys
     g = g.withColumns({c: strip_decimal_suffix(c) for c in ID_COLUMNS if c in g.columns})
-    payload = [c for c in g.columns if c not in keys]
     flag = F.coalesce(strip("group_flag") == GROUP_FLAG_VALUE, F.lit(False)) \
         if "group_flag" in g.columns else F.lit(False)
     main = is_main() if "main_flag" in g.columns else F.lit(False)
@@ -122,29 +121,29 @@ def apply_grouping(df: DataFrame, mode: str = "default", include_child_rows: boo
         F.max(flag | main).alias("_marked"),
         F.count_if(classify() == LABEL_INVOICE).alias("_n_invoice"),
         F.min(order).alias("group_ord"),
-        F.min_by(F.struct(*payload), order).alias("_first"),
         *[F.sum(br_number(c, 0, dtype=types[c])).cast("double").alias("_sum_" + c) for c in sum_cols],
     )
     qualifies = (F.col("_n") > 1) & (F.col("_marked") if mode == "default" else F.lit(True))
-    stats = stats.withColumn("_q", qualifies)
     majority = F.when(F.col("_n_invoice") * 2 > F.col("_n"), F.lit(LABEL_INVOICE)).otherwise(F.lit(LABEL_RULE))
-    parents = stats.filter("_q").select(*keys, "group_ord", "_first.*", *["_sum_" + c for c in sum_cols],
-                                        majority.alias("_majority"))
-    parents = parents.withColumns({
+    stats = stats.withColumns({"_q": qualifies, "_majority": majority})
+    facts = stats.select(*keys, "_q", "group_ord", "_majority", *["_sum_" + c for c in sum_cols])
+    # every row with its group's facts; the parent is the group's first row
+    # (the one whose order equals the group's minimum), so no wide struct
+    # has to travel through the aggregate
+    joined = g.join(facts, keys)
+    helper = ["_q", "_majority", *["_sum_" + c for c in sum_cols]]
+    parents = joined.filter(F.col("_q") & (F.col(order) == F.col("group_ord"))).withColumns({
         "uc": group_label(mode),
         **{c: F.col("_sum_" + c) for c in sum_cols},
         "row_kind": F.lit("parent"), "kind_rank": F.lit(0),
         "classification": F.col("_majority") if include_child_rows else classify(),
-    }).drop("_majority", *["_sum_" + c for c in sum_cols])
-    facts = stats.select(*keys, "_q", "group_ord")
-    members = g.join(facts, keys)
-    if not include_child_rows:
-        members = members.filter(~F.col("_q"))
+    }).drop(*helper)
+    members = joined if include_child_rows else joined.filter(~F.col("_q"))
     members = members.withColumns({
         **{c: br_number(c, dtype=types[c]).cast("double") for c in sum_cols},
         "row_kind": F.when(F.col("_q"), F.lit("child")).otherwise(F.lit("normal")),
         "kind_rank": F.lit(1), "classification": classify(),
-    }).drop("_q")
+    }).drop(*helper)
     separators = stats.select(*keys, "group_ord", F.lit("separator").alias("row_kind"),
                               F.lit(2).alias("kind_rank"), F.lit(LABEL_RULE).alias("classification"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [parents, members, separators])
