@@ -147,7 +147,14 @@ def primary_join(base_k: DataFrame, deduped: DataFrame, by_month: bool = True) -
     right = _charge_side(deduped)
     left = base_k.drop(*[c for c in CHARGE_FIELDS if c in base_k.columns])
     if by_month:
-        return left.join(right, KEYS, "left")
+        # rows without a valid month cannot match; a unique probe key keeps
+        # them from hashing into one reducer (charge keys are digits only)
+        probe = F.when(F.col("period_month").isNotNull(), F.col("uc_key")).otherwise(
+            F.concat(F.lit("#"), F.col("src").cast("string"), F.lit(":"), F.col("row_id").cast("string")))
+        left = left.withColumn("_probe", probe)
+        r = right.withColumnRenamed("uc_key", "_probe").withColumnRenamed("period_month", "_r_month")
+        out = left.join(r, (left["_probe"] == r["_probe"]) & (left["period_month"] == r["_r_month"]), "left")
+        return out.drop(r["_probe"]).drop(left["_probe"]).drop("_r_month")
     right = right.drop("period_month") if "period_month" in right.columns else right
     return left.join(right, ["uc_key"], "left")
 
@@ -292,7 +299,9 @@ def gap_rows(consolidated: DataFrame, unit_keys: DataFrame) -> DataFrame:
     """Rows without a due date, typed: unit in no charge at all, or
     only the month is missing."""
     gaps = consolidated.filter(F.col("due_date").isNull())
-    gaps = gaps.join(unit_keys, "uc_key", "left")
+    # appended rows have no unit key: they never match, so they skip the join
+    keyed = gaps.filter(F.col("uc_key").isNotNull()).join(unit_keys, "uc_key", "left")
+    gaps = keyed.unionByName(gaps.filter(F.col("uc_key").isNull()).withColumn("_in_charges", F.lit(None).cast("boolean")))
     return gaps.withColumn(
         "gap_type", F.when(F.col("_in_charges").isNull(), F.lit(GAP_ABSENT)).otherwise(F.lit(GAP_PERIOD))
     ).drop("_in_charges")

@@ -82,3 +82,15 @@ def test_incremental_refresh_matches_full(spark):
     key = ["src", "row_id", "due_date"]
     assert sorted(tuple(r) for r in got.select(*key).collect()) == \
         sorted(tuple(r) for r in full.filter(F.col("period_month").isNotNull()).select(*key).collect())
+
+
+def test_write_report_partitions(spark):
+    from kwhrecon.plans import report as RP
+    d = scratch()
+    cons = consolidate(T.base(spark, SF), T.charges(spark, SF)).consolidated
+    rep = RP.generate(cons, [], [], None, RP.ReportOptions(as_of="1996-06-01", grouping_mode="distributor",
+                                                            presentation="Separadores Múltiplos"))
+    K.write_report(rep, os.path.join(d, "out"), by=("sheet",))
+    back = spark.read.option("header", True).csv(os.path.join(d, "out"))
+    assert back.count() == rep.count()
+    assert back.select("sheet").distinct().count() == rep.select("sheet").distinct().count()
