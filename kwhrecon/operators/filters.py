@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kwhrecon.functions.dates import normalize_period_value
+from kwhrecon.functions.dates import normalize_period_value, period_month
 from kwhrecon.functions.formats import search_normalize
 from kwhrecon.functions.keys import doc_digits
 from kwhrecon.functions.text import as_text, col_of, is_blank, lower_strip, strip
@@ -42,7 +42,14 @@ def period_scope(df: DataFrame, periods, period: str = "period") -> DataFrame:
         return df
     wanted = [normalize_period_value(F.lit(p)) for p in periods]
     norm = normalize_period_value(period)
-    return df.filter((norm != "") & norm.isin(*wanted))
+    out = df.filter((norm != "") & norm.isin(*wanted))
+    if "period_month" in df.columns:
+        # superset on the partition column (constant-folded): the requested
+        # valid months, or null for rows whose month text is not a valid
+        # month -- lets a month-partitioned table skip the other partitions
+        months = [period_month(F.lit(p)) for p in periods]
+        out = out.filter(F.col("period_month").isNull() | F.col("period_month").isin(*months))
+    return out
 
 
 def filter_scope(df: DataFrame, clients, periods, client: str = "client",

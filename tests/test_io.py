@@ -94,3 +94,16 @@ def test_write_report_partitions(spark):
     back = spark.read.option("header", True).csv(os.path.join(d, "out"))
     assert back.count() == rep.count()
     assert back.select("sheet").distinct().count() == rep.select("sheet").distinct().count()
+
+
+def test_month_filter_prunes_partitions(spark):
+    from kwhrecon.operators.filters import period_scope
+    d = scratch()
+    cons = consolidate(T.base(spark, SF), T.charges(spark, SF)).consolidated
+    from kwhrecon.sources.sinks import write_consolidated
+    write_consolidated(cons, os.path.join(d, "cons"))
+    table = spark.read.parquet(os.path.join(d, "cons"))
+    scoped = period_scope(table, ["01/1997", "1997-02", "13/1997"])
+    plan = scoped._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "period_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert scoped.count() == period_scope(cons, ["01/1997", "1997-02", "13/1997"]).count()
