@@ -12,14 +12,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from kwhrecon.plans.consolidate import Consolidation, consolidate
-from kwhrecon.session import checkpoint_dir
+from kwhrecon.session import checkpoint_dir, session_key
 from kwhrecon.sources import fixtures as X
 
 _MEMO: dict = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str):
-    return (id(spark.sparkContext), os.path.abspath(sf_dir), name)
+    return (session_key(spark), os.path.abspath(sf_dir), name)
 
 
 def base(spark, sf_dir) -> DataFrame:

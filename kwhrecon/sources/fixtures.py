@@ -125,10 +125,15 @@ def spread(df: DataFrame, key=None) -> DataFrame:
     session and ``key``.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no local SparkContext: leave the scan as it is
         return df
-    memo = (id(spark.sparkContext), key) if key is not None else None
+    if parts >= cores:
+        return df
+    from kwhrecon.session import session_key
+    memo = (session_key(spark), key) if key is not None else None
     if memo is not None and memo in _SPREAD:
         return _SPREAD[memo]
     from kwhrecon.session import checkpoint_dir
