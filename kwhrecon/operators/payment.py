@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kwhrecon.functions.dates import NOT_AVAILABLE, format_full_date, format_reference_period, parse_full_date
+from kwhrecon.functions.dates import NOT_AVAILABLE, format_reference_period, parse_full_date
 from kwhrecon.functions.text import lower_strip
 
 # The four payment states and the text that means "no payment date".
@@ -35,7 +35,9 @@ def payment_rules(df: DataFrame, as_of=None, status: str = "status", due: str =
     date before ``as_of`` (today when not given); the payment date is kept
     (``dd-MM-yyyy``, or '' when paid without one) only for paid rows."""
     s = F.coalesce(lower_strip(status), F.lit("")) if status in df.columns else F.lit("")
-    due_d = parse_full_date(due) if due in df.columns else F.lit(None).cast("date")
+    # parse the due date once; status and output text both read the column
+    df = df.withColumn("_due_d", parse_full_date(due) if due in df.columns else F.lit(None).cast("date"))
+    due_d = F.col("_due_d")
     if paid in df.columns:
         paid_d = F.when(~F.coalesce(lower_strip(paid).isin(NO_PAYMENT_TOKENS), F.lit(False)),
                         parse_full_date(paid))
@@ -47,11 +49,11 @@ def payment_rules(df: DataFrame, as_of=None, status: str = "status", due: str =
                   .when(due_d < _as_date(as_of), F.lit(LATE)).otherwise(F.lit(OPEN)))
     new_paid = F.when(~negotiated & is_paid, F.coalesce(F.date_format(paid_d, "dd-MM-yyyy"), F.lit("")))
     cols = {status: new_status, paid: new_paid,
-            due: format_full_date(due) if due in df.columns else F.lit(NOT_AVAILABLE)}
+            due: F.coalesce(F.date_format(due_d, "dd-MM-yyyy"), F.lit(NOT_AVAILABLE))}
     if period in df.columns:
         cols[period] = F.when(F.col(period).isNull(), F.lit(None).cast("string")) \
             .otherwise(format_reference_period(period))
-    return df.withColumns(cols)
+    return df.withColumns(cols).drop("_due_d")
 
 
 def payment_violations(df: DataFrame, status: str = "status", due: str = "due_date") -> DataFrame:

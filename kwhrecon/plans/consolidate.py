@@ -24,6 +24,7 @@ class Consolidation:
     gaps: DataFrame
     charges_keyed: DataFrame
     deduped: DataFrame
+    unit_keys: DataFrame | None = None
 
 
 def consolidate(base: DataFrame, charges: DataFrame | None, *, strict_br: bool = False,
@@ -63,7 +64,7 @@ def consolidate(base: DataFrame, charges: DataFrame | None, *, strict_br: bool =
     cons = R.finalize_columns(joined)
     unit_keys = per_key.select("uc_key").distinct().withColumn("_in_charges", F.lit(True))
     gaps = R.gap_rows(cons, unit_keys)
-    return Consolidation(cons, gaps, ch_all, deduped)
+    return Consolidation(cons, gaps, ch_all, deduped, unit_keys)
 
 
 def gap_report_items(gaps: DataFrame) -> DataFrame:

@@ -352,3 +352,10 @@ def type_inference(spark, sf):
 @register("table_profile")
 def table_profile(spark, sf):
     return S.table_profile(T.base(spark, sf))
+
+
+@register("head_rows", f"""{W} SELECT row_id, uc, period, client FROM base ORDER BY row_id LIMIT 20""")
+def head_rows(spark, sf):
+    """The first rows of a table in its row order (inspection sample;
+    the limit is the feature -- a top-n, evaluated as TakeOrdered)."""
+    return T.base(spark, sf).orderBy("row_id").limit(20).select("row_id", "uc", "period", "client")

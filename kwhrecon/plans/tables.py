@@ -44,7 +44,7 @@ def consolidation(spark: SparkSession, sf_dir: str) -> Consolidation:
         res = consolidate(base(spark, sf_dir), charges(spark, sf_dir))
         checkpoint_dir(spark)
         cons = res.consolidated.checkpoint(eager=True)
-        _MEMO[k] = Consolidation(cons, res.gaps, res.charges_keyed, res.deduped)
+        _MEMO[k] = Consolidation(cons, res.gaps, res.charges_keyed, res.deduped, res.unit_keys)
     return _MEMO[k]
 
 

@@ -107,3 +107,22 @@ def test_month_filter_prunes_partitions(spark):
     plan = scoped._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "period_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert scoped.count() == period_scope(cons, ["01/1997", "1997-02", "13/1997"]).count()
+
+
+def test_profile_sinks(spark):
+    from kwhrecon.operators import enrich as E
+    d = scratch()
+    p1 = spark.createDataFrame([("1", "A"), ("2", "B")], "uc string, cost_center string")
+    K.save_profile(p1, os.path.join(d, "profiles"), "alpha")
+    K.save_profile(p1.limit(1), os.path.join(d, "profiles"), "beta")
+    K.save_profile(spark.createDataFrame([("9", "Z")], "uc string, cost_center string"), os.path.join(d, "profiles"), "alpha")
+    back = spark.read.parquet(os.path.join(d, "profiles"))
+    assert sorted((r.profile, r.uc) for r in back.collect()) == [("alpha", "9"), ("beta", "1")]
+    upd = spark.createDataFrame([("2", None, "t"), ("3", "C", None)], "uc string, cost_center string, tag string")
+    K.merge_write(p1, upd, os.path.join(d, "merged"))
+    m = {r.uc: r for r in spark.read.parquet(os.path.join(d, "merged")).collect()}
+    assert m["2"].cost_center == "B" and m["2"].tag == "t" and m["3"].cost_center == "C"
+    K.delete_write(p1, spark.createDataFrame([("1",)], "uc string"), os.path.join(d, "deleted"))
+    assert [r.uc for r in spark.read.parquet(os.path.join(d, "deleted")).collect()] == ["2"]
+    names = E.profile_names(back.select("profile"), spark.createDataFrame([("gamma",), ("alpha",)], "profile string"))
+    assert [r.profile for r in names.collect()] == ["alpha", "beta", "gamma"]
