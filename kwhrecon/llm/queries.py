@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import lattice, topk
+from . import bpe, langid, lattice, quality, topk
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
+    "op2_bpe_round_trip": bpe.query,
     "op7_embedding_near_dedup": lattice.query,
     "op8_exact_top_k": topk.query,
+    "op10_language_id": langid.query,
 }
 
 SQL = {
