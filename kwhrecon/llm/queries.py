@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, edits, langid, lattice, licences, mixing, quality, topk
+from . import bpe, edits, langid, lattice, licences, minhash, mixing, quality, topk
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_bpe_round_trip": bpe.query,
     "op4_soft_mixing": mixing.query,
     "op5_edit_counts": edits.query,
+    "op6_minhash_near_dedup": minhash.query,
     "op7_embedding_near_dedup": lattice.query,
     "op8_exact_top_k": topk.query,
     "op9_license_scan": licences.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_minhash_near_dedup": minhash.SQL,
     "op7_embedding_near_dedup": lattice.SQL,
     "op8_exact_top_k": topk.SQL,
     "op9_license_scan": licences.SQL,
