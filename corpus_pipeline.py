@@ -7,9 +7,49 @@ stage's documents. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from kwhrecon.llm import common
+from pyspark.sql import functions as F
 
-STAGES = []
+from kwhrecon.llm import bpe, common, langid, minhash, mixing, substrings
+
+#: The mix's target weights, its size against its input, and the least rate: every document stays at least once.
+TARGETS, GROWTH, LEAST = {"clean": 0.8, "low": 0.1, "toxic": 0.1}, 1.25, 1.0
+
+
+def language_id(spark, docs, sf_dir):
+    """Drops documents without a language (no text, no letters) or with none that prevails."""
+    return langid.accepted(docs, langid.learn(langid.learning_rows(docs)))
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Keeps the least document of each group of near copies."""
+    kept = common.stored(minhash.near_dedup(docs).where("kept").select("doc_id").distinct())
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def substring_dedup(spark, docs, sf_dir):
+    """Cuts out repeated passages; a document that consists of them alone goes."""
+    return substrings.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix(spark, docs, sf_dir):
+    """Repeats documents by the rates that bring the labelled domains to their target weights."""
+    labels = mixing.domains(common.read(spark, sf_dir, "labels"))
+    _, model, residuals = mixing.mix(docs, labels, TARGETS, LEAST, GROWTH)
+    return mixing.mixed(docs, model, residuals, LEAST)
+
+
+def bpe_round_trip(spark, docs, sf_dir):
+    """Tokens of what is left, and the digest of its decoded text."""
+    return bpe.encode_decode(docs, bpe.default_path())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("soft_mixing", mix),
+    ("bpe_round_trip", bpe_round_trip),
+]
 
 #: SQL can't express the language model or the tokenizer; tests compare with brute force.
 ORACLE_SQL = None

@@ -181,6 +181,19 @@ def identify(documents: DataFrame, model: dict) -> DataFrame:
                        ["doc_id", "text"], model)
 
 
+def accepted(documents: DataFrame, model: dict, least: float = 1 / 3) -> DataFrame:
+    """The rows, with all of their columns, whose text has a language with at least the given score."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = _predict(batch.column("doc_id"), batch.column("text"), model)
+                good = [lang != "und" and score >= least for lang, score in zip(found["lang_pred"].to_pylist(), found["score"].to_pylist())]
+                yield batch.filter(pa.array(good))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def spans(documents: DataFrame, model: dict) -> DataFrame:
     """(doc_id, first_word, last_word, lang): the labelled spans; words are runs of letters, from 0."""
 

@@ -19,8 +19,9 @@ source with any share of the rows costs nothing extra.
 
 Edge cases: null and empty texts have no tokens; they keep their rate but add
 nothing. Documents labelled twice with different domains teach neither. Domains
-without labels get no posterior; a target for one is refused. Without any
-documents the rates are an empty table. Repeated rows are rows of their own.
+without labels get no posterior, and their targets are left out. Without any
+label every rate is 1. An empty table gives no rows. Repeated rows are rows of
+their own, and extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .common import read, stored
 
 SAMPLE, BINS, WORDS, LIFT, STEPS, EXACT = 1000, 12, 64, 4.0, 60, 1e-6
 
-#: Target weights of the registered query and of the pipeline.
+#: Target weights of the registered query.
 TARGETS = {"clean": 0.8, "low": 0.1, "toxic": 0.1}
 
 #: Characters whose share in a text is a feature.
@@ -133,9 +134,10 @@ def fit(rows: DataFrame, names: list[str], targets: dict[str, float], least: flo
     The mix has ``growth`` times the tokens of the input. A ``least`` above 0 may
     keep a total above its target; the others are then met as well as can be.
     """
-    if missing := sorted(set(targets) - set(names)):
-        raise ValueError(f"targets for domains without labels: {missing}")
-    weight = [targets.get(d, 0.0) / sum(targets.values()) for d in names]
+    weight = [targets.get(d, 0.0) for d in names]
+    if not sum(weight):
+        return [], [], []
+    weight = [w / sum(weight) for w in weight]
     totals = lambda rate: [float(x or 0.0) for x in rows.agg(
         *[F.sum(F.col("_tokens") * rate * F.col("_p")[i]) for i in range(len(names))]).first()]
     natural = totals(F.lit(1.0))
@@ -160,7 +162,9 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], le
     """((doc_id, domain, posterior, n_tokens, rate), model, residuals of the steps)."""
     model = learn(documents, labelled)
     if not model["names"]:
-        raise ValueError("no labelled rows to learn domains from")
+        tokens = features(documents.select("doc_id", "text"))
+        return tokens.select("doc_id", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"),
+                             F.col("_tokens").alias("n_tokens"), F.lit(1.0).alias("rate")), model, []
     rows = stored(posteriors(documents.select("doc_id", "text"), model).drop("text"))
     residuals, _, _ = fit(rows, model["names"], targets, least, growth)
     best = F.array_max("_p")
@@ -172,11 +176,13 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], le
 
 def mixed(documents: DataFrame, model: dict, residuals: list[list[float]], least: float) -> DataFrame:
     """The documents, each as often as its rate says: the whole part, and one more for a hash below the rest."""
-    columns = documents.columns
-    rows = posteriors(documents, model).withColumn("_rate", rate_of(residuals, least))
+    if not model["names"]:
+        return documents
+    packed = documents.select("doc_id", "text", F.struct("*").alias("_row"))
+    rows = posteriors(packed, model).withColumn("_rate", rate_of(residuals, least))
     lot = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20).cast("long")) / float(1 << 20)
     copies = F.floor("_rate") + (lot < F.col("_rate") - F.floor("_rate")).cast("long")
-    return (rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*columns))
+    return (rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("_row.*"))
 
 
 def domains(labels: DataFrame) -> DataFrame:

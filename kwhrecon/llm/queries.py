@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, edits, langid, lattice, licences, minhash, mixing, quality, topk
+from . import bpe, edits, langid, lattice, licences, minhash, mixing, quality, substrings, topk
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_bpe_round_trip": bpe.query,
+    "op3_substring_dedup": substrings.query,
     "op4_soft_mixing": mixing.query,
     "op5_edit_counts": edits.query,
     "op6_minhash_near_dedup": minhash.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_substring_dedup": substrings.SQL,
     "op6_minhash_near_dedup": minhash.SQL,
     "op7_embedding_near_dedup": lattice.SQL,
     "op8_exact_top_k": topk.SQL,
