@@ -3,7 +3,7 @@
 A text is the bag of its words, doubled words and character n-grams, hashed into
 ``BUCKETS`` learned vectors; the document vector is their mean and a softmax
 layer gives the class. Training is plain stochastic gradient descent in numpy
-over a bounded sample: of each class at most ``SAMPLE`` labelled documents, the
+(about ``STEPS`` steps) over a bounded sample: of each class at most ``SAMPLE`` labelled documents, the
 first by a hash of their id. Executors turn the sample into hashed counts, so
 the driver sees numbers only, at most 2 * ``SAMPLE`` * ``BUCKETS`` of them.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import by_document, read, with_hash_class
 
-BUCKETS, DIM, GRAMS, SAMPLE, EPOCHS, RATE, PART = 1 << 17, 16, (2, 3), 1500, 5, 0.1, 1 << 20
+BUCKETS, DIM, GRAMS, SAMPLE, STEPS, RATE, PART = 1 << 17, 16, (2, 3), 1500, 15_000, 0.1, 1 << 20
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -87,14 +87,15 @@ def _bags(ids: pa.Array, texts: pa.Array, labels: pa.Array) -> dict:
     return {"doc_id": ids, "label": labels, "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(counts, pa.list_(pa.int32()))}
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
+def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, float]:
     """Per-bucket margin and bias, from (label, buckets, counts) by stochastic gradient descent."""
     rng = np.random.default_rng(7)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    if len({y for y, _, _ in bags}) < 2:
-        return np.zeros(BUCKETS, np.float32), 0.0
     share = [(y, at, (n / n.sum()).astype(np.float32)) for y, at, n in bags if len(at)]
+    if len({y for y, _, _ in share}) < 2:
+        return np.zeros(BUCKETS, np.float32), 0.0
+    epochs = -(-steps // len(share))
     total, done = epochs * len(share), 0
     for _ in range(epochs):
         for i in rng.permutation(len(share)):
