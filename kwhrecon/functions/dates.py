@@ -27,6 +27,7 @@ _NOT_MONTH = r"(1[3-9]|[2-9]\d)"
 _YY20 = r"([0-5]\d|6[0-8])"
 _YY19 = r"(69|[7-9]\d)"
 _DATE_REWRITES = [
+    (rf"^(\d{{4}}){_SEP}(\d{{1,2}})$", "$1-$2-1"),
     (rf"^(\d{{1,2}}){_SEP}(\d{{4}})$", "$2-$1-1"),
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
     (r"^([0-9./-]+)[ T].*$", "$1"),
@@ -39,18 +40,27 @@ _DATE_REWRITES = [
     (rf"^(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}{_YY19}$", "19$3-$2-$1"),
 ]
 _CANONICAL = r"^(\d{4}-\d{1,2}-\d{1,2})$"
+# An optional day, an English month name or its first letters, and a year.
+_NAMED = r"^(?:(\d{1,2})[-/. ]+)?([A-Za-z]{3})[A-Za-z]*[-/., ]+(\d{4})$"
 
 
 def _g(s: Column, pattern: str, i: int) -> Column:
     return F.regexp_extract(s, pattern, i)
 
 
+def _named_date(s: Column) -> Column:
+    """``10 Feb 2026`` or ``Jan-2026`` (first of the month); null for other words."""
+    day_first = F.regexp_replace(F.initcap(F.regexp_replace(s, _NAMED, "$1 $2 $3")), "^ ", "1 ")
+    return F.try_to_timestamp(day_first, F.lit("d MMM yyyy")).cast("date")
+
+
 def parse_full_date(c) -> Column:
     """full date from mixed text; ``DateType`` or null.
 
     Accepted: year-first ``yyyy-M-d`` (separators ``-/.``), day-first
     ``d/M/yyyy`` (month-first when the middle part is 13 or more), the same
-    with two-digit years, ``M/yyyy`` (first of the month), ``yyyyMMdd``.
+    with two-digit years, ``M/yyyy`` and ``yyyy/M`` (first of the month),
+    ``yyyyMMdd``, and English month names (``10 Feb 2026``, ``Jan-2026``).
     Null tokens, junk and impossible dates give null. One linear chain of
     rewrites and a single ``try_cast`` keep the generated code small.
     """
@@ -61,22 +71,15 @@ def parse_full_date(c) -> Column:
     first = F.substring(s, 1, 1)
     day_first = lambda a, b: F.concat(F.substring(s, 7, 4), F.lit("-"), F.substring(s, a, 2),
                                       F.lit("-"), F.substring(s, b, 2)).try_cast("date")
-    # fast paths: nothing that starts without a digit is a date; ISO and
-    # dd/mm/yyyy need one pattern test; the rewrite chain handles the rest
-    return (F.when(~first.between("0", "9") | first.isNull(), F.lit(None).cast("date"))
-            .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s.try_cast("date"))
+    # fast paths: ISO and dd/mm/yyyy need one pattern test; without month names
+    # nothing that starts without a digit is a date; the rewrite chain handles the rest
+    return (F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s.try_cast("date"))
             .when(s.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.coalesce(day_first(4, 1), day_first(1, 4)))
+            .when(s.rlike(_NAMED), _named_date(s))
+            .when(~first.between("0", "9") | first.isNull(), F.lit(None).cast("date"))
             .otherwise(F.regexp_extract(chain, _CANONICAL, 1).try_cast("date")))
 
 
-def parse_full_date_typed(c, dtype) -> Column:
-    """F1 that keeps real dates/timestamps as they are (schema known at plan time)."""
-    name = getattr(dtype, "typeName", lambda: "")()
-    if name in ("date", "timestamp", "timestamp_ntz"):
-        return col_of(c).cast("date")
-    return parse_full_date(c)
-
-
 _PERIOD_REWRITES = [
     (r"^(\d{4})-(\d{2})$", "$2-$1"),
     (r"^(\d{2})/(\d{4})$", "$1-$2"),

@@ -1,7 +1,8 @@
 """Brazilian-format numbers.
 
-Money is parsed to ``decimal(18,2)``: sums are exact and independent of
-partitioning and input order; results are cast to double at the edge.
+Charged money is parsed to ``decimal(18,2)`` and measures to ``decimal(24,6)``:
+sums are exact and independent of partitioning and input order; results are
+cast to double at the edge.
 """
 
 from __future__ import annotations
@@ -17,29 +18,30 @@ MONEY = "decimal(18,2)"
 MEASURE = "decimal(24,6)"
 # Text that means "no number".
 NUMBER_NULL_TOKENS = ["", "-", "--", " - "]
-_PLAIN_NUMBER = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
+_PLAIN_NUMBER = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 
 
-def _to_money(s: Column) -> Column:
-    return F.when(s.rlike(_PLAIN_NUMBER), s.try_cast(MONEY))
+def _to_number(s: Column, kind: str) -> Column:
+    return F.when(s.rlike(_PLAIN_NUMBER), s.try_cast(kind))
 
 
-def br_number(c, default=None, dtype=None) -> Column:
+def br_number(c, default=None, dtype=None, kind: str = MEASURE) -> Column:
     """``1.234,56`` -> 1234.56. Dots are thousands separators only when
     a comma is present; otherwise the text is read as a plain number.
     Null, blank tokens and unparsable text give ``default``.
 
-    ``dtype``: the column's Spark type when known; numeric columns are cast.
+    Measures (rates, energy, sums) keep six decimals; ``kind`` is the result's
+    type. ``dtype``: the column's Spark type when known; numeric columns are cast.
     """
     c = col_of(c)
-    dflt = F.lit(default).cast(MONEY)
+    dflt = F.lit(default).cast(kind)
     if dtype is not None and isinstance(dtype, NumericType):
         return F.coalesce(c.cast(MEASURE), dflt)
     raw = as_text(c)
     s = strip(raw)
     cleaned = F.when(s.contains(","), F.translate(F.translate(s, ".", ""), ",", ".")).otherwise(s)
-    val = F.when(raw.isNull() | raw.isin(NUMBER_NULL_TOKENS) | s.isin(NUMBER_NULL_TOKENS), F.lit(None).cast(MONEY)) \
-        .otherwise(_to_money(cleaned))
+    val = F.when(raw.isNull() | raw.isin(NUMBER_NULL_TOKENS) | s.isin(NUMBER_NULL_TOKENS), F.lit(None).cast(kind)) \
+        .otherwise(_to_number(cleaned, kind))
     return F.coalesce(val, dflt)
 
 
@@ -53,9 +55,9 @@ def charge_money(c, strict_br: bool = False, dtype=None) -> Column:
     if dtype is not None and isinstance(dtype, NumericType):
         return col_of(c).cast(MONEY)
     if not strict_br:
-        return br_number(c)
+        return br_number(c, kind=MONEY)
     s = strip(as_text(c))
-    return _to_money(F.translate(F.translate(s, ".", ""), ",", "."))
+    return _to_number(F.translate(F.translate(s, ".", ""), ",", "."), MONEY)
 
 
 def clamp_non_negative(c) -> Column:

@@ -25,14 +25,13 @@ def client_scope(df: DataFrame, clients, client: str = "client", doc: str = "doc
     picked = F.col(client).isin(list(clients))
     if doc not in df.columns:
         return df.filter(picked)
+    # the clients' own rows need no join; of the rest only the membership of the
+    # document is tested, against distinct documents
+    chosen = F.coalesce(picked, F.lit(False))
     keyed = df.withColumn("_doc_key", doc_digits(doc))
-    docs = (keyed.filter(picked & (F.col("_doc_key") != "")).select("_doc_key").distinct()
-            .withColumn("_doc_hit", F.lit(True)))
-    # rows without a document cannot match: give them a unique non-matching key
-    probe = keyed.withColumn("_doc_probe", F.when(F.col("_doc_key") != "", F.col("_doc_key"))
-                             .otherwise(F.concat(F.lit("\u0001"), F.monotonically_increasing_id().cast("string"))))
-    out = probe.join(docs.withColumnRenamed("_doc_key", "_doc_probe"), "_doc_probe", "left")
-    return out.filter(picked | F.col("_doc_hit").isNotNull()).drop("_doc_key", "_doc_probe", "_doc_hit")
+    docs = keyed.filter(chosen & (F.col("_doc_key") != "")).select("_doc_key").distinct()
+    rest = keyed.filter(~chosen & (F.col("_doc_key") != "")).join(docs, "_doc_key", "left_semi")
+    return keyed.filter(chosen).unionByName(rest).drop("_doc_key")
 
 
 def period_scope(df: DataFrame, periods, period: str = "period") -> DataFrame:
@@ -72,8 +71,9 @@ def completeness_filter(df: DataFrame, mode: str = "all", due: str = "due_date")
 
 
 def positive_charge(col: str = "charged_amount") -> Column:
-    """Charged value present and > 0."""
-    return F.col(col).isNotNull() & (F.col(col).cast("double") > 0)
+    """Charged value present, a number and > 0 (text that is none and NaN are not)."""
+    value = F.col(col).try_cast("double")
+    return F.coalesce(~F.isnan(value) & (value > 0), F.lit(False))
 
 
 def not_paid(status: str = "status") -> Column:

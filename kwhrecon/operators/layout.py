@@ -51,7 +51,7 @@ def report_projection(df: DataFrame, extra_cols=(), keep=()) -> DataFrame:
 
 def output_values(df: DataFrame) -> DataFrame:
     """Writer formats: document mask (F19), negative tariff -> 0 (F20),
-    text ids stripped, separators blank."""
+    text ids stripped."""
     cols = {}
     if "doc" in df.columns:
         cols["doc"] = format_document("doc")
@@ -63,6 +63,12 @@ def output_values(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
+def blank_separators(df: DataFrame) -> DataFrame:
+    """Separators are written empty: every report column of theirs is null."""
+    written = F.col("row_kind") != "separator"
+    return df.withColumns({c: F.when(written, F.col(c)) for c in REPORT_NAMES if c in df.columns})
+
+
 def label_columns(df: DataFrame, extra_cols=()) -> DataFrame:
     """V2: rename the report columns to their output labels."""
     labels = dict(REPORT_COLUMNS)

@@ -10,8 +10,8 @@ Scale notes
 * Dedupe is a ``groupBy`` with ``min_by``: partial aggregation collapses a
   hot (unit, month) before the shuffle, unlike a window that would send all
   of its rows to one task and sort them.
-* The deduped charges come out hash-partitioned on (uc_key, period_month);
-  both joins reuse that exchange.
+* The deduped charges are one row per (uc_key, period_month); each join
+  shuffles that small table, so both of its sides can be split by AQE.
 * Null join keys are never shuffled together: rows that need no fallback
   get a unique key that cannot match (digits-only keys never contain '#').
 """
@@ -48,7 +48,6 @@ def charge_keys(charges: DataFrame, uc: str = "uc", period: str = "period",
     """Keys and typed money on the charge table: ``uc_key``, ``portal_uc``,
     ``period_month``, ``charged_amount``/``base_calc`` as decimals, and the
     charge status renamed to ``charge_status``."""
-    types = dict(charges.dtypes)
     out = charges.withColumns({
         "uc_key": uc_key(uc),
         "portal_uc": portal_uc(uc),
@@ -60,7 +59,6 @@ def charge_keys(charges: DataFrame, uc: str = "uc", period: str = "period",
             out = out.withColumn(money_col, charge_money(money_col, strict_br=strict_br, dtype=dt))
     if "status" in out.columns:
         out = out.withColumnRenamed("status", "charge_status")
-    del types
     return out
 
 
@@ -207,8 +205,8 @@ def portal_only_charges(deduped: DataFrame, base_k: DataFrame, doc: str = "doc")
     month) matches no base row through either key, shaped as base rows."""
     if doc not in deduped.columns or doc not in base_k.columns:
         return None
-    docs = base_k.select(doc_digits(doc).alias("_doc_key")).filter(F.col("_doc_key") != "")
-    keys = base_match_keys(base_k)
+    docs = base_k.select(doc_digits(doc).alias("_doc_key")).filter(F.col("_doc_key") != "").distinct()
+    keys = base_match_keys(base_k).distinct()
     ch = deduped.withColumn("_doc_key", doc_digits(doc)).filter(F.col("_doc_key") != "")
     ch = ch.join(docs, "_doc_key", "left_semi")
     ch = ch.join(keys, (ch["uc_key"] == keys["key"]) & (ch["period_month"] == keys["period_month"]),
@@ -216,7 +214,7 @@ def portal_only_charges(deduped: DataFrame, base_k: DataFrame, doc: str = "doc")
     null_s = F.lit(None).cast("string")
     cols = {
         "src": F.lit(1),
-        "row_id": F.col("charge_id") if "charge_id" in ch.columns else F.monotonically_increasing_id(),
+        "row_id": F.col("charge_id") if "charge_id" in ch.columns else F.xxhash64(*deduped.columns),
         "uc": F.col("portal_uc"),
         "portal_uc": F.col("portal_uc"),
         "alt_uc": null_s,
@@ -290,11 +288,6 @@ def finalize_columns(df: DataFrame) -> DataFrame:
     return out
 
 
-def charge_unit_keys(charges_k: DataFrame) -> DataFrame:
-    """Distinct unit keys of *all* charges (before the cancelled filter)."""
-    return charges_k.select("uc_key").distinct().withColumn("_in_charges", F.lit(True))
-
-
 def gap_rows(consolidated: DataFrame, unit_keys: DataFrame) -> DataFrame:
     """Rows without a due date, typed: unit in no charge at all, or
     only the month is missing."""

@@ -90,7 +90,7 @@ def unit_client_pairs(df: DataFrame) -> DataFrame:
 
 # Columns that are text by contract and never converted (A10).
 PROTECTED_TEXT = {"client", "distributor", "status", "uc", "doc", "period", "group_flag",
-                  "due_date", "account", "unit_id", "alt_uc", "portal_uc"}
+                  "due_date", "account", "unit_id", "alt_uc", "portal_uc", "contract_discount"}
 _NUMERIC_TEXT = r"^\s*[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
 
 
@@ -127,12 +127,12 @@ def apply_type_inference(df: DataFrame, threshold: float = 0.8, protected=PROTEC
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """Per column: type, non-null count and one non-empty sample value."""
+    """Per column: type, non-null count and one non-empty sample value (the least as text)."""
     aggs = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         aggs += [F.count(c).alias(f"{f.name}__n"),
-                 F.any_value(F.when(c.cast("string") != "", c.cast("string")), True).alias(f"{f.name}__s")]
+                 F.min(F.when(c.cast("string") != "", c.cast("string"))).alias(f"{f.name}__s")]
     row = df.agg(*aggs)
     n = len(df.columns)
     stack = "stack({}, {}) as (column, dtype, non_null, sample)".format(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kwhrecon.operators import reconcile as R
-from kwhrecon.session import checkpoint_dir
+from kwhrecon.session import materialize
 
 
 @dataclass
@@ -28,22 +28,30 @@ class Consolidation:
 
 
 def consolidate(base: DataFrame, charges: DataFrame | None, *, strict_br: bool = False,
-                charge_order=("charge_id",), by_month: bool = True,
+                charge_order=("charge_id",), by_month: bool | None = None,
                 checkpoint: bool = True) -> Consolidation:
-    """Build the consolidated table lazily.
-
-    ``checkpoint`` materialises two intermediate tables in the shared
-    ``spark.checkpoint.dir``: the per-key charge aggregate (read by both
-    joins, the append and the membership test; its hash partitioning on
-    (uc_key, period_month) is kept, so the joins shuffle only the base) and
-    the joined table before the identity backfill (read twice). Both cut
-    the lineage, so a lost executor recomputes from them, not from the scan.
+    """Build the consolidated table.
+
+    Charges without a month column join by unit alone (J2); ``by_month``
+    overrides that choice.
+
+    ``checkpoint`` writes three intermediate tables to the shared folder: the
+    base with its parsed keys (read by the join, the document set and the
+    match keys), the per-key charge aggregate (read by both joins, the append
+    and the membership test) and the joined table before the identity backfill
+    (read twice). These are three eager jobs; all cut the lineage, so a lost executor
+    recomputes from them, not from the scan. Each join shuffles both sides, so
+    AQE can split a hot key.
     """
+    if by_month is None:
+        by_month = charges is None or "period" in charges.columns
     base_k = R.base_keys(base)
     if charges is None:
         cons = base_k.withColumn("due_date", F.lit(None).cast("string"))
         empty = cons.limit(0)
         return Consolidation(cons, empty, empty, empty)
+    if checkpoint:
+        base_k = materialize(base_k)
     ch_all = R.charge_keys(charges, strict_br=strict_br)
     if not by_month:
         ch_all = ch_all.withColumn("period_month", F.lit(None).cast("date"))
@@ -51,15 +59,14 @@ def consolidate(base: DataFrame, charges: DataFrame | None, *, strict_br: bool =
     active = R.active_charge() if "cancelled" in ch_all.columns else F.lit(True)
     per_key = R.dedupe_charges(ch_all, keys=keys, order_cols=charge_order, active=active)
     if checkpoint:
-        checkpoint_dir(per_key.sparkSession)
-        per_key = per_key.checkpoint(eager=True)
+        per_key = materialize(per_key)
     deduped = R.deduped_view(per_key, keys)
     joined = R.primary_join(base_k, deduped, by_month=by_month)
     if by_month:
         joined = R.fallback_join(joined, deduped)
         joined = R.append_portal_only(joined, deduped, base_k)
     if checkpoint:
-        joined = joined.checkpoint(eager=True)
+        joined = materialize(joined)
     joined = R.identity_backfill(joined)
     cons = R.finalize_columns(joined)
     unit_keys = per_key.select("uc_key").distinct().withColumn("_in_charges", F.lit(True))
@@ -87,12 +94,14 @@ def gap_report_header(gaps: DataFrame, generated_at: str) -> DataFrame:
 def write_consolidated(df: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
     """K1: Parquet partitioned by billing month.
 
-    ``repartitionByRange`` on (month, unit key) cuts the table into balanced
-    key ranges from a sample: a month holding a third of all rows is split
-    over many tasks, small months share one, so files stay few and large.
-    Rows are sorted by unit key inside files (readers of one unit touch few
-    row groups)."""
+    ``repartitionByRange`` on (month, unit key, row) cuts the table into
+    balanced key ranges from a sample: a month holding a third of all rows is
+    split over many tasks, small months share one, so files stay few and
+    large. The row order is part of the range key, so rows without a unit key
+    (appended charges) spread too. Rows are sorted by unit key inside files
+    (readers of one unit touch few row groups)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, "period_month", "uc_key")
+    spread = [c for c in ("src", "row_id") if c in df.columns]
+    (df.repartitionByRange(n, "period_month", "uc_key", *spread)
        .sortWithinPartitions("period_month", "uc_key")
        .write.mode(mode).partitionBy("period_month").parquet(path))

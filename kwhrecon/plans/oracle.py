@@ -1,18 +1,19 @@
 """DuckDB SQL for the oracle check: the same semantics as the Spark
 builders, written as SQL text over the driver tables.
 
-Expression helpers mirror ``kwhrecon.functions`` one to one; ``t1_ctes``
+Expression helpers state the rules of ``kwhrecon.functions`` anew, in their own patterns; ``t1_ctes``
 and ``report_ctes`` build the consolidation and report as CTE chains.
 """
 
 from __future__ import annotations
 
-from kwhrecon.functions import dates as _dates
-from kwhrecon.functions.formats import ACCENTED, MONTH_ABBR, PLAIN
-from kwhrecon.functions.text import WHITESPACE
 from kwhrecon.sources.fixtures import duckdb_ctes
 
-WS = "'" + WHITESPACE + "'"
+#: Fixed values, stated here on their own: blanks, accents, month names, and the text for what is missing.
+WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+ACCENTED, PLAIN = "áàâãäåÁÀÂÃÄÅçÇéèêëÉÈÊËíìîïÍÌÎÏñÑóòôõöÓÒÔÕÖúùûüÚÙÛÜýÿÝ", "aaaaaaAAAAAAcCeeeeEEEEiiiiIIIInNoooooOOOOOuuuuUUUUyyY"
+MONTH_ABBR = ["jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez"]
+NOT_AVAILABLE = "Não disponível"
 
 
 def q(s: str) -> str:
@@ -35,50 +36,40 @@ def blank(x: str) -> str:
     return f"({x} IS NULL OR {strip(x)} = '')"
 
 
-def _java_to_re2(repl: str) -> str:
-    out, i = "", 0
-    while i < len(repl):
-        if repl[i] == "$" and i + 1 < len(repl) and repl[i + 1].isdigit():
-            out += "\\" + repl[i + 1]
-            i += 2
-        else:
-            out += repl[i]
-            i += 1
-    return out
-
-
-def _chain(x: str, rewrites) -> str:
-    s = x
-    for pat, rep in rewrites:
-        s = f"regexp_replace({s}, {q(pat)}, {q(_java_to_re2(rep))})"
-    return s
-
-
 def f1(x: str) -> str:
-    s = strip(x)
-    chain = _chain(s, _dates._DATE_REWRITES)
-    return (f"(CASE WHEN {s} IS NULL OR NOT (substr({s}, 1, 1) BETWEEN '0' AND '9') THEN NULL "
-            f"WHEN regexp_matches({s}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN try_cast({s} AS DATE) "
-            f"WHEN regexp_matches({s}, '^\\d{{2}}/\\d{{2}}/\\d{{4}}$') THEN coalesce("
-            f"try_cast(substr({s},7,4) || '-' || substr({s},4,2) || '-' || substr({s},1,2) AS DATE), "
-            f"try_cast(substr({s},7,4) || '-' || substr({s},1,2) || '-' || substr({s},4,2) AS DATE)) "
-            f"ELSE try_cast(regexp_extract({chain}, {q(_dates._CANONICAL)}, 1) AS DATE) END)")
+    """A date cut at its separators: year first, day first (month first if the middle can be no month), names."""
+    p = "string_split(replace(replace(regexp_replace(z, '[ T].*$', ''), '/', '-'), '.', '-'), '-')"
+    year = f"(CASE WHEN length({p}[3]) = 4 THEN {p}[3] WHEN {p}[3] < '69' THEN '20' || {p}[3] ELSE '19' || {p}[3] END)"
+    name = "regexp_extract(z, '([A-Za-z]{3})[A-Za-z]*[-/., ]+[0-9]{4}$', 1)"
+    month = f"list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower({name}))"
+    body = (f"CASE WHEN regexp_matches(z, '^[0-9]{{8}}$') THEN try_cast(substr(z, 1, 4) || '-' || substr(z, 5, 2) || '-' || substr(z, 7, 2) AS DATE) "
+            f"WHEN regexp_matches(z, '^[0-9]{{4}}[-/.][0-9]{{1,2}}$') THEN try_cast({p}[1] || '-' || {p}[2] || '-1' AS DATE) "
+            f"WHEN regexp_matches(z, '^[0-9]{{1,2}}[-/.][0-9]{{4}}$') THEN try_cast({p}[2] || '-' || {p}[1] || '-1' AS DATE) "
+            f"WHEN regexp_matches(z, '^[0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}([ T].*)?$') "
+            f"THEN try_cast({p}[1] || '-' || {p}[2] || '-' || {p}[3] AS DATE) "
+            f"WHEN regexp_matches(z, '^[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.]([0-9]{{4}}|[0-9]{{2}})([ T].*)?$') "
+            f"THEN CASE WHEN CAST({p}[2] AS INTEGER) > 12 THEN try_cast({year} || '-' || {p}[1] || '-' || {p}[2] AS DATE) "
+            f"ELSE try_cast({year} || '-' || {p}[2] || '-' || {p}[1] AS DATE) END "
+            f"WHEN regexp_matches(z, '^([0-9]{{1,2}}[-/. ]+)?[A-Za-z]{{3,}}[-/., ]+[0-9]{{4}}$') THEN "
+            f"try_cast(right(z, 4) || '-' || {month} || '-' || coalesce(nullif(regexp_extract(z, '^[0-9]+'), ''), '1') AS DATE) END")
+    return f"list_transform([{strip(x)}], lambda z: {body})[1]"
 
 
 def f2(x: str) -> str:
+    """Month text read directly, else the month of the full date."""
     s = strip(x)
-    chain = _chain(s, _dates._PERIOD_REWRITES)
-    return (f"(CASE WHEN regexp_matches({s}, '^\\d{{2}}-\\d{{4}}$') THEN {s} "
-            f"WHEN regexp_matches({s}, '^\\d{{2}}/\\d{{4}}$') THEN replace({s}, '/', '-') "
-            f"ELSE coalesce(nullif(regexp_extract({chain}, '^(\\d{{2}}-\\d{{4}})$', 1), ''), "
-            f"strftime({f1(x)}, '%m-%Y')) END)")
+    return (f"(CASE WHEN regexp_matches({s}, '^[0-9]{{4}}-[0-9]{{2}}$') THEN substr({s}, 6, 2) || '-' || substr({s}, 1, 4) "
+            f"WHEN regexp_matches({s}, '^[0-9]{{2}}[-/][0-9]{{4}}$') THEN substr({s}, 1, 2) || '-' || substr({s}, 4, 4) "
+            f"WHEN regexp_matches({s}, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') "
+            f"THEN lpad(split_part({s}, '-', 2), 2, '0') || '-' || substr({s}, 1, 4) "
+            f"ELSE strftime({f1(x)}, '%m-%Y') END)")
 
 
-def f3(x: str, default: str = _dates.NOT_AVAILABLE) -> str:
+def f3(x: str, default: str = NOT_AVAILABLE) -> str:
     return f"coalesce(strftime({f1(x)}, '%d-%m-%Y'), {q(default)})"
 
 
-def f4(x: str, default: str = _dates.NOT_AVAILABLE) -> str:
+def f4(x: str, default: str = NOT_AVAILABLE) -> str:
     return f"coalesce(replace({f2(x)}, '-', '/'), {q(default)})"
 
 
@@ -139,8 +130,8 @@ def gkt(x: str, fill: str | None = "N/A") -> str:
     return f"coalesce({core}, {q(fill)})" if fill is not None else core
 
 
-def br(x: str, default=None, numeric: bool = False) -> str:
-    d = "NULL" if default is None else f"CAST({default} AS DECIMAL(18,2))"
+def br(x: str, default=None, numeric: bool = False, kind: str = "24,6") -> str:
+    d = "NULL" if default is None else f"CAST({default} AS DECIMAL({kind}))"
     if numeric:
         return f"coalesce(CAST({x} AS DECIMAL(24,6)), {d})"
     raw = txt(x)
@@ -148,8 +139,8 @@ def br(x: str, default=None, numeric: bool = False) -> str:
     cleaned = f"(CASE WHEN contains({s}, ',') THEN replace(replace({s}, '.', ''), ',', '.') ELSE {s} END)"
     toks = "('', '-', '--', ' - ')"
     val = (f"(CASE WHEN {raw} IS NULL OR {raw} IN {toks} OR {s} IN {toks} THEN NULL "
-           f"WHEN regexp_matches({cleaned}, '^[-+]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)$') "
-           f"THEN try_cast({cleaned} AS DECIMAL(18,2)) END)")
+           f"WHEN regexp_matches({cleaned}, '^[-+]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][-+]?[0-9]+)?$') "
+           f"THEN try_cast({cleaned} AS DECIMAL({kind})) END)")
     return f"coalesce({val}, {d})"
 
 
@@ -198,7 +189,8 @@ def t1_ctes() -> str:
     """Consolidated table as CTEs; final CTE ``consolidated``."""
     ident = ["client", "doc", "distributor", "unit_id"]
     base_cols = ["row_id", "unit_id", "uc", "alt_uc", "period", "doc", "client", "distributor", "amount",
-                 "savings", "tariff", "commercial_id", "group_flag", "main_flag", "source"]
+                 "savings", "tariff", "commercial_id", "group_flag", "main_flag", "source", "status", "consumed_credit",
+                 "cost_with_gd", "cost_without_gd", "contract_discount"]
     fills = []
     for c in CHARGE_FIELDS:
         if c == "charged_amount":
@@ -215,7 +207,7 @@ def t1_ctes() -> str:
 charges_k AS (
   SELECT charge_id, uc, period, due_date, status AS charge_status, cancelled, account, paid_date, doc,
     {uc_key('uc')} AS uc_key, {portal_uc('uc')} AS portal_uc, {f6('period')} AS period_month,
-    {br('charged_amount')} AS charged_amount,
+    {br('charged_amount', kind='18,2')} AS charged_amount,
     coalesce({lower_strip('cancelled')} <> 'sim', true) AS active,
     {f1('due_date')} AS due_d
   FROM charges),
@@ -266,7 +258,7 @@ backfilled AS (
     LEFT JOIN lookup l1 ON l1.key = {identity_key('u.alt_uc')}
     LEFT JOIN lookup l2 ON l2.key = {identity_key('u.uc')}),
 consolidated AS (
-  SELECT * EXCLUDE (charge_status, account), charge_status AS status, {account_text('account')} AS account
+  SELECT * EXCLUDE (charge_status, status, account), coalesce(charge_status, status) AS status, {account_text('account')} AS account
   FROM backfilled)"""
 
 
@@ -307,7 +299,8 @@ def output_file_name(name: str, clients: str, periods: str) -> str:
 REPORT_NAMES = ["unit_id", "period", "uc", "account", "doc", "client", "distributor", "consumed_credit",
                 "contract_discount", "due_date", "status", "amount", "tariff", "cost_with_gd", "cost_without_gd",
                 "savings", "classification"]
-ABSENT = {"consumed_credit", "contract_discount", "cost_with_gd", "cost_without_gd"}
+#: Measures, and whether the base has them as numbers.
+MEASURES = [("consumed_credit", False), ("amount", True), ("tariff", False), ("cost_with_gd", True), ("cost_without_gd", True), ("savings", False)]
 
 
 def group_scope_ctes(with_periods: bool = True) -> str:
@@ -375,7 +368,7 @@ enriched AS (SELECT p.*, m.cost_center, m.tag FROM portal p LEFT JOIN meta_last
         kcols, korder = "uc IS NULL AS kn, CAST(uc AS VARCHAR) AS k", "kn, k"
     ordc = f"{korder}, p1, p2, p3, src, row_id"
     parts.append(f"ordered AS (SELECT *, {kcols} FROM enriched WHERE {inc}),")
-    sums = [("amount", True), ("tariff", True), ("savings", False)]
+    sums = MEASURES
     parsed = ", ".join(f"CAST({br(c, None, num)} AS DOUBLE) AS {c}" for c, num in sums)
     if mode == "none":
         where = "" if include_children else f"WHERE coalesce(upper({strip('main_flag')}) = 'Y', false)"
@@ -415,18 +408,16 @@ g0 AS (SELECT o.*, coalesce(hc.has_ci, false) AS has_ci FROM ordered o {hj}),
 g1s AS (SELECT * EXCLUDE (alt_uc){alt_sql or ', alt_uc'}, {keys_sql} FROM g0),
 g AS (SELECT * REPLACE ({san}) FROM g1s),
 stats AS (SELECT {gks}, count(*) AS n, {marked} AS marked, count_if({classify()} = 'Fatura') AS n_inv,
-  CAST(sum({br('amount', 0, True)}) AS DOUBLE) AS s_amount, CAST(sum({br('tariff', 0, True)}) AS DOUBLE) AS s_tariff,
-  CAST(sum({br('savings', 0)}) AS DOUBLE) AS s_savings FROM g GROUP BY {gks}),
+  {", ".join(f"CAST(sum({br(c, 0, num)}) AS DOUBLE) AS s_{c}" for c, num in sums)} FROM g GROUP BY {gks}),
 firsts AS (SELECT * EXCLUDE (rn) FROM (SELECT g.*, row_number() OVER (PARTITION BY {gks} ORDER BY {ordc}) AS rn FROM g) WHERE rn = 1),
-parents AS (SELECT f.* REPLACE ({q(label)} AS uc, s.s_amount AS amount, s.s_tariff AS tariff, s.s_savings AS savings),
+parents AS (SELECT f.* REPLACE ({q(label)} AS uc, {", ".join(f"s.s_{c} AS {c}" for c, _ in sums)}),
   'parent' AS row_kind, 0 AS kind_rank, {parent_class} AS classification
   FROM firsts f JOIN stats s USING ({gks}) WHERE {q_expr}),
 members AS (SELECT g.* REPLACE ({parsed}), CASE WHEN {q_expr} THEN 'child' ELSE 'normal' END AS row_kind,
   1 AS kind_rank, {classify('g.source')} AS classification FROM g JOIN stats s USING ({gks}) {child_where}),
 separators AS (SELECT {gks}, 'separator' AS row_kind, 2 AS kind_rank, 'Regra de Negócio' AS classification FROM stats),
 grouped AS (SELECT * FROM parents UNION ALL BY NAME SELECT * FROM members UNION ALL BY NAME SELECT * FROM separators),""")
-    proj = ", ".join(("CAST(NULL AS VARCHAR) AS " + c) if c in ABSENT else c for c in REPORT_NAMES
-                     if c not in ("status", "due_date", "period", "doc", "tariff", "account", "uc", "unit_id"))
+    proj = ", ".join(c for c in REPORT_NAMES if c not in ("status", "due_date", "period", "doc", "tariff", "account", "uc", "unit_id"))
     extra = "cost_center, tag, " if with_meta else ""
     pending = f"WHERE coalesce({lower_strip('status')} <> 'pago', true)" if only_pending else ""
     s = "coalesce(lower(trim(status_raw, " + WS + ")), '')"
@@ -452,5 +443,6 @@ grouped AS (SELECT * FROM parents UNION ALL BY NAME SELECT * FROM members UNION
   FROM (SELECT *, status AS status_raw, due_date AS due_raw, period AS period_raw, doc AS doc_raw, tariff AS tariff_raw,
         account AS account_raw, uc AS uc_raw, unit_id AS unit_id_raw FROM grouped)),
 pending AS (SELECT * REPLACE (trim(period) AS period) FROM paid {pending}),
-report AS (SELECT *, {sheet_title(sheet)} AS sheet FROM pending {sheet_where})""")
+sheets AS (SELECT *, {sheet_title(sheet)} AS sheet FROM pending {sheet_where}),
+report AS (SELECT * REPLACE ({", ".join(f"CASE WHEN row_kind <> 'separator' THEN {c} END AS {c}" for c in REPORT_NAMES)}) FROM sheets)""")
     return "\n".join(parts)

@@ -101,7 +101,7 @@ _STRICT = ("(CASE WHEN regexp_matches(replace(replace(" + O.strip("charged_amoun
            + ", '.', ''), ',', '.') AS DECIMAL(18,2)) END)")
 
 
-@register("charge_money", f"""{W} SELECT charge_id, CAST({O.br('charged_amount')} AS DOUBLE) AS charged_value,
+@register("charge_money", f"""{W} SELECT charge_id, CAST({O.br('charged_amount', kind='18,2')} AS DOUBLE) AS charged_value,
   CAST({_STRICT} AS DOUBLE) AS charged_strict FROM charges""")
 def charge_money(spark, sf):
     c = T.charges(spark, sf)
@@ -110,11 +110,11 @@ def charge_money(spark, sf):
 
 
 @register("format_documents", f"""{W} SELECT row_id, {O.format_document('doc')} AS doc_text,
-  CASE WHEN tariff IS NOT NULL AND tariff < 0 THEN 0.0 ELSE CAST(tariff AS DOUBLE) END AS tariff_out FROM base""")
+  greatest(CAST({O.br('tariff')} AS DOUBLE), 0.0) AS tariff_out FROM base""")
 def format_documents(spark, sf):
     b = T.base(spark, sf)
     return b.select("row_id", FM.format_document("doc").alias("doc_text"),
-                    M.clamp_non_negative("tariff").alias("tariff_out"))
+                    M.clamp_non_negative(M.br_number("tariff")).alias("tariff_out"))
 
 
 @register("account_text", f"""{W} SELECT charge_id, {O.account_text('account')} AS account_text,
@@ -339,7 +339,7 @@ def unit_client_pairs(spark, sf):
 
 
 _NUM_RE = "'^\\s*[-+]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][-+]?[0-9]+)?\\s*$'"
-_TI_COLS = ["savings", "commercial_id", "main_flag", "source"]
+_TI_COLS = ["row_id", "savings", "tariff", "consumed_credit", "commercial_id", "main_flag", "source"]
 
 
 @register("type_inference", f"""{W} SELECT column_name AS "column", non_null, numeric,
@@ -349,9 +349,21 @@ def type_inference(spark, sf):
     return S.type_inference_stats(T.base(spark, sf))
 
 
-@register("table_profile")
+_PROFILE = {"row_id": "string", "unit_id": "string", "uc": "string", "alt_uc": "string", "period": "string", "doc": "string",
+            "client": "string", "distributor": "string", "amount": "double", "savings": "string", "tariff": "string",
+            "consumed_credit": "string", "cost_with_gd": "double", "cost_without_gd": "double", "contract_discount": "string",
+            "status": "string", "due_date": "string", "account": "string", "commercial_id": "string", "group_flag": "string",
+            "main_flag": "string", "source": "string"}
+
+
+@register("table_profile", W + " " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", '{t}' AS dtype, count({c}) AS non_null, """
+    + (f"min(CASE WHEN CAST({c} AS VARCHAR) <> '' THEN CAST({c} AS VARCHAR) END)" if t == "string" else "CAST(NULL AS VARCHAR)")
+    + " AS sample FROM base" for c, t in _PROFILE.items()))
 def table_profile(spark, sf):
-    return S.table_profile(T.base(spark, sf))
+    p = S.table_profile(T.base(spark, sf))
+    # numbers print differently in the two engines: their samples are left out of the comparison
+    return p.withColumn("sample", F.when(F.col("dtype") == "string", F.col("sample")))
 
 
 @register("head_rows", f"""{W} SELECT row_id, uc, period, client FROM base ORDER BY row_id LIMIT 20""")

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from kwhrecon.plans import queries_t1
-
-try:  # report queries are optional while the package is being extended
-    from kwhrecon.plans import queries_t2
-except ImportError:  # pragma: no cover
-    queries_t2 = None
+from kwhrecon.plans import queries_t1, queries_t2
 
 
 def _all() -> dict:
-    out = dict(queries_t1.Q)
-    if queries_t2 is not None:
-        out.update(queries_t2.Q)
-    return out
+    return queries_t1.Q | queries_t2.Q
 
 
 def queries() -> dict:

@@ -26,7 +26,7 @@ from kwhrecon.operators import grouping as G
 from kwhrecon.operators import layout as L
 from kwhrecon.operators import payment as C
 from kwhrecon.operators import portal as J
-from kwhrecon.session import checkpoint_dir
+from kwhrecon.session import materialize
 
 SORT_SAVINGS = "Economia Gerada (Desc)"
 SORT_CLIENT = "Razão Social"
@@ -74,8 +74,7 @@ def report_order(df: DataFrame, sort_by: str) -> Column:
 def _finish(work: DataFrame, opts: ReportOptions, extra_cols, extra_keys) -> DataFrame:
     work = P.completeness_filter(work, opts.incomplete_filter)
     if opts.checkpoint:
-        checkpoint_dir(work.sparkSession)
-        work = work.checkpoint(eager=True)
+        work = materialize(work)
     work = work.withColumn("ord", report_order(work, opts.sort_by))
     grouped = G.apply_grouping(work, opts.mode(), opts.include_child_rows, extra_keys=extra_keys)
     proj = L.report_projection(grouped, extra_cols, keep=list(extra_keys))
@@ -83,7 +82,7 @@ def _finish(work: DataFrame, opts: ReportOptions, extra_cols, extra_keys) -> Dat
     if opts.only_pending:
         paid = paid.filter(P.not_paid())
     out = L.output_values(paid)
-    return L.assign_sheets(out, opts.presentation, opts.split_audit)
+    return L.blank_separators(L.assign_sheets(out, opts.presentation, opts.split_audit))
 
 
 def generate(consolidated: DataFrame, clients, periods, metadata: DataFrame | None = None,

@@ -1,25 +1,31 @@
-"""Session-scoped access to the derived tables and the consolidated table.
+"""The derived tables and the consolidated table of an input folder.
 
-The consolidated table is built once per session and input folder and
-checkpointed to the shared checkpoint folder (the K1 table a production job
-would write), so every report query reads the same materialised input.
+The consolidated table is built once per application and state of the input
+files, written by month (K1) to the shared folder and read back, so report
+queries read only the columns and months they need.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kwhrecon.plans.consolidate import Consolidation, consolidate
-from kwhrecon.session import checkpoint_dir, session_key
+from kwhrecon.plans.consolidate import Consolidation, consolidate, write_consolidated
+from kwhrecon.session import scratch_path, session_key
 from kwhrecon.sources import fixtures as X
 
 _MEMO: dict = {}
 
 
-def _key(spark: SparkSession, sf_dir: str, name: str):
-    return (session_key(spark), os.path.abspath(sf_dir), name)
+def _key(spark: SparkSession, sf_dir: str):
+    """Application, folder and last change of the files read: a rewritten input is built anew."""
+    state = []
+    for t in ("orders", "lineitem", "customer", "nation"):
+        files = X.read_table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_modification_time").distinct()
+        state.append(tuple(files.agg(F.count("*"), F.max("file_modification_time"), F.max("file_path")).first()))
+    return session_key(spark), sf_dir, tuple(state)
 
 
 def base(spark, sf_dir) -> DataFrame:
@@ -39,11 +45,12 @@ def groups(spark, sf_dir) -> DataFrame:
 
 
 def consolidation(spark: SparkSession, sf_dir: str) -> Consolidation:
-    k = _key(spark, sf_dir, "consolidation")
+    k = _key(spark, sf_dir)
     if k not in _MEMO:
         res = consolidate(base(spark, sf_dir), charges(spark, sf_dir))
-        checkpoint_dir(spark)
-        cons = res.consolidated.checkpoint(eager=True)
+        path = scratch_path(spark, f"consolidated-{uuid.uuid4().hex}")
+        write_consolidated(res.consolidated, path)
+        cons = spark.read.parquet(path).select(*res.consolidated.columns)
         _MEMO[k] = Consolidation(cons, res.gaps, res.charges_keyed, res.deduped, res.unit_keys)
     return _MEMO[k]
 

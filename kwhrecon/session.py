@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: ANSI semantics (try_* casts are used
 # explicitly), UTC for date arithmetic, AQE for runtime re-planning of
@@ -52,24 +53,30 @@ def get_spark(master: str | None = None, app_name: str = "kwhrecon",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """Shared folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a private folder is created
-    and registered, so lineage can still be cut with ``checkpoint()``.
+    A private folder serves only a local session, where driver and executors
+    are one machine; on a cluster the setting is required.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="kwhrecon-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # a session without a local SparkContext (e.g. Connect)
+    if d:
         return d
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    d = tempfile.mkdtemp(prefix="kwhrecon-")
+    spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back:
+    lineage is cut, columns and row groups can be pruned, joins see real sizes."""
+    path = scratch_path(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)

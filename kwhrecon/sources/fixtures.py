@@ -10,12 +10,10 @@ Spark and to view names in DuckDB.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_SQL = """
-SELECT o_orderkey AS row_id,
+SELECT lpad(cast(o_orderkey AS string), 15, '0') AS row_id,
   'ID-' || lpad(cast(o_orderkey AS string), 9, '0') AS unit_id,
   CASE WHEN o_orderkey % 6 = 1 THEN 'T' || cast(o_orderkey + 50000000 AS string)
        WHEN o_orderkey % 4 = 0 THEN '00' || cast(o_orderkey + 1 AS string)
@@ -26,9 +24,11 @@ SELECT o_orderkey AS row_id,
        WHEN o_orderkey % 6 = 1 THEN cast(o_orderkey + 1 AS string) || '.0' END AS alt_uc,
   CASE o_orderkey % 5
        WHEN 0 THEN cast(year(o_orderdate) AS string) || '-' || lpad(cast(month(o_orderdate) AS string), 2, '0') || '-' || lpad(cast(day(o_orderdate) AS string), 2, '0')
-       WHEN 1 THEN lpad(cast(month(o_orderdate) AS string), 2, '0') || '/' || cast(year(o_orderdate) AS string)
+       WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(month(o_orderdate) * 3 - 2 AS int), 3) || '-' || cast(year(o_orderdate) AS string)
+                        ELSE lpad(cast(month(o_orderdate) AS string), 2, '0') || '/' || cast(year(o_orderdate) AS string) END
        WHEN 2 THEN lpad(cast(day(o_orderdate) AS string), 2, '0') || '/' || lpad(cast(month(o_orderdate) AS string), 2, '0') || '/' || cast(year(o_orderdate) AS string)
-       WHEN 3 THEN cast(year(o_orderdate) AS string) || '-' || lpad(cast(month(o_orderdate) AS string), 2, '0')
+       WHEN 3 THEN CASE o_orderkey % 3 WHEN 0 THEN cast(day(o_orderdate) AS string) || ' ' || substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(month(o_orderdate) * 3 - 2 AS int), 3) || ' ' || cast(year(o_orderdate) AS string)
+                   ELSE cast(year(o_orderdate) AS string) || CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE '-' END || lpad(cast(month(o_orderdate) AS string), 2, '0') END
        ELSE CASE WHEN o_orderkey % 35 = 4 THEN 'N/A'
                  ELSE lpad(cast(month(o_orderdate) AS string), 2, '0') || '-' || cast(year(o_orderdate) AS string) END
   END AS period,
@@ -41,7 +41,14 @@ SELECT o_orderkey AS row_id,
   CASE WHEN o_orderkey % 11 = 0 THEN '-'
        ELSE CASE WHEN cents >= 100000 THEN cast(cast(floor(cents / 100000) AS bigint) AS string) || '.' || lpad(cast(cast(floor(cents / 100) AS bigint) % 1000 AS string), 3, '0')
                  ELSE cast(cast(floor(cents / 100) AS bigint) AS string) END || ',' || lpad(cast(cents % 100 AS string), 2, '0') END AS savings,
-  cast((o_orderkey % 2000) - 100 AS double) / 1000 AS tariff,
+  CASE WHEN o_orderkey % 20 = 0 THEN '-' ELSE '' END || cast(o_orderkey % 2 AS string) || ',' || lpad(cast(o_orderkey * 7919 % 1000000 AS string), 6, '0') AS tariff,
+  CASE WHEN o_orderkey % 31 = 0 THEN 'sem dado' ELSE cast(o_orderkey % 9000 AS string) || '.5' END AS consumed_credit,
+  o_totalprice * 0.5 AS cost_with_gd,
+  CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice * 0.75 END AS cost_without_gd,
+  '0.' || lpad(cast(o_orderkey % 40 AS string), 2, '0') AS contract_discount,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Pago' WHEN 1 THEN 'Pendente' END AS status,
+  CASE WHEN o_orderkey % 3 = 0 THEN cast(cast(o_orderdate AS date) AS string) END AS due_date,
+  cast(o_custkey AS string) || '.0' AS account,
   CASE WHEN o_custkey % 3 <> 0 THEN 'G' || cast(o_custkey % 50 AS string) || '.0' END AS commercial_id,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'Agrupamento' END AS group_flag,
   CASE WHEN o_orderpriority = '2-HIGH' THEN 'Y' ELSE 'N' END AS main_flag,
@@ -51,7 +58,8 @@ FROM (SELECT *, cast(round(o_totalprice * 10) AS bigint) AS cents FROM {orders})
 """
 
 CHARGES_SQL = """
-SELECT l_orderkey * 100000000000 + l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS charge_id,
+SELECT lpad(cast(l_orderkey AS string), 15, '0') || '-' || cast(l_linenumber AS string) || '-' || lpad(cast(l_partkey AS string), 12, '0')
+    || '-' || lpad(cast(l_suppkey AS string), 12, '0') AS charge_id,
   CASE WHEN l_linenumber = 7 THEN 'P' || cast(l_orderkey + 90000000 AS string)
        WHEN l_linenumber % 2 = 0 THEN cast(l_orderkey + 1 AS string) || '.0'
        ELSE cast(l_orderkey + 1 AS string) END AS uc,
@@ -70,11 +78,11 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """
 
 METADATA_SQL = """
-SELECT o_orderkey AS seq,
-  cast(o_orderkey % 5000 + 1 AS string) AS uc,
+SELECT lpad(cast(o_orderkey AS string), 15, '0') AS seq,
+  cast(cast(floor(o_orderkey / 3) AS bigint) * 3 + 1 AS string) AS uc,
   'CC-' || cast(o_custkey AS string) AS cost_center,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS tag
-FROM {orders} WHERE o_orderkey % 2 = 0
+FROM {orders}
 """
 
 # Text months of every client group; the last one matches no row.
@@ -104,44 +112,9 @@ _NEEDED = {
 }
 
 
-_SPREAD: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if columns:
-        df = df.select(*columns)
-    return spread(df, key=(os.path.abspath(sf_dir), name, tuple(columns or ())))
-
-
-def spread(df: DataFrame, key=None) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores
-    (a small single-row-group file) over all cores; large inputs are already
-    split into many partitions and are returned untouched.
-
-    The round-robin copy is checkpointed to the shared checkpoint folder:
-    otherwise Catalyst pushes filters (with their parsing expressions) below
-    the repartition, back into the single scan task. Copies are reused per
-    session and ``key``.
-    """
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no local SparkContext: leave the scan as it is
-        return df
-    if parts >= cores:
-        return df
-    from kwhrecon.session import session_key
-    memo = (session_key(spark), key) if key is not None else None
-    if memo is not None and memo in _SPREAD:
-        return _SPREAD[memo]
-    from kwhrecon.session import checkpoint_dir
-    checkpoint_dir(spark)
-    out = df.repartition(cores).checkpoint(eager=True)
-    if memo is not None:
-        _SPREAD[memo] = out
-    return out
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str, tables) -> DataFrame:
