@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kwhrecon.functions import formats as FM
-from kwhrecon.functions.keys import uc_text
 from kwhrecon.operators import enrich as E
 from kwhrecon.operators import filters as P
 from kwhrecon.operators import portal as J
@@ -311,35 +310,35 @@ def zip_names(spark, sf):
     return g.select("group_name", "period", FM.scope_base_name("group_name", F.col("clients")).alias("base_name"))
 
 
-_ = uc_text  # re-exported for callers building custom scopes
+# ------------------------------------------------------------------ header scan
 
+#: Rows of one derived export file; the number of files grows with the table.
+EXPORT_ROWS = 500
+EXPORT_HEADER = ["No. UC", "CPF/CNPJ", "Razao Social", "Referencia", "Distribuidora"]
 
-# ------------------------------------------------------------------ header scan (rows-only)
 
-def export_with_junk(base, path: str, files: int = 4) -> None:
-    """Write the base table as ``;``-separated exports, ``files`` of them,
-    each with junk lines above its header line (the layout S2 must find)."""
+def export_with_junk(base, path: str) -> None:
+    """Write the base table as ``;``-separated exports of about ``EXPORT_ROWS``
+    rows, each with junk lines above its header line (the layout S2 must find)."""
     cols = ["uc", "doc", "client", "period", "distributor"]
-    header = ";".join(["No. UC", "CPF/CNPJ", "Razao Social", "Referencia", "Distribuidora"])
-    body = base.select(F.pmod(F.col("row_id"), F.lit(files)).alias("f"), F.lit(2).alias("o"),
-                       F.col("row_id").alias("r"),
-                       F.concat_ws(";", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("value"))
-    spark = base.sparkSession
-    top = spark.range(files).select(F.col("id").cast("int").alias("f"), F.explode(F.array(
-        F.struct(F.lit(0).alias("o"), F.lit(0).cast("long").alias("r"), F.lit("Balanco Operacional").alias("value")),
-        F.struct(F.lit(0).alias("o"), F.lit(1).cast("long").alias("r"), F.lit(";;;").alias("value")),
-        F.struct(F.lit(1).alias("o"), F.lit(0).cast("long").alias("r"), F.lit(header).alias("value")))).alias("x")) \
-        .select("f", "x.o", "x.r", "x.value")
-    lines = body.unionByName(top).repartition(files, "f").sortWithinPartitions("f", "o", "r")
+    files = F.floor(F.regexp_extract("row_id", "([0-9]+)$", 1).cast("long") / EXPORT_ROWS).cast("long")
+    cell = lambda c: F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'))
+    body = base.select(files.alias("f"), F.lit(2).alias("o"), F.col("row_id").alias("r"), F.concat_ws(";", *[cell(c) for c in cols]).alias("value"))
+    top = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(str(i)).alias("r"), F.lit(v).alias("value")) for i, (o, v) in enumerate(
+        [(0, "Balanco Operacional"), (0, ";;;"), (1, ";".join(EXPORT_HEADER))])])
+    lines = body.unionByName(body.select("f").distinct().select("f", F.explode(top).alias("x")).select("f", "x.o", "x.r", "x.value"))
     # one folder per export: a task never mixes two exports in one file
-    lines.select("value", "f").write.mode("overwrite").partitionBy("f").text(path)
+    lines.repartition("f").sortWithinPartitions("f", "o", "r").select("value", "f").write.partitionBy("f").text(path)
 
 
-@register("header_scan")
+@register("header_scan", f"""{W} SELECT '"' || coalesce(uc, '') || '"' AS uc, '"' || coalesce(client, '') || '"' AS client, 2 AS header_line FROM base""")
 def header_scan(spark, sf):
+    import uuid
+
     from kwhrecon.session import scratch_path
     from kwhrecon.sources.readers import read_with_header
-    import uuid
     path = scratch_path(spark, f"exports-{uuid.uuid4().hex}")
     export_with_junk(T.base(spark, sf), path)
-    return read_with_header(spark, path).select("file", "line_no", F.col("cells")[0].alias("uc"))
+    rows = read_with_header(spark, path)
+    return rows.select(F.concat(F.lit('"'), F.col("cells")[0], F.lit('"')).alias("uc"), F.concat(F.lit('"'), F.col("cells")[2], F.lit('"')).alias("client"),
+                       "header_line")

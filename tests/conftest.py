@@ -18,20 +18,22 @@ def spark():
 
 @pytest.fixture
 def sample_base(spark):
-    """The six-row consumption base of the reference's tests, in engine names."""
+    """Seven invented base rows: two plain, a flagged pair of one client, a flagged row alone, a main row alone, a month apart."""
     rows = [
-        (1, "ID-UC-001", "2026-01-01", "UC001", "11111111000101", "Cliente Alpha", "CEMIG", 1500.5, "15%",
-         "2026-01-15", "Pago", 350.00, 0.85, 1275.43, 1625.43, 350.00, None, "Fatura"),
-        (2, "ID-UC-002", "2026-01-01", "UC002", "22222222000102", "Cliente Beta", "CPFL", 2300.0, "10%",
-         "2026-01-20", "Pendente", 520.50, 0.92, 2116.00, 2636.50, 520.50, None, "Contrato"),
-        (3, "ID-UC-003", "2026-02-01", "UC003", "11111111000101", "Cliente Alpha", "CEMIG", 1600.75, "15%",
-         "2026-02-15", "Pendente", 370.25, 0.85, 1360.64, 1730.89, 370.25, None, "Fatura"),
-        (4, "ID-UC-004", "2026-01-01", "UC004", "33333333000103", "Cliente Gamma", "CEMIG", 800.0, "20%",
-         "2026-01-10", "Pago", 200.00, 0.78, 624.00, 824.00, 200.00, "Agrupamento", "Demonstrativo Portal"),
-        (5, "ID-UC-005", "2026-01-01", "UC005", "33333333000103", "Cliente Gamma", "CEMIG", 700.0, "20%",
-         "2026-01-10", "Pago", 180.00, 0.78, 546.00, 726.00, 180.00, "Agrupamento", "Fatura"),
-        (6, "ID-UC-006", "2026-01-01", "UC006", "44444444000104", "Cliente Delta", "LIGHT", 500.0, "12%",
-         "2026-01-25", "Pago", 150.00, 0.80, 400.00, 550.00, 150.00, "Agrupamento", "Contrato"),
+        (1, "neg-901", "2031-07-01", "81.0", "40000000000111", "Padaria Ipê", "Norte Luz", 12.25, "0.07",
+         "2031-08-05", "Em aberto", 61.10, 0.417, 44.0, 105.1, 61.10, None, "Fatura"),
+        (2, "neg-902", "2031-07-01", "82", "40000000000222", "Oficina Jatobá", "Sul Energia", 9.5, "0.05",
+         "2031-08-06", "Pago", 72.20, 0.391, 51.5, 123.7, 72.20, None, "Contrato"),
+        (3, "neg-903", "2031-09-01", "83", "40000000000111", "Padaria Ipê", "Norte Luz", 13.75, "0.07",
+         "2031-10-05", "Em aberto", 66.30, 0.417, 47.2, 113.5, 66.30, None, "Fatura"),
+        (4, "neg-904", "2031-07-01", "84", "40000000000333", "Mercado Cedro", "Norte Luz", 31.0, "0.11",
+         "2031-08-07", "Pago", 15.05, 0.402, 10.1, 25.15, 15.05, "Agrupamento", "Regra interna"),
+        (5, "neg-905", "2031-07-01", "85", "40000000000333", "Mercado Cedro", "Norte Luz", 29.0, "0.11",
+         "2031-08-07", "Pago", 14.95, 0.402, 9.9, 24.85, 14.95, "Agrupamento", "Fatura"),
+        (6, "neg-906", "2031-07-01", "86", "40000000000444", "Escola Angico", "Leste Força", 7.0, "0.09",
+         "2031-08-08", "Pago", 33.00, 0.377, 20.0, 53.0, 33.00, "Agrupamento", "Contrato"),
+        (7, "neg-907", "2031-09-01", "87", None, "Escola Angico", None, None, None,
+         None, None, 5.5, 0.377, 2.0, 7.5, 5.50, None, "Contrato"),
     ]
     schema = ("row_id long, unit_id string, period string, uc string, doc string, client string, "
               "distributor string, consumed_credit double, contract_discount string, due_date string, "

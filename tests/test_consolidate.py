@@ -1,4 +1,4 @@
-"""T1 scenarios of the reference's consolidation tests."""
+"""T1 scenarios."""
 
 from pyspark.sql import functions as F
 
@@ -49,6 +49,13 @@ def test_month_must_match(spark):
     assert gaps == {R.GAP_PERIOD}
 
 
+def test_charges_without_months_join_by_unit(spark):
+    base = spark.createDataFrame([(1, "n1", "81", None, "07/2031", "1", "A", "X", 1.0), (2, "n2", "82", None, "08/2031", "2", "B", "X", 2.0)], BASE)
+    charges = spark.createDataFrame([(5, "81.0", "x", "05/08/2031", "Pago", "Não", "9,00", None, None, "1")], CHG).drop("period")
+    rows = {r.row_id: r for r in consolidate(base, charges, checkpoint=False).consolidated.collect()}
+    assert rows[1].due_date == "05/08/2031" and rows[2].due_date is None and len(rows) == 2
+
+
 def test_gap_absent_unit(spark):
     base = [(1, "001", "777", None, "01/2026", "1", "A", "X", 1.0)]
     ch = [(1, "100", "01-2026", "10/02/2026", "Pago", "Não", "10,00", None, None, "9")]

@@ -1,4 +1,4 @@
-"""Column builders against the reference's value tables."""
+"""Column builders against tables of values."""
 
 import datetime as dt
 
@@ -19,12 +19,12 @@ def one(spark, col_fn, values, dtype="string"):
 def test_parse_full_date(spark):
     vals = ["2026-05-12", "2026-05-12 14:30:00", "12/05/2026", "05-12-2026", "N/A", "", None,
             "texto qualquer", "13/05/2026", "05/13/2026", "12-2025", "20260512", "12.05.2026",
-            "15-05-2026 10:00", "1/5/26", "2026-05-12xyz", "2026-02-30"]
+            "15-05-2026 10:00", "1/5/26", "2026-05-12xyz", "2026-02-30", "2026/05", "2026-05", "Jan-2026", "10 Feb 2026", "Foo 2026"]
     d = dt.date
     assert one(spark, D.parse_full_date, vals) == [
         d(2026, 5, 12), d(2026, 5, 12), d(2026, 5, 12), d(2026, 12, 5), None, None, None, None,
         d(2026, 5, 13), d(2026, 5, 13), d(2025, 12, 1), d(2026, 5, 12), d(2026, 5, 12), d(2026, 5, 15),
-        d(2026, 5, 1), None, None]
+        d(2026, 5, 1), None, None, d(2026, 5, 1), d(2026, 5, 1), d(2026, 1, 1), d(2026, 2, 10), None]
 
 
 def test_reference_period(spark):
@@ -60,9 +60,9 @@ def test_unit_keys(spark):
 
 
 def test_br_numbers(spark):
-    vals = ["1.234,56", "170,71", "1234.56", "-", "", None, "abc", " 12 "]
+    vals = ["1.234,56", "170,71", "1234.56", "-", "", None, "abc", " 12 ", "0,853421", "1.500,375", "1e5"]
     got = [None if v is None else float(v) for v in one(spark, M.br_number, vals)]
-    assert got == [1234.56, 170.71, 1234.56, None, None, None, None, 12.0]
+    assert got == [1234.56, 170.71, 1234.56, None, None, None, None, 12.0, 0.853421, 1500.375, 100000.0]
     strict = [None if v is None else float(v) for v in one(spark, lambda c: M.charge_money(c, strict_br=True), vals[:3])]
     assert strict == [1234.56, 170.71, 123456.0]
     assert one(spark, M.clamp_non_negative, [-0.5, 0.85, None], "double") == [0.0, 0.85, None]
@@ -75,19 +75,19 @@ def test_documents_and_titles(spark):
 
 
 def test_names(spark):
-    assert one(spark, FM.period_token, ["2026-01-01", "02/2026", "xx yy"]) == ["jan_2026", "fev_2026", "xx_yy"]
+    assert one(spark, FM.period_token, ["2031-07-01", "11/2030", "um dois"]) == ["jul_2031", "nov_2030", "um_dois"]
     df = spark.createDataFrame([
-        ("Grupo_1", ["EMBRACON ADM", "DELCI"], ["01/2026"]),
-        ("Projeto Alpha", ["CLI_A"], ["01/2026", "02/2026"]),
-        ("Fortbras_nov_2025_nov_dez_2025", ["FORTBRAS"], ["11/2025", "12/2025", "01/2026", "02/2026"]),
-        ("Fortbras_nov_dez_2025_jan_fev_2026", ["FORTBRAS"], ["12/2025"]),
-    ], "n string, c array<string>, p array<string>")
-    got = df.select(FM.suggested_name("n", F.col("c"), F.col("p")).alias("s"),
-                    FM.zip_entry_name("n", F.col("c"), F.col("p")[0]).alias("z")).collect()
-    assert [r.s for r in got] == ["EMBRACON_ADM_e_outros_jan_2026", "Projeto_Alpha_jan_fev_2026",
-                                  "Fortbras_nov_dez_2025_jan_fev_2026", "Fortbras_dez_2025"]
-    assert got[0].z == "EMBRACON_ADM_e_outros_jan_2026.xlsx"
-    assert got[3].z == "Fortbras_dez_2025.xlsx"
+        (0, "Grupo_7", ["Padaria Ipê", "Mercado Cedro"], ["07/2031"]),
+        (1, "Grupo_8", ["Escola"], []),
+        (2, "Rede Sul", ["Escola"], ["07/2031", "08/2031"]),
+        (3, "Rede_jul_2031", ["Escola"], ["09/2031"]),
+        (4, "", [], ["09/2031"]),
+    ], "i int, n string, c array<string>, p array<string>")
+    got = df.orderBy("i").select(FM.suggested_name("n", F.col("c"), F.col("p")).alias("s"), FM.output_file_name("n", F.col("c"), F.col("p")).alias("o"),
+                                 FM.zip_entry_name("n", F.col("c"), F.coalesce(F.try_element_at("p", F.lit(1)), F.lit("07/2031"))).alias("z")).collect()
+    assert [r.s for r in got] == ["Padaria_Ip_e_outros_jul_2031", "Escola", "Rede_Sul_jul_ago_2031", "Rede_set_2031", "Memoria_Calculo_set_2031"]
+    assert [r.o for r in got] == ["Padaria_Ip_e_outros_jul_2031.xlsx", "Escola.xlsx", "Rede_Sul.xlsx", "Rede_jul_2031.xlsx", "Sem_Nome.xlsx"]
+    assert [r.z for r in got][:4] == ["Padaria_Ip_e_outros_jul_2031.xlsx", "Escola_jul_2031.xlsx", "Rede_Sul_jul_2031.xlsx", "Rede_set_2031.xlsx"]
     p = spark.createDataFrame([(["12/2025", "01/2026"],), (["02/2026", "01/2026"],)], "p array<string>")
     assert [r[0] for r in p.select(FM.periods_suffix(F.col("p"))).collect()] == ["dez_2025_jan_2026", "jan_fev_2026"]
 

@@ -8,11 +8,12 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
+from kwhrecon.plans import registry  # noqa: E402
 from tools.oracle_check import TABLES, digest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 FAST = os.environ.get("KWHRECON_FAST") == "1"
-NAMES = sorted(E.oracle_sql())
+NAMES = sorted(registry.oracle_sql())
 
 
 @pytest.fixture(scope="module")

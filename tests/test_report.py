@@ -15,47 +15,48 @@ def grouped(df, mode="default", **kw):
     return G.apply_grouping(df, mode, has_commercial=False, **kw)
 
 
-def test_gamma_parent_and_sum(sample_base):
-    g = grouped(sample_base.filter(F.col("client") == "Cliente Gamma"))
+def test_flagged_pair_gets_a_parent_with_sums(sample_base):
+    g = grouped(sample_base.filter(F.col("client") == "Mercado Cedro"))
     rows = sorted(g.collect(), key=lambda r: (r.kind_rank, r.row_id or 0))
     assert len(rows) == 4
     parent = rows[0]
     assert parent.row_kind == "parent" and parent.uc == "Consolidado (Default)"
-    assert parent.amount == pytest.approx(380.0)
+    assert parent.amount == pytest.approx(30.0) and parent.consumed_credit == pytest.approx(60.0)
     assert [r.row_kind for r in rows[1:]] == ["child", "child", "separator"]
 
 
-def test_all_clients_twelve_rows(sample_base):
+def test_every_group_ends_with_a_separator(sample_base):
     g = grouped(sample_base)
     kinds = [r.row_kind for r in g.collect()]
-    assert len(kinds) == 12 and kinds.count("parent") == 1 and kinds.count("separator") == 5
+    assert len(kinds) == 14 and kinds.count("parent") == 1 and kinds.count("separator") == 6
 
 
 def test_lonely_flagged_unit_no_parent(sample_base):
-    g = grouped(sample_base.filter(F.col("client") == "Cliente Delta"))
+    g = grouped(sample_base.filter((F.col("client") == "Escola Angico") & F.col("group_flag").isNotNull()))
     assert sorted(r.row_kind for r in g.collect()) == ["normal", "separator"]
 
 
 def test_cnpj_mode_groups_without_flag(sample_base):
-    g = grouped(sample_base.filter(F.col("client") == "Cliente Gamma"), "cnpj")
+    g = grouped(sample_base.filter(F.col("client") == "Mercado Cedro"), "cnpj")
     assert sum(r.row_kind == "parent" for r in g.collect()) == 1
 
 
 def test_no_children_and_majority(sample_base):
-    g = grouped(sample_base.filter(F.col("client") == "Cliente Gamma"), include_child_rows=False)
+    g = grouped(sample_base.filter(F.col("client") == "Mercado Cedro"), include_child_rows=False)
     kinds = sorted(r.row_kind for r in g.collect())
     assert kinds == ["parent", "separator"]
-    full = grouped(sample_base.filter(F.col("client") == "Cliente Gamma"))
+    full = grouped(sample_base.filter(F.col("client") == "Mercado Cedro"))
     parent = [r for r in full.collect() if r.row_kind == "parent"][0]
     # one Fatura out of two children is no majority
     assert parent.classification == "Regra de Negócio"
 
 
 def test_document_expansion(spark):
-    df = spark.createDataFrame([("Cliente A", "88.456.760/0001-98", "UC1"), ("Cliente A2", "88456760000198", "UC2"),
-                                ("Outro", "11111111000111", "UC3")], "client string, doc string, uc string")
-    got = sorted(r.uc for r in P.client_scope(df, ["Cliente A"]).collect())
-    assert got == ["UC1", "UC2"]
+    df = spark.createDataFrame([("Ipê", "40.000.000/0001-11", "a"), ("Ipê filial", "40000000000111", "b"), ("Ipê", None, "c"),
+                                ("Cedro", "40000000000333", "d"), (None, "40000000000111", "e"), (None, None, "f")],
+                               "client string, doc string, uc string")
+    assert sorted(r.uc for r in P.client_scope(df, ["Ipê"]).collect()) == ["a", "b", "c", "e"]
+    assert P.client_scope(df, []).count() == 6
 
 
 def test_period_scope_invalid_list_keeps_nothing(spark):
@@ -65,6 +66,11 @@ def test_period_scope_invalid_list_keeps_nothing(spark):
     assert P.period_scope(df, []).count() == 2
 
 
+def test_positive_charge_takes_numbers_only(spark):
+    df = spark.createDataFrame([(1, "3.5"), (2, "0"), (3, "-1"), (4, "abc"), (5, None), (6, "NaN")], "i int, charged_amount string")
+    assert [r.i for r in df.filter(P.positive_charge()).collect()] == [1]
+
+
 def test_portal_restriction(spark):
     df = spark.createDataFrame([
         (0, 1, "631753726", "01/2026", 111.0, None, "Fatura", "A1", 5.0),
