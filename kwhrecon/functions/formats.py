@@ -102,26 +102,34 @@ def is_generic_group_name(c) -> Column:
 
 
 def scope_base_name(name, clients: Column) -> Column:
+    """F28 (base part) of a list of clients."""
+    return scope_base_name_of(name, F.coalesce(F.size(clients), F.lit(0)), F.get(clients, F.lit(0)))
+
+
+def scope_base_name_of(name, n: Column, first: Column) -> Column:
     """F28 (base part): custom name without its period signature; else the
     single client, ``<first>_e_outros``, or ``Memoria_Calculo``; sanitised."""
     name = col_of(name)
     custom = name.isNotNull() & (name != "") & ~as_text(name).startswith("Grupo_")
-    n = F.coalesce(F.size(clients), F.lit(0))
     base = (F.when(custom, strip_period_signature(name))
-            .when(n == 1, clients[0])
-            .when(n > 1, F.concat(clients[0], F.lit("_e_outros")))
+            .when(n == 1, first)
+            .when(n > 1, F.concat(first, F.lit("_e_outros")))
             .otherwise(F.lit("Memoria_Calculo")))
     return sanitize_filename(base, DEFAULT_REPORT_NAME)
 
 
 def output_file_name(name, clients: Column, periods: Column) -> Column:
+    """F28 (one file per group) of a list of clients."""
+    return output_file_name_of(name, F.coalesce(F.size(clients), F.lit(0)), F.get(clients, F.lit(0)), periods)
+
+
+def output_file_name_of(name, n: Column, first: Column, periods: Column) -> Column:
     """F28 (one file per group): generic ``Grupo_<n>`` names take the client
     base plus the period suffix; any other name is kept, sanitised."""
     name = col_of(name)
     raw = F.coalesce(F.nullif(as_text(name), F.lit("")), F.lit("Sem_Nome"))
-    n = F.coalesce(F.size(clients), F.lit(0))
-    base = sanitize_filename(F.when(n == 1, clients[0])
-                             .when(n > 1, F.concat(clients[0], F.lit("_e_outros")))
+    base = sanitize_filename(F.when(n == 1, first)
+                             .when(n > 1, F.concat(first, F.lit("_e_outros")))
                              .otherwise(raw))
     suffix = periods_suffix(periods)
     generic = F.when(suffix == "", F.concat(base, F.lit(".xlsx"))) \

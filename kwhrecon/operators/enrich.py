@@ -86,9 +86,9 @@ def profile_wide(long_rows: DataFrame, fields, key: str = "uc") -> DataFrame:
 
 
 def group_clients(groups: DataFrame, name: str | None = None) -> DataFrame:
-    """Saved group(s) -> one row per (group, client)."""
+    """The clients of the saved group(s), each once, from rows (group_id, group_name, client)."""
     g = groups if name is None else groups.filter(F.col("group_name") == name)
-    return g.select("group_name", F.explode("clients").alias("client"))
+    return g.filter(F.col("client").isNotNull()).select("group_id", "group_name", "client").distinct()
 
 
 def profile_names(primary: DataFrame, local: DataFrame, profile: str = "profile") -> DataFrame:

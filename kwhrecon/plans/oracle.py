@@ -285,17 +285,21 @@ def periods_suffix(arr: str) -> str:
             f"|| '_' || CAST(y AS VARCHAR)), '_'), '')")
 
 
-def output_file_name(name: str, clients: str, periods: str) -> str:
+def output_file_name(name: str, n: str, first: str, periods: str) -> str:
     raw = f"coalesce(nullif({txt(name)}, ''), 'Sem_Nome')"
-    n = f"coalesce(len({clients}), 0)"
-    base = sanitize_filename(f"(CASE WHEN {n} = 1 THEN {clients}[1] WHEN {n} > 1 THEN {clients}[1] || '_e_outros' "
-                             f"ELSE {raw} END)")
+    base = sanitize_filename(f"(CASE WHEN {n} = 1 THEN {first} WHEN {n} > 1 THEN {first} || '_e_outros' ELSE {raw} END)")
     suffix = periods_suffix(periods)
     generic = f"(CASE WHEN {suffix} = '' THEN {base} || '.xlsx' ELSE {base} || '_' || {suffix} || '.xlsx' END)"
     return (f"(CASE WHEN regexp_matches({strip(raw)}, '^Grupo_\\d+$') THEN {generic} "
             f"ELSE {sanitize_filename(raw)} || '.xlsx' END)")
 
 
+GROUP_HEADS = """heads AS (SELECT h.group_id, group_name, n, first, months FROM
+  (SELECT group_id, min(group_name) AS group_name, count(DISTINCT client) AS n, min(client) AS first FROM client_groups
+   WHERE client IS NOT NULL GROUP BY group_id) h
+  JOIN (SELECT group_id, list_sort(list(DISTINCT period)) AS months FROM group_periods GROUP BY group_id) p ON h.group_id = p.group_id)"""
+
+
 REPORT_NAMES = ["unit_id", "period", "uc", "account", "doc", "client", "distributor", "consumed_credit",
                 "contract_discount", "due_date", "status", "amount", "tariff", "cost_with_gd", "cost_without_gd",
                 "savings", "classification"]
@@ -303,37 +307,36 @@ REPORT_NAMES = ["unit_id", "period", "uc", "account", "doc", "client", "distribu
 MEASURES = [("consumed_credit", False), ("amount", True), ("tariff", False), ("cost_with_gd", True), ("cost_without_gd", True), ("savings", False)]
 
 
-def group_scope_ctes(with_periods: bool = True) -> str:
-    fname = output_file_name("group_name", "clients", "periods")
-    s = f"""grp AS (SELECT group_name, clients, periods, {fname} AS output_name FROM client_groups
-  WHERE len(clients) > 0 AND len(periods) > 0),
-gmembers AS (SELECT output_name, unnest(clients) AS client FROM grp),
+def group_scope_ctes() -> str:
+    fname = output_file_name("group_name", "n", "first", "months")
+    return f"""{GROUP_HEADS},
+grp AS (SELECT group_id, {fname} AS output_name FROM heads),
+gmembers AS (SELECT DISTINCT c.group_id, output_name, client FROM client_groups c JOIN grp ON grp.group_id = c.group_id WHERE client IS NOT NULL),
 keyed AS (SELECT *, {doc_digits('doc')} AS dk FROM consolidated),
-by_client AS (SELECT k.*, m.output_name FROM keyed k JOIN gmembers m ON k.client = m.client),
-gdocs AS (SELECT DISTINCT output_name, dk FROM by_client WHERE dk <> ''),
-scope_all AS (SELECT k.*, d.output_name FROM keyed k JOIN gdocs d ON k.dk = d.dk WHERE k.dk <> ''
-  UNION ALL BY NAME SELECT * FROM by_client WHERE dk = '')"""
-    if with_periods:
-        s += f""",
-gmonths AS (SELECT DISTINCT output_name, {f5('p')} AS m FROM (SELECT output_name, unnest(periods) AS p FROM grp)
-  WHERE {f5('p')} <> ''),
+by_client AS (SELECT k.*, m.group_id, m.output_name FROM keyed k JOIN gmembers m ON k.client = m.client),
+gdocs AS (SELECT DISTINCT group_id, output_name, dk FROM by_client WHERE dk <> ''),
+scope_all AS (SELECT k.*, d.group_id, d.output_name FROM keyed k JOIN gdocs d ON k.dk = d.dk WHERE k.dk <> ''
+  UNION ALL BY NAME SELECT * FROM by_client WHERE dk = ''),
+gmonths AS (SELECT DISTINCT group_id, {f5('period')} AS m FROM group_periods WHERE {f5('period')} <> ''),
 scope_p AS (SELECT s.* FROM scope_all s WHERE {f5('s.period')} <> ''
-  AND EXISTS (SELECT 1 FROM gmonths m WHERE m.output_name = s.output_name AND m.m = {f5('s.period')}))"""
-    return s
+  AND EXISTS (SELECT 1 FROM gmonths m WHERE m.group_id = s.group_id AND m.m = {f5('s.period')}))"""
 
 
 def report_ctes(mode: str = "default", include_children: bool = True, sort_by: str = "savings",
                 only_pending: bool = False, split_audit: bool = False, multi_sheet: bool = False,
                 scope: str = "all", with_meta: bool = True, as_of: str = "1996-06-01",
-                incomplete: str = "all") -> str:
+                incomplete: str = "all", scope_sql: tuple[str, str, str] | None = None) -> str:
     """The report as CTEs over ``t1_ctes()``; final CTEs ``grouped`` and ``report``."""
-    X = {"all": [], "by_month": ["output_period"], "by_group": ["output_name"]}[scope]
+    X = {"all": [], "by_month": ["output_period"], "by_group": ["group_id", "output_name"]}[scope]
     xk = "".join(k + ", " for k in X)
-    on_x = "".join(f" AND a.{k} = s.{k}" for k in X if k == "output_name")
+    on_x = "".join(f" AND a.{k} = s.{k}" for k in X if k != "output_period")
     if scope == "by_group":
         scope_ctes = group_scope_ctes() + ",\nscope AS (SELECT * EXCLUDE (dk) FROM scope_p),\n" \
                      "alias_scope AS (SELECT * EXCLUDE (dk) FROM scope_all)"
-        ax = "output_name, "
+        ax = "group_id, output_name, "
+    elif scope_sql:
+        ctes, rows, alias_rows = scope_sql
+        scope_ctes, ax = f"{ctes},\nscope AS (SELECT * FROM {rows}),\nalias_scope AS (SELECT * FROM {alias_rows})", ""
     else:
         scope_ctes = "scope AS (SELECT * FROM consolidated),\nalias_scope AS (SELECT * FROM consolidated)"
         ax = ""

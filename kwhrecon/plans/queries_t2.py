@@ -46,19 +46,45 @@ def _sql(tail="SELECT * FROM report", **kw):
 # ------------------------------------------------------------------ scope
 
 @register("filter_clients_docs", f"""{W1},
-{O.group_scope_ctes(with_periods=False)}
-SELECT output_name, src, row_id FROM scope_all""")
+{O.group_scope_ctes()}
+SELECT group_id, output_name, src, row_id FROM scope_all""")
 def filter_clients_docs(spark, sf):
-    s = RP.group_scope(T.consolidated(spark, sf), T.groups(spark, sf), with_periods=False)
-    return s.select("output_name", "src", "row_id")
+    s = RP.group_scope(T.consolidated(spark, sf), T.groups(spark, sf), T.group_periods(spark, sf))
+    return s.select("group_id", "output_name", "src", "row_id")
 
 
 @register("group_scope", f"""{W1},
-{O.group_scope_ctes(with_periods=True)}
-SELECT output_name, src, row_id, period FROM scope_p""")
+{O.group_scope_ctes()}
+SELECT group_id, output_name, src, row_id, period FROM scope_p""")
 def group_scope(spark, sf):
-    s = RP.group_scope(T.consolidated(spark, sf), T.groups(spark, sf))
-    return s.select("output_name", "src", "row_id", "period")
+    s = RP.group_scope(T.consolidated(spark, sf), T.groups(spark, sf), T.group_periods(spark, sf))
+    return s.filter("in_months").select("group_id", "output_name", "src", "row_id", "period")
+
+
+# a scope of named clients and months, as a user picks them
+SCOPE_CLIENTS = [f"Customer#{i:09d}" for i in range(1, 40)] + ["Customer#000000042 LTDA", "no such client"]
+SCOPE_PERIODS = ["01/1997", "1996-05", "Feb-1995", "03/1994", "not a month"]
+_PICKED = ", ".join(O.q(c) for c in SCOPE_CLIENTS)
+_SCOPED = f"""picked AS (SELECT * FROM consolidated WHERE client IN ({_PICKED})
+  OR ({O.doc_digits('doc')} <> '' AND {O.doc_digits('doc')} IN (SELECT {O.doc_digits('doc')} FROM consolidated WHERE client IN ({_PICKED}))))"""
+_SCOPED_P = f"{_SCOPED}, scoped AS (SELECT * FROM picked WHERE {O.f5('period')} <> '' AND {O.f5('period')} IN ({', '.join(O.f5(O.q(p)) for p in SCOPE_PERIODS)}))"
+
+
+@register("client_scope", f"{W1}, {_SCOPED} SELECT src, row_id, client, doc FROM picked")
+def client_scope(spark, sf):
+    return P.client_scope(T.consolidated(spark, sf), SCOPE_CLIENTS).select("src", "row_id", "client", "doc")
+
+
+@register("review_metrics_scoped", f"""{W1}, {_SCOPED_P} SELECT count(*) AS total_rows,
+  CAST(count_if(due_date IS NULL OR {O.lower_strip('due_date')} IN ('', 'nan', 'nat', 'none')) AS BIGINT) AS incomplete_rows FROM scoped""")
+def review_metrics_scoped(spark, sf):
+    return S.review_metrics(P.filter_scope(T.consolidated(spark, sf), SCOPE_CLIENTS, SCOPE_PERIODS))
+
+
+@register("report_scoped", O.report_ctes(as_of=AS_OF, mode="distributor", scope_sql=(_SCOPED_P, "scoped", "picked")) + "\nSELECT * FROM report")
+def report_scoped(spark, sf):
+    r = RP.generate(T.consolidated(spark, sf), SCOPE_CLIENTS, SCOPE_PERIODS, T.metadata(spark, sf), _opts(grouping_mode="distributor"))
+    return RP.flat_report(r)
 
 
 _WANTED = ", ".join(O.f5(O.q(p)) for p in GROUP_PERIODS)
@@ -232,21 +258,17 @@ def report_by_month(spark, sf):
 
 @register("report_by_group", _sql(scope="by_group"))
 def report_by_group(spark, sf):
-    r = RP.generate_many(T.consolidated(spark, sf), T.groups(spark, sf), T.metadata(spark, sf), _opts())
+    r = RP.generate_many(T.consolidated(spark, sf), T.groups(spark, sf), T.group_periods(spark, sf), T.metadata(spark, sf), _opts())
     return RP.flat_report(r)
 
 
 # ------------------------------------------------------------------ names and metadata
 
-_CL, _PE = "clients", "periods"
-
-
-@register("output_names", f"""{W} SELECT group_name, {O.output_file_name('group_name', _CL, _PE)} AS file_name,
-  {O.periods_suffix(_PE)} AS period_suffix FROM client_groups""")
+@register("output_names", f"""{W}, {O.GROUP_HEADS} SELECT group_id, group_name,
+  {O.output_file_name('group_name', 'n', 'first', 'months')} AS file_name, {O.periods_suffix('months')} AS period_suffix FROM heads""")
 def output_names(spark, sf):
-    g = T.groups(spark, sf)
-    return g.select("group_name", FM.output_file_name("group_name", F.col(_CL), F.col(_PE)).alias("file_name"),
-                    FM.periods_suffix(F.col(_PE)).alias("period_suffix"))
+    g = RP.group_names(T.groups(spark, sf), T.group_periods(spark, sf))
+    return g.select("group_id", "group_name", F.col("output_name").alias("file_name"), FM.periods_suffix(F.col("periods")).alias("period_suffix"))
 
 
 @register("profile_explode", f"""{W} SELECT uc, 'cost_center' AS field, cost_center AS value FROM metadata
@@ -298,16 +320,21 @@ def metadata_delete(spark, sf):
     return E.delete_keys(cur, _imports(spark, sf))
 
 
-@register("group_clients", f"{W} SELECT group_name, unnest(clients) AS client FROM client_groups")
+@register("group_clients", f"{W} SELECT DISTINCT group_id, group_name, client FROM client_groups WHERE client IS NOT NULL")
 def group_clients(spark, sf):
     return E.group_clients(T.groups(spark, sf))
 
 
-@register("zip_names", f"""{W} SELECT group_name, p AS period,
-  {O.sanitize_filename('group_name', 'memoria_calculo')} AS base_name FROM (SELECT group_name, unnest(periods) AS p FROM client_groups)""")
+_BASE = ("(CASE WHEN group_name IS NOT NULL AND group_name <> '' AND NOT starts_with(group_name, 'Grupo_') THEN "
+         + O.sanitize_filename("group_name", "memoria_calculo") + " WHEN n = 1 THEN " + O.sanitize_filename("first", "memoria_calculo")
+         + " WHEN n > 1 THEN " + O.sanitize_filename("first || '_e_outros'", "memoria_calculo") + " ELSE 'Memoria_Calculo' END)")
+
+
+@register("zip_names", f"""{W}, {O.GROUP_HEADS} SELECT h.group_id, p.period, {_BASE} AS base_name
+  FROM heads h JOIN (SELECT DISTINCT group_id, period FROM group_periods) p ON p.group_id = h.group_id""")
 def zip_names(spark, sf):
-    g = T.groups(spark, sf).select("group_name", "clients", F.explode("periods").alias("period"))
-    return g.select("group_name", "period", FM.scope_base_name("group_name", F.col("clients")).alias("base_name"))
+    g = RP.group_names(T.groups(spark, sf), T.group_periods(spark, sf)).select("group_id", "group_name", "n_clients", "first_client", F.explode("periods").alias("period"))
+    return g.select("group_id", "period", FM.scope_base_name_of("group_name", F.col("n_clients"), F.col("first_client")).alias("base_name"))
 
 
 # ------------------------------------------------------------------ header scan

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kwhrecon.functions.dates import normalize_period_value
-from kwhrecon.functions.formats import output_file_name
+from kwhrecon.functions.formats import output_file_name_of
 from kwhrecon.functions.keys import doc_digits
 from kwhrecon.functions.money import br_number
 from kwhrecon.operators import enrich as E
@@ -112,42 +112,57 @@ def generate_by_month(consolidated: DataFrame, clients, periods, metadata: DataF
     return _finish(work, opts, extra_cols, ["output_period"])
 
 
-def group_scope(consolidated: DataFrame, groups: DataFrame, with_periods: bool = True) -> DataFrame:
-    """J10 + J11 + P1-P3 for many groups at once: consolidated rows tagged
-    with ``output_name`` (F28). A row belongs to a group when its client is
-    listed or its (non-empty) document is one of the listed clients'
-    documents; rows with a document match through the document join only,
-    rows without one through the client join only, so the two parts are
+GROUP_KEYS = ["group_id", "output_name"]
+
+
+def group_names(groups: DataFrame, periods: DataFrame) -> DataFrame:
+    """(group_id, group_name, n_clients, first_client, periods, output_name) of the
+    groups that have clients and months. ``groups`` has one row per client and
+    ``periods`` one per month; a name needs only the number of different clients,
+    the first of them and the months (a list bounded by the calendar)."""
+    heads = groups.filter(F.col("client").isNotNull()).groupBy("group_id").agg(
+        F.min("group_name").alias("group_name"), F.count_distinct("client").alias("n_clients"), F.min("client").alias("first_client"))
+    months = periods.groupBy("group_id").agg(F.sort_array(F.collect_set("period")).alias("periods"))
+    return heads.join(months, "group_id").withColumn(
+        "output_name", output_file_name_of("group_name", F.col("n_clients"), F.col("first_client"), F.col("periods")))
+
+
+def group_scope(consolidated: DataFrame, groups: DataFrame, periods: DataFrame) -> DataFrame:
+    """J10 + J11 + P1-P3 for many groups at once: consolidated rows tagged with
+    ``GROUP_KEYS`` and ``in_months``. The group id keeps outputs apart whose names
+    (F28) are equal; a client listed twice counts once. A row belongs to a group
+    when its client is listed or its (non-empty) document is one of the listed
+    clients' documents; rows with a document match through the document join
+    only, rows without one through the client join only, so the two parts are
     disjoint. Groups without clients or months produce nothing (K3)."""
-    g = groups.filter((F.size("clients") > 0) & (F.size("periods") > 0)) \
-        .withColumn("output_name", output_file_name("group_name", F.col("clients"), F.col("periods")))
-    members = g.select("output_name", F.explode("clients").alias("client"))
+    names = group_names(groups, periods).select(*GROUP_KEYS)
+    members = E.group_clients(groups).select("group_id", "client").join(names, "group_id")
     keyed = consolidated.withColumn("_doc_key", doc_digits("doc"))
     by_client = keyed.join(members, "client")
-    docs = by_client.filter(F.col("_doc_key") != "").select("output_name", "_doc_key").distinct()
+    docs = by_client.filter(F.col("_doc_key") != "").select(*GROUP_KEYS, "_doc_key").distinct()
     with_doc = keyed.filter(F.col("_doc_key") != "").join(docs, "_doc_key")
     without_doc = by_client.filter(F.col("_doc_key") == "")
-    scope = with_doc.unionByName(without_doc).drop("_doc_key")
-    if not with_periods:
-        return scope
-    months = (g.select("output_name", F.explode("periods").alias("_p"))
-              .select("output_name", normalize_period_value("_p").alias("_month"))
-              .filter(F.col("_month") != "").distinct())
-    scope = scope.withColumn("_month", normalize_period_value("period")).filter(F.col("_month") != "")
-    return scope.join(months, ["output_name", "_month"], "left_semi").drop("_month")
+    scope = with_doc.unionByName(without_doc).drop("_doc_key").withColumn("_month", normalize_period_value("period"))
+    months = (periods.select("group_id", normalize_period_value("period").alias("_month"))
+              .filter(F.col("_month") != "").distinct().withColumn("in_months", F.lit(True)))
+    return (scope.join(months, ["group_id", "_month"], "left")
+            .withColumn("in_months", F.coalesce("in_months", F.lit(False))).drop("_month"))
 
 
-def generate_many(consolidated: DataFrame, groups: DataFrame, metadata: DataFrame | None = None,
+def generate_many(consolidated: DataFrame, groups: DataFrame, periods: DataFrame, metadata: DataFrame | None = None,
                   opts: ReportOptions | None = None) -> DataFrame:
-    """One output per saved group (``output_name``), as one plan."""
+    """One output per saved group (``GROUP_KEYS``), as one plan over one scope."""
     opts = opts or ReportOptions()
-    scope = group_scope(consolidated, groups)
-    alias_scope = group_scope(consolidated, groups, with_periods=False)
-    work = J.restrict_to_portal(scope, alias_scope, extra_keys=["output_name"])
+    everything = group_scope(consolidated, groups, periods)
+    if opts.checkpoint:
+        everything = materialize(everything)
+    alias_scope = everything.drop("in_months")
+    scope = everything.filter("in_months").drop("in_months")
+    work = J.restrict_to_portal(scope, alias_scope, extra_keys=GROUP_KEYS)
     extra_cols = []
     if metadata is not None:
         work, extra_cols = E.enrich_left(work, metadata, reserved=L.REPORT_NAMES)
-    return _finish(work, opts, extra_cols, ["output_name"])
+    return _finish(work, opts, extra_cols, GROUP_KEYS)
 
 
 def sorted_report(report: DataFrame, extra_keys=()) -> DataFrame:

@@ -44,6 +44,10 @@ def groups(spark, sf_dir) -> DataFrame:
     return X.client_groups_table(spark, sf_dir)
 
 
+def group_periods(spark, sf_dir) -> DataFrame:
+    return X.group_periods_table(spark, sf_dir)
+
+
 def consolidation(spark: SparkSession, sf_dir: str) -> Consolidation:
     k = _key(spark, sf_dir)
     if k not in _MEMO:

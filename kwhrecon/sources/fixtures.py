@@ -88,19 +88,16 @@ FROM {orders}
 # Text months of every client group; the last one matches no row.
 GROUP_PERIODS = ["01/1997", "1997-02", "13/1997"]
 
-CLIENT_GROUPS_SQL_SPARK = """
-SELECT n_name AS group_name, sort_array(collect_list(c_name)) AS clients,
-       array('01/1997', '1997-02', '13/1997') AS periods
-FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
-GROUP BY n_name
-"""
+_GROUP = """SELECT n_nationkey AS group_id,
+  CASE WHEN n_nationkey % 5 = 0 THEN 'Grupo_' || cast(n_nationkey AS string) WHEN n_nationkey IN (7, 8) THEN 'Carteira Comum' ELSE n_name END AS group_name,
+  c_name AS client FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""
 
-CLIENT_GROUPS_SQL_DUCKDB = """
-SELECT n_name AS group_name, list_sort(list(c_name)) AS clients,
-       ['01/1997', '1997-02', '13/1997'] AS periods
-FROM customer JOIN nation ON c_nationkey = n_nationkey
-GROUP BY n_name
-"""
+# One row per client of a saved group; two groups share a name, and some clients are listed twice.
+CLIENT_GROUPS_SQL = f"{_GROUP} UNION ALL {_GROUP} WHERE c_custkey % 7 = 0"
+
+# One row per month of a saved group.
+GROUP_PERIODS_SQL = " UNION ALL ".join(
+    f"SELECT n_nationkey AS group_id, '{p}' AS period FROM {{nation}}" for p in GROUP_PERIODS)
 
 # Columns of each input table that the derived tables read (pruned scans).
 _NEEDED = {
@@ -135,7 +132,11 @@ def metadata_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def client_groups_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, CLIENT_GROUPS_SQL_SPARK, ["customer", "nation"])
+    return _sql(spark, sf_dir, CLIENT_GROUPS_SQL, ["customer", "nation"])
+
+
+def group_periods_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, GROUP_PERIODS_SQL, ["nation"])
 
 
 def duckdb_ctes() -> str:
@@ -144,4 +145,5 @@ def duckdb_ctes() -> str:
     return ("WITH base AS (" + BASE_SQL.format(**names) + "),\n"
             "charges AS (" + CHARGES_SQL.format(**names) + "),\n"
             "metadata AS (" + METADATA_SQL.format(**names) + "),\n"
-            "client_groups AS (" + CLIENT_GROUPS_SQL_DUCKDB + ")")
+            "client_groups AS (" + CLIENT_GROUPS_SQL.format(**names) + "),\n"
+            "group_periods AS (" + GROUP_PERIODS_SQL.format(**names) + ")")

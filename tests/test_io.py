@@ -61,8 +61,8 @@ def test_sinks_round_trip(spark):
     K.write_gap_report(res.gaps, os.path.join(d, "gaps"), "2026-01-01T00:00:00")
     hdr = spark.read.json(os.path.join(d, "gaps", "header")).first()
     assert hdr.total_ucs_sem_vencimento == res.gaps.count()
-    groups = K.save_client_group(T.groups(spark, SF), "Grupo_1", ["A", "B"])
-    assert groups.filter(F.col("group_name") == "Grupo_1").count() == 1
+    groups = K.save_client_group(T.groups(spark, SF), 900, "Grupo_900", ["A", "B", "A"])
+    assert groups.filter(F.col("group_id") == 900).count() == 2
 
 
 def test_refresh_equals_full_run_after_a_replay(spark):
