@@ -185,8 +185,8 @@ def classify(x: str = "source") -> str:
 CHARGE_FIELDS = ["due_date", "charge_status", "charged_amount", "account", "paid_date", "is_dup", "portal_uc"]
 
 
-def t1_ctes() -> str:
-    """Consolidated table as CTEs; final CTE ``consolidated``."""
+def t1_ctes(row_id: str = "row_id", charge_id: str = "charge_id") -> str:
+    """Consolidated table as CTEs; final CTE ``consolidated``. The ids may be other expressions."""
     ident = ["client", "doc", "distributor", "unit_id"]
     base_cols = ["row_id", "unit_id", "uc", "alt_uc", "period", "doc", "client", "distributor", "amount",
                  "savings", "tariff", "commercial_id", "group_flag", "main_flag", "source", "status", "consumed_credit",
@@ -205,7 +205,7 @@ def t1_ctes() -> str:
         f"THEN coalesce(l0.{c}, l1.{c}, l2.{c}) ELSE u.{c} END AS {c}" for c in ident)
     return f"""{duckdb_ctes()},
 charges_k AS (
-  SELECT charge_id, uc, period, due_date, status AS charge_status, cancelled, account, paid_date, doc,
+  SELECT {charge_id} AS charge_id, uc, period, due_date, status AS charge_status, cancelled, account, paid_date, doc,
     {uc_key('uc')} AS uc_key, {portal_uc('uc')} AS portal_uc, {f6('period')} AS period_month,
     {br('charged_amount', kind='18,2')} AS charged_amount,
     coalesce({lower_strip('cancelled')} <> 'sim', true) AS active,
@@ -218,7 +218,7 @@ ranked AS (
 deduped AS (SELECT * EXCLUDE (rn), dup_count > 1 AS is_dup FROM ranked WHERE rn = 1),
 unit_keys AS (SELECT DISTINCT uc_key FROM charges_k),
 base_k AS (
-  SELECT {", ".join(base_cols)}, {uc_key('uc')} AS uc_key, {f6('period')} AS period_month,
+  SELECT {row_id} AS row_id, {", ".join(base_cols[1:])}, {uc_key('uc')} AS uc_key, {f6('period')} AS period_month,
     {uc_key('alt_uc')} AS alt_key, 0 AS src FROM base),
 j1 AS (
   SELECT b.*, {", ".join('d.' + c for c in CHARGE_FIELDS)},

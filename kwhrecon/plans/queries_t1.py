@@ -6,6 +6,8 @@ Each entry is ``name -> (spark_fn(spark, sf_dir) -> DataFrame, duckdb_sql)``;
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kwhrecon.functions import dates as D
@@ -18,8 +20,11 @@ from kwhrecon.operators import filters as P
 from kwhrecon.operators import layout as L
 from kwhrecon.operators import payment as C
 from kwhrecon.plans import oracle as O
+from kwhrecon.plans import sync as SY
 from kwhrecon.plans import tables as T
-from kwhrecon.plans.consolidate import gap_report_items
+from kwhrecon.plans.consolidate import consolidate, gap_report_items
+from kwhrecon.session import scratch_path
+from kwhrecon.sources.readers import CHARGE_ALIASES
 
 Q: dict = {}
 
@@ -217,6 +222,32 @@ def consolidate_q(spark, sf):
     return _cons_select(T.consolidated(spark, sf))
 
 
+# T1 from the raw exports: their headers, ids from content, guard, types, the stored table read back
+_MD5 = lambda cols: "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols) + "))"
+_EXPORTED = ["src", "unit_id", "uc", "alt_uc", "portal_uc", "period", "doc", "client", "distributor", "amount", "savings", "tariff",
+             "cost_with_gd", "contract_discount", "commercial_id", "group_flag", "main_flag", "source", "due_date", "status", "account", "paid_date", "is_dup"]
+
+
+@register("consolidate_from_exports", O.t1_ctes(_MD5(SY.BASE_ID), _MD5(SY.CHARGE_ID)) + f""" SELECT {", ".join(_EXPORTED)},
+  CAST(charged_amount AS DOUBLE) AS charged_amount, try_cast(consumed_credit AS DOUBLE) AS consumed_credit FROM consolidated""")
+def consolidate_from_exports(spark, sf):
+    out = scratch_path(spark, f"sync-{uuid.uuid4().hex}")
+    base, charges = T.base(spark, sf).drop("row_id"), T.charges(spark, sf).drop("charge_id")
+    base = base.select(*[F.col(c).alias(f" {SY.BASE_ALIASES[c][0].title()}") for c in base.columns])
+    charges = charges.select(*[F.col(c).alias(f"{CHARGE_ALIASES[c][0].capitalize()} ") for c in charges.columns])
+    cons = SY.sync(base, charges, f"{out}/table", f"{out}/gaps", "1996-06-01T00:00:00")
+    return cons.select(*_EXPORTED, F.col("charged_amount").cast("double").alias("charged_amount"), "consumed_credit")
+
+
+@register("consolidate_without_months", f"""{W1},
+ranked_uc AS (SELECT *, row_number() OVER (PARTITION BY uc_key ORDER BY due_d DESC NULLS LAST, charge_id) AS rn2 FROM charges_k WHERE active)
+SELECT b.row_id, b.uc, b.period, d.due_date, coalesce(d.charge_status, b.status) AS status, CAST(d.charged_amount AS DOUBLE) AS charged_amount
+FROM base_k b LEFT JOIN (SELECT * FROM ranked_uc WHERE rn2 = 1) d ON b.uc_key = d.uc_key""")
+def consolidate_without_months(spark, sf):
+    cons = consolidate(T.base(spark, sf), T.charges(spark, sf).drop("period")).consolidated
+    return cons.select("row_id", "uc", "period", "due_date", "status", F.col("charged_amount").cast("double").alias("charged_amount"))
+
+
 @register("identity_backfill", f"""{W1} SELECT src, row_id, client, doc, distributor, unit_id FROM consolidated""")
 def identity_backfill(spark, sf):
     return T.consolidated(spark, sf).select("src", "row_id", "client", "doc", "distributor", "unit_id")
