@@ -94,6 +94,8 @@ def apply_grouping(df: DataFrame, mode: str = "default", include_child_rows: boo
     """
     if mode not in MODES:
         raise ValueError(f"unknown grouping mode {mode!r}")
+    if "period" not in df.columns or "client" not in df.columns:
+        mode, include_child_rows = "none", True  # nothing to group by: the rows as they are
     extra_keys = list(extra_keys)
     sum_cols = [c for c in SUM_COLUMNS if c in df.columns]
     types = dict((f.name, f.dataType) for f in df.schema.fields)

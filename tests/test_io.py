@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from kwhrecon.plans import tables as T
@@ -92,6 +94,24 @@ def test_write_report_partitions(spark):
     assert back.select("sheet").distinct().count() == rep.select("sheet").distinct().count()
 
 
+def test_write_outputs(spark, sample_base):
+    from kwhrecon.operators.layout import REPORT_COLUMNS
+    from kwhrecon.plans import report as RP
+    d = scratch()
+    rows = sample_base.withColumns({"charged_amount": F.col("amount"), "portal_uc": F.lit(None).cast("string")})
+    rep = RP.generate(rows, [], [], None, RP.ReportOptions(as_of="2031-08-06", checkpoint=False))
+    assert all(r[c] is None for r in rep.filter("row_kind = 'separator'").collect() for c, _ in REPORT_COLUMNS)
+    K.write_outputs(rep, os.path.join(d, "out"))
+    back = spark.read.option("header", True).csv(os.path.join(d, "out", "rows"))
+    assert back.columns == [label for _, label in REPORT_COLUMNS] + ["sheet"] and back.count() == rep.count()
+    total = spark.read.json(os.path.join(d, "out", "summary")).first()
+    assert total.amount_total == pytest.approx(61.10 + 72.20 + 66.30 + 15.05 + 14.95 + 33.0 + 5.5)
+    broken = rep.withColumn("status", F.lit("outro"))
+    with pytest.raises(ValueError, match="payment rules"):
+        K.write_outputs(broken, os.path.join(d, "none"))
+    assert not os.path.exists(os.path.join(d, "none"))
+
+
 def test_month_filter_prunes_partitions(spark):
     from kwhrecon.operators.filters import period_scope
     d = scratch()

@@ -36,6 +36,11 @@ def test_lonely_flagged_unit_no_parent(sample_base):
     assert sorted(r.row_kind for r in g.collect()) == ["normal", "separator"]
 
 
+def test_rows_without_month_stay_flat(sample_base):
+    g = grouped(sample_base.drop("period"), "distributor", include_child_rows=False)
+    assert {r.row_kind for r in g.collect()} == {"normal"} and g.count() == sample_base.count()
+
+
 def test_cnpj_mode_groups_without_flag(sample_base):
     g = grouped(sample_base.filter(F.col("client") == "Mercado Cedro"), "cnpj")
     assert sum(r.row_kind == "parent" for r in g.collect()) == 1
