@@ -23,7 +23,7 @@ def language_id(spark, docs, sf_dir):
 def near_dedup(spark, docs, sf_dir):
     """Keeps the least document of each group of near copies."""
     kept = common.stored(minhash.near_dedup(docs).where("kept").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.hint("merge").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def substring_dedup(spark, docs, sf_dir):

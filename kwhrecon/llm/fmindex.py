@@ -11,12 +11,12 @@ DEPTH = 128
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Positions of the suffixes, in order of their first ``DEPTH`` symbols (prefix doubling)."""
     n = len(text)
-    rank, order, k = text.astype(np.int64), np.argsort(text, kind="stable"), 1
+    rank, order, k = text.astype(np.int64), np.argsort(text), 1
     while k < DEPTH:
         later = np.zeros(n, np.int64)
         later[: max(0, n - k)] = rank[k:] + 1
         key = rank * (int(later.max(initial=0)) + 1) + later
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         step = np.r_[False, key[order][1:] != key[order][:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(step)
@@ -63,12 +63,16 @@ class FMIndex:
         self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=size))].astype(np.int64)
         self.wavelet = WaveletMatrix(text[order - 1], size)
         self.n = len(text)
-        self.least = [owner[order]]
+        # least owner of each run of 1, 2, 4, ... positions, as numbers in order of the owners
+        self.owners, number = np.unique(owner, return_inverse=True)
+        rows = [number[order].astype(np.int32)]
         width = 1
         while 2 * width <= self.n:
-            low = self.least[-1]
-            self.least.append(np.minimum(low[:-width], low[width:]))
+            low = rows[-1].copy()
+            low[:-width] = np.minimum(low[:-width], low[width:])
+            rows.append(low)
             width *= 2
+        self.least = np.concatenate(rows)
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns with one more symbol in front."""
@@ -78,13 +82,11 @@ class FMIndex:
 
     def owner_min(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The least owner in each interval; the largest number for an empty one."""
-        out = np.full(len(lo), np.iinfo(np.int64).max)
-        full = np.flatnonzero(hi > lo)
-        level = np.frexp((hi - lo)[full].astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            at = full[level == k]
-            out[at] = np.minimum(self.least[k][lo[at]], self.least[k][hi[at] - (1 << int(k))])
-        return out
+        size = np.maximum(hi - lo, 1)
+        level = np.frexp(size.astype(np.float64))[1] - 1
+        row = level * self.n
+        low = np.minimum(self.least[row + np.minimum(lo, self.n - 1)], self.least[row + np.maximum(hi - (1 << level), 0)])
+        return np.where(hi > lo, self.owners[low], np.iinfo(np.int64).max)
 
 
 def matched_windows(index: FMIndex, text: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray,

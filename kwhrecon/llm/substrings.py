@@ -70,15 +70,14 @@ def _raw(text: pa.Scalar) -> bytes:
 
 def kept_digest(raw: bytes, gone: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """(words, removed words, kept words joined by spaces); ``gone`` are ranges of words."""
-    _, first, after = word_bounds(raw)
-    keep = np.ones(len(first) + 1, np.int64)
-    if gone:
-        change = np.zeros(len(first) + 1, np.int64)
-        np.add.at(change, [a for a, _ in gone], 1)
-        np.add.at(change, [min(b, len(first)) for _, b in gone], -1)
-        keep = (np.cumsum(change) == 0).astype(np.int64)
-    rows = np.flatnonzero(keep[: len(first)])
-    return len(first), len(first) - len(rows), b" ".join([raw[a:b] for a, b in zip(first[rows].tolist(), after[rows].tolist())])
+    words = raw.split()  # bytes split at space and the controls 9 to 13
+    if not gone:
+        return len(words), 0, b" ".join(words)
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, [a for a, _ in gone], 1)
+    np.add.at(change, [min(b, len(words)) for _, b in gone], -1)
+    rows = np.flatnonzero(np.cumsum(change)[:-1] == 0).tolist()
+    return len(words), len(words) - len(rows), b" ".join([words[i] for i in rows])
 
 
 def _segment_rows(ids: pa.Array, texts: pa.Array) -> dict:
@@ -172,7 +171,8 @@ def repeated_ranges(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     wanted = (classes.join(several, "anchor").groupBy(F.col("first").alias("doc_id"))
               .agg(F.collect_list(F.struct("anchor", "seg", "start", "n")).alias("wanted")))  # the segments of one document
     concerned = stored(whole.select("doc_id").unionByName(wanted.select("doc_id")).distinct())
-    texts = stored(docs.join(concerned, "doc_id", "left_semi"))
+    # the side of the ids grows with the documents: merged at every size, not broadcast while it is small
+    texts = stored(docs.hint("merge").join(concerned, "doc_id", "left_semi"))
     cut = stored(by_document(texts.join(wanted, "doc_id"), _cut, "anchor long, seg long, doc_id long, n long, words binary",
                              ["doc_id", "text", "wanted"]).dropDuplicates(["anchor", "seg"]).join(several, "anchor"))
     cold = (cut.where("not hot").select("anchor", "seg", "doc_id", "words").repartition("anchor")
@@ -219,7 +219,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     gone, texts, _ = repeated_ranges(documents)
     cut = stored(by_document(texts.join(gone, "doc_id"), _rewrite, "doc_id long, text string", ["doc_id", "text", "gone"]))
     new = cut.select("doc_id", F.col("text").alias("_kept")).dropDuplicates(["doc_id"])
-    packed = documents.select("doc_id", F.struct("*").alias("_row")).join(new, "doc_id", "left").where("_kept is null or _kept <> ''")
+    packed = documents.select("doc_id", F.struct("*").alias("_row")).hint("merge").join(new, "doc_id", "left").where("_kept is null or _kept <> ''")
     return packed.select(F.col("_row").withField("text", F.coalesce("_kept", "_row.text")).alias("_row")).select("_row.*")
 
 
