@@ -45,10 +45,9 @@ MARKS = {"symbols": "#$%&*", "bangs": "!|", "digits": "0123456789", "capitals":
 def features(documents: DataFrame) -> DataFrame:
     """Adds _tokens, one bin per feature, and _bag, the distinct lower-case words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = documents.withColumn("_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    out = documents.withColumn("_words", F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     out = out.withColumn("_tokens", F.size("_words").cast("long"))
-    out = out.withColumn("_bag", F.array_distinct(F.transform(
-        "_words", lambda w: F.lower(F.regexp_replace(w, "[.,;:!?]+$", "")))))
+    out = out.withColumn("_bag", F.array_distinct(F.transform("_words", lambda w: F.rtrim(w, F.lit(".,;:!?")))))
     share = {k: (F.length(text) - F.length(F.translate(text, m, ""))) / F.greatest(F.length(text), F.lit(1)) for k, m in MARKS.items()}
     share["repeats"] = 1 - F.size("_bag") / F.greatest(F.col("_tokens"), F.lit(1))
     for name, value in share.items():
