@@ -102,6 +102,10 @@ class Encoder:
         self.whole = {self.spelled[t]: t for t in self.parts}
         self.whole |= {self.spelled[t]: t for t in self.bytes}
         self.follows: dict[int, bool] = {}
+        #: the longest token that begins with these four bytes
+        self.longest: dict[bytes, int] = {}
+        for raw in self.whole:
+            self.longest[raw[:4]] = max(self.longest.get(raw[:4], 0), len(raw))
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
         self.split = regex.compile(PRE_TOKENS)
         self.open = [(regex.compile(c), regex.compile(p)) for c, p in GO_ON]
@@ -130,13 +134,14 @@ class Encoder:
         """Tokens of a piece: the one way to cut it in which each neighbour fits, longest tokens tried first."""
         if len(piece) > SHORT:
             return self.merge_long([self.bytes[b] for b in piece])
-        whole, follows, n = self.whole.get, self.follows, len(piece)
+        whole, follows, longest, n = self.whole.get, self.follows, self.longest.get, len(piece)
         ids: list[int] = []
         ends: list[int] = []
         dead: set[int] = set()
         at, stop = 0, n
         while at < n:
-            for end in range(stop, at, -1):
+            top = stop if stop - at < 4 else min(stop, at + longest(piece[at:at + 4], 3))
+            for end in range(top, at, -1):
                 if end in dead or (t := whole(piece[at:end])) is None:
                     continue
                 if ids:

@@ -7,8 +7,9 @@ the last pre-token that the edit can reach (``HOLD`` characters before it) to
 the first border that old and new text share, and updates the sums on the way
 up. All other pre-tokens keep their counts.
 
-Scale: one pass over the documents without a shuffle, tree by tree. A task
-holds one document's tree besides the tokenizer tables.
+Scale: one pass over the documents without a shuffle, tree by tree; a document
+without edits needs no tree, only its sum. A task holds one document's tree
+besides the tokenizer tables and a bounded cache of counts.
 
 Edge cases: a null text is an empty one. Edits apply in order to the text that
 the edits before them left; positions are characters, cut to the text's ends;
@@ -18,12 +19,14 @@ special tokens count as ordinary text.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import HOLD, Encoder, default_path, load
+from .bpe import CACHE, HOLD, SHORT, Encoder, default_path, load
 from .common import by_document, read
 
 LEAF = 32
@@ -33,28 +36,40 @@ EDITS = "array<struct<start:int,length:int,insert:string>>"
 REDACT = [
     (r"[\w.+-]+@[\w-]+\.[\w.-]+", "<email>"),
     (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"),
-    (r"\b[0-9a-f]{32,64}\b", "<secret>"),
+    (r"\b(?=[a-f]*[0-9])[0-9a-f]{32,64}\b", "<secret>"),
     (r"\+\d{1,2} ?\(\d{3}\) ?\d{3}-\d{4}", "<phone>"),
     (r"\b\d{13,16}\b", "<number>"),
 ]
 
 
-class TokenTree:
-    """The token count of one text under edits."""
+#: Every kind has a digit or an at sign (a hexadecimal secret without a digit is a word).
+SIGNS = re.compile("[0-9@]")
+
+
+class Counts(dict):
+    """Tokens of each pre-token seen, at most ``CACHE`` of them."""
 
-    def __init__(self, text: str, encoder: Encoder):
+    def __init__(self, encoder: Encoder):
+        super().__init__()
         self.encoder = encoder
-        self.encoded = 0
-        self._build(self._leaves(encoder.split.findall(text)))
 
-    def _count(self, piece: str) -> int:
-        known = self.encoder.cache.get(piece) or self.encoder.piece(piece)
-        return len(known[0])
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        n = len(self.encoder.merge(piece.encode("utf-8", "surrogatepass"))) if len(piece) <= SHORT else len(self.encoder.piece(piece)[0])
+        if len(piece) <= SHORT:
+            self[piece] = n
+        return n
+
+
+class TokenTree:
+    """The token count of one text under edits."""
 
-    def _leaves(self, pieces: list[str]) -> list[list[tuple[str, int]]]:
-        self.encoded += len(pieces)
-        rows = [(p, self._count(p)) for p in pieces]
-        return [rows[i:i + LEAF] for i in range(0, len(rows), LEAF)] or [[]]
+    def __init__(self, pieces: list[str], encoder: Encoder, counts: Counts):
+        self.encoder, self.counts = encoder, counts
+        self.encoded = len(pieces)
+        rows = list(zip(pieces, map(counts.__getitem__, pieces)))
+        self._build([rows[i:i + LEAF] for i in range(0, len(rows), LEAF)] or [[]])
 
     def _build(self, leaves: list[list[tuple[str, int]]]) -> None:
         self.size = 1 << (len(leaves) - 1).bit_length()
@@ -130,7 +145,7 @@ class TokenTree:
             border += len(p)
             if border - len(p) - at + shift >= done and border > end:
                 rest.append((p, n))
-        self._replace(first, last, kept + [(p, self._count(p)) for p in found] + rest)
+        self._replace(first, last, kept + [(p, self.counts[p]) for p in found] + rest)
 
     def _replace(self, first: int, last: int, rows: list[tuple[str, int]]) -> None:
         """New contents of some leaves; sums change on their paths to the root. An overfull leaf regrows the tree."""
@@ -155,14 +170,20 @@ class TokenTree:
 def _count_rows(ids: pa.Array, texts: pa.Array, edits: pa.Array, state: dict) -> dict:
     if "encoder" not in state:
         state["encoder"] = Encoder(state["tables"])
+        state["counts"] = Counts(state["encoder"])
+    encoder, counts = state["encoder"], state["counts"]
     out = {"n_tokens": [], "n_edits": [], "n_tokens_edited": [], "n_pieces": [], "n_reencoded": []}
     for text, changes in zip(texts, edits):
-        tree = TokenTree(text.as_py() or "", state["encoder"])
-        before, pieces = tree.n_tokens, tree.encoded
+        pieces = encoder.split.findall(text.as_py() or "")
+        before = after = sum(map(counts.__getitem__, pieces))
+        again = 0
         changes = [c for c in changes.as_py() or [] if c]
-        for c in changes:
-            tree.edit(c["start"] or 0, c["length"] or 0, c["insert"] or "")
-        for k, v in zip(out, (before, len(changes), tree.n_tokens, pieces, tree.encoded - pieces)):
+        if changes:
+            tree = TokenTree(pieces, encoder, counts)
+            for c in changes:
+                tree.edit(c["start"] or 0, c["length"] or 0, c["insert"] or "")
+            after, again = tree.n_tokens, tree.encoded - len(pieces)
+        for k, v in zip(out, (before, len(changes), after, len(pieces), again)):
             out[k].append(v)
     return {"doc_id": ids} | {k: pa.array(v, pa.int64()) for k, v in out.items()}
 
@@ -184,6 +205,8 @@ def with_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
 
 def redactions(text: str) -> list[dict]:
     """Edits that put placeholders in place of personal data and secrets, last one first so that positions hold."""
+    if not SIGNS.search(text):
+        return []
     any_ = regex.compile("|".join(f"(?P<k{i}>{p})" for i, (p, _) in enumerate(REDACT)))
     found = [{"start": m.start(), "length": m.end() - m.start(), "insert": REDACT[int(m.lastgroup[1:])][1]}
              for m in any_.finditer(text)]

@@ -77,6 +77,13 @@ def test_documents(edge_docs, edge_rows, no_docs):
     assert sorted(map(tuple, back.collect())) == sorted((i, t or "") for i, t in edge_rows)
 
 
+COUNTS = edits.Counts(ENCODER)
+
+
+def tree_of(text):
+    return edits.TokenTree(ENCODER.split.findall(text), ENCODER, COUNTS)
+
+
 def plain_count(text):
     return sum(len(some) for entries in ENCODER.plain([text]) for some, _ in entries)
 
@@ -85,7 +92,7 @@ def test_edits_against_full_recounts():
     rng = random.Random(3)
     for _ in range(120):
         text = "".join(rng.choice(PIECES) * rng.choice([1, 1, 2, 7]) for _ in range(rng.choice([0, 3, 30, 600])))
-        tree = edits.TokenTree(text, ENCODER)
+        tree = tree_of(text)
         for _ in range(10):
             at, n = rng.randint(0, len(text) + 2), rng.choice([0, 1, 2, 5, 40, 500])
             new = "".join(rng.choice(PIECES) for _ in range(rng.choice([0, 1, 2, 60])))
@@ -97,7 +104,7 @@ def test_edits_against_full_recounts():
 
 def test_small_edits_reencode_little():
     text = " ".join(f"word{i}" for i in range(5000))
-    tree = edits.TokenTree(text, ENCODER)
+    tree = tree_of(text)
     before = tree.encoded
     tree.edit(20000, 3, "xyz")
     assert tree.encoded - before < 20 and tree.n_tokens == plain_count(tree.text())
