@@ -13,10 +13,13 @@ their share of equal bins is concentrated around it.
    The bucket sizes come from a partial aggregate; classes alone in all their
    buckets are done.
 3. In each bucket every class is compared exactly with the bucket's least class.
-   Links make components; most of a bucket is then known to hang together.
+   Links make components. Where a bucket still has several, about ``PIVOTS`` of
+   its members are compared with those of other components too; after that most
+   of a bucket is known to hang together.
 4. Members of a bucket that are still in different components meet block by
-   block (``BLOCK`` members each, so no bucket is capped); pairs whose sketches
-   agree in at least ``NEAR`` of the bins are compared exactly too.
+   block (``BLOCK`` members each, so no bucket is capped). Pairs whose sketches
+   agree in at least ``NEAR`` of the bins are compared exactly, where they meet;
+   only links leave the block.
 
 Comparison of a class with many others is cut into parts of ``BLOCK``; the sets
 are rebuilt from the texts and compared in full. Only classes that share a
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import by_document, components, grouped, read, stored
 from .words import mix, windows, word_hashes
 
-WORDS, COORDINATES, ROWS, BLOCK, NEAR = 5, 128, 4, 1024, 0.6
+WORDS, COORDINATES, ROWS, BLOCK, PIVOTS, NEAR = 5, 128, 4, 1024, 16, 0.6
 #: Similarity of a link: PART * intersection >= WHOLE * union.
 PART, WHOLE = 100, 75
 #: Probability that a pair just at the threshold shares no bucket: (1 - 0.75 ** 4) ** 32, about 5e-6.
@@ -141,37 +144,62 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "part", "b", "text").mapInArrow(_verify, "a long, b long")
 
 
-def _close_pairs(batches):
-    """Pairs of a block meeting whose components differ and whose sketches nearly agree in enough bins."""
+def _close_links(batches, pivots: bool):
+    """Links between members of a block meeting whose components differ.
+
+    A pair is looked at by the first band that its members share, and by no
+    other; if its sketches nearly agree in enough bins, the whole sets are
+    compared. Links join components at once, so pairs that already hang
+    together are passed over and a block gives out fewer links than members.
+    """
     for table, offsets in grouped(batches, ["key", "i", "j"]):
-        ids, comp = table["rep"].to_numpy(), table["comp"].to_numpy()
-        side = table["side"].to_numpy()
+        keys, ids, comp, side = (table[c].to_numpy() for c in ("key", "rep", "comp", "side"))
         prints = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
+        bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(ids), BANDS)
         for lo, hi in itertools.pairwise(offsets):
             left, right = np.flatnonzero(side[lo:hi] == 0) + lo, np.flatnonzero(side[lo:hi] == 1) + lo
-            a, b = [], []
-            for x in left:
-                y = right[(comp[right] != comp[x]) & (ids[right] > ids[x])] if len(right) else right
-                if len(y):
-                    y = y[(prints[y] == prints[x]).mean(1) >= NEAR]
-                    a.append(np.full(len(y), ids[x]))
-                    b.append(ids[y])
-            if a and len(x := np.concatenate(a)):
-                yield pa.RecordBatch.from_pydict({"a": x, "b": np.concatenate(b)})
-
-
-def remaining_pairs(live: DataFrame, comp: DataFrame, prints: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a bucket in different components, near by their sketches."""
+            now, sets, found = comp.copy(), {}, []
+
+            def set_of(row):
+                if ids[row] not in sets:
+                    sets[ids[row]] = shingles(table["text"][int(row)].as_py())
+                return sets[ids[row]]
+
+            for x in left if len(right) else []:
+                y = right[(now[right] != now[x]) & (ids[right] != ids[x] if pivots else ids[right] > ids[x])]
+                y = y[(prints[y] == prints[x]).mean(1) >= NEAR]
+                y = y[bands[x][(bands[y] == bands[x]).argmax(1)] == keys[x]]
+                for k in y:
+                    if now[k] != now[x] and similar(set_of(x), set_of(k)):
+                        found.append((ids[x], ids[k]))
+                        now[now == now[k]] = now[x]
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": np.array([f[0] for f in found]), "b": np.array([f[1] for f in found])})
+
+
+def remaining_links(live: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFrame, pivots: int | None) -> DataFrame:
+    """Verified links (a, b) between members of a bucket in different components.
+
+    With ``pivots`` only about so many members of a bucket, chosen by a hash, meet the others.
+    """
     rows = stored(live.select("key", "rep").join(comp.select(F.col("node").alias("rep"), "component_id"), "rep", "left")
                   .select("key", "rep", F.coalesce("component_id", "rep").alias("comp")))
     apart = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                   .where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")))
-    open_ = rows.join(apart, "key").join(prints, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
+                   .where("lo < hi").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")))
+    whole = sketches.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    open_ = (rows.join(apart, "key").join(whole, "rep")
+             .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-    left = open_.select("key", F.col("part").alias("i"), every.alias("j"), F.lit(0).alias("side"), "rep", "comp", "print")
-    right = open_.select("key", every.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), "rep", "comp", "print")
+    columns = ["rep", "comp", "print", "bands", "text"]
+    if pivots:
+        chosen = open_.where(F.pmod(F.xxhash64("rep", F.lit("pivot")), F.ceil(F.col("n") / pivots).cast("long")) == 0)
+        left = chosen.select("key", F.lit(0).alias("i"), every.alias("j"), F.lit(0).alias("side"), *columns)
+        right = open_.select("key", F.lit(0).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), *columns)
+    else:
+        left = open_.select("key", F.col("part").alias("i"), every.alias("j"), F.lit(0).alias("side"), *columns)
+        right = open_.select("key", every.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), *columns)
     met = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "rep")
-    return met.select("key", "i", "j", "side", "rep", "comp", "print").mapInArrow(_close_pairs, "a long, b long").distinct()
+    return met.select("key", "i", "j", "side", *columns).mapInArrow(lambda batches: _close_links(batches, bool(pivots)), "a long, b long")
 
 
 def near_dedup(documents: DataFrame) -> DataFrame:
@@ -181,18 +209,20 @@ def near_dedup(documents: DataFrame) -> DataFrame:
     sketched = stored(by_document(docs, _sketch_rows, schema, ["doc_id", "text"]))
     classes = stored(sketched.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     own = sketched.join(classes, ["set_key"]).where("doc_id = rep").dropDuplicates(["doc_id", "set_key"])
-    own = stored(own.select("rep", "bands", "print"))
+    own = stored(own.select("rep", "bands", "print"))  # one row per class
     placed = own.select("rep", F.explode("bands").alias("key"))
     buckets = stored(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1"))
     live = stored(placed.join(buckets.select("key", "centre"), "key"))
     # the texts of all classes that share a bucket, cut out once
-    texts = stored(docs.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    texts = stored(docs.hint("merge").join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     star = stored(live.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    first = stored(verified(star, texts))
-    comp = components(first, "a", "b")
-    rest = stored(remaining_pairs(live, comp, own.select("rep", "print")).join(star, ["a", "b"], "left_anti"))
-    links = first.unionByName(verified(rest, texts))
+    links = stored(verified(star, texts))
     comp = components(links, "a", "b")
+    for pivots in (PIVOTS, None):
+        more = stored(remaining_links(live, comp, own, texts, pivots))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = components(links, "a", "b")
     of_class = stored(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
                       .select("set_key", F.coalesce("component_id", "rep").alias("component_id")))
     whole = sketched.select("doc_id", "n_shingles", "set_key")
