@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kwhrecon.llm import bpe, common, langid, minhash, mixing, substrings
 
-#: The mix's target weights, its size against its input, and the least rate: every document stays at least once.
+#: The mix's target weights, its least size against its input, and the least rate: every document stays at least once.
 TARGETS, GROWTH, LEAST = {"clean": 0.8, "low": 0.1, "toxic": 0.1}, 1.25, 1.0
 
 

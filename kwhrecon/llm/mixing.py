@@ -8,6 +8,9 @@
    target totals in least squares, each domain relative to its size. In these
    units the largest curvature is 1, so unit steps converge, and crisp
    posteriors need only a few.
+3. With ``least`` above 0 no total can fall below its share of the input, so the
+   mix is made as large as the targets need, and larger where documents belong
+   to several domains. A target that is missed all the same is named in a warning.
 
 Native: DataFrame functions only. Learning aggregates a sample of at most
 ``SAMPLE`` documents per domain (the first by a hash of their id) to a table
@@ -27,6 +30,7 @@ their own, and extra columns of any name pass through.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,9 @@ from .common import read, stored
 
 SAMPLE, BINS, WORDS, LIFT, STEPS, EXACT = 1000, 12, 64, 4.0, 60, 1e-6
 
+#: A target counts as met if its share is this near; sizes tried, and what each adds to the last.
+MET, TRIES, WIDER = 1e-3, 6, 1.25
+
 #: Target weights of the registered query.
 TARGETS = {"clean": 0.8, "low": 0.1, "toxic": 0.1}
 
@@ -156,16 +163,55 @@ def fit(rows: DataFrame, names: list[str], targets: dict[str, float], least: flo
     return residuals, reached, goal
 
 
+def gap(reached: list[float], goal: list[float]) -> float:
+    """The largest difference between the shares reached and the target shares."""
+    if not sum(reached) or not sum(goal):
+        return 0.0
+    return max(abs(a / sum(reached) - t / sum(goal)) for a, t in zip(reached, goal))
+
+
+def reach(rows: DataFrame, names: list[str], targets: dict[str, float], least: float = 0.0,
+          growth: float = 1.0) -> tuple[list[list[float]], list[float], list[float]]:
+    """As ``fit``, at the least size from ``growth`` on that was found to meet every target.
+
+    With ``least`` above 0 a domain needs a mix of least * natural total / weight;
+    documents that belong to several domains need more, which is tried step by
+    step as long as each step takes a quarter off the largest difference.
+    """
+    weight = [targets.get(d, 0.0) for d in names]
+    if least and sum(weight):
+        natural = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("_tokens") * F.col("_p")[i]) for i in range(len(names))]).first()]
+        growth = max([growth, *(least * n / sum(natural) * sum(weight) / w for n, w in zip(natural, weight) if w and sum(natural))])
+    best = fit(rows, names, targets, least, growth)
+    for _ in range(TRIES if least else 0):
+        if gap(best[1], best[2]) <= MET:
+            break
+        growth *= WIDER
+        wider = fit(rows, names, targets, least, growth)
+        if gap(wider[1], wider[2]) > 0.75 * gap(best[1], best[2]):
+            break
+        best = wider
+    return best
+
+
 def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0,
         growth: float = 1.0) -> tuple[DataFrame, dict, list[list[float]]]:
-    """((doc_id, domain, posterior, n_tokens, rate), model, residuals of the steps)."""
+    """((doc_id, domain, posterior, n_tokens, rate), model, residuals of the steps).
+
+    The model also has the totals reached and the target totals, by domain. With
+    ``least`` above 0 the mix has at least ``growth`` times the tokens of the input.
+    """
     model = learn(documents, labelled)
     if not model["names"]:
         tokens = features(documents.select("doc_id", "text"))
         return tokens.select("doc_id", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"),
                              F.col("_tokens").alias("n_tokens"), F.lit(1.0).alias("rate")), model, []
     rows = stored(posteriors(documents.select("doc_id", "text"), model).drop("text"))
-    residuals, _, _ = fit(rows, model["names"], targets, least, growth)
+    residuals, reached, goal = reach(rows, model["names"], targets, least, growth)
+    model = model | {"reached": dict(zip(model["names"], reached)), "goal": dict(zip(model["names"], goal))}
+    if gap(reached, goal) > MET:
+        shares = ", ".join(f"{d} {a / sum(reached):.3f} for {t / sum(goal):.3f}" for d, a, t in zip(model["names"], reached, goal))
+        warnings.warn(f"the mix misses its targets: {shares}", stacklevel=2)
     best = F.array_max("_p")
     names = F.array(*[F.lit(n) for n in model["names"]])
     out = rows.select("doc_id", F.element_at(names, F.array_position("_p", best).cast("int")).alias("domain"), F.round(best, 6).alias("posterior"),
