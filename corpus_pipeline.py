@@ -20,10 +20,34 @@ def language_id(spark, docs, sf_dir):
     return langid.accepted(docs, langid.learn(langid.learning_rows(docs)))
 
 
+def own_ids(docs):
+    """The rows with _key, an id of each (doc_id, text): doc_id itself, and above all ids for null ids and further texts of an id."""
+    repeated = common.stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
+    plain = docs.where("doc_id is not null").hint("merge").join(repeated, "doc_id", "left_anti").withColumn("_key", F.col("doc_id").cast("long"))
+    again = docs.hint("merge").join(repeated, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    again = again.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_text"])
+    again = common.stored(again.withColumn("_row", F.monotonically_increasing_id()))  # numbers that stay as they are
+    if again.isEmpty():
+        return plain
+    top = F.lit(docs.agg(F.coalesce(F.max("doc_id").cast("long"), F.lit(0).cast("long"))).first()[0] + 1)
+    least = again.where("doc_id is not null").groupBy("doc_id").agg(F.min("_text").alias("_least"))
+    known = again.where("doc_id is not null").join(least, "doc_id")
+    known = known.withColumn("_key", F.when(F.col("_text") == F.col("_least"), F.col("doc_id").cast("long")).otherwise(top + F.col("_row")))
+    unknown = again.where("doc_id is null").withColumn("_key", top + F.col("_row"))
+    return plain.unionByName(known.drop("_text", "_row", "_least")).unionByName(unknown.drop("_text", "_row"))
+
+
 def near_dedup(spark, docs, sf_dir):
-    """Keeps the least document of each group of near copies."""
-    kept = common.stored(minhash.near_dedup(docs).where("kept").select("doc_id").distinct())
-    return docs.hint("merge").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keeps the least document of each group of near copies.
+
+    Rows are told apart by (doc_id, text): texts that differ under one id, and
+    rows with a null id, are documents of their own and stay unless they are
+    near copies of another. They come after all others in the order of ids. Of
+    rows with the same id and text one stays.
+    """
+    keyed = own_ids(docs)
+    kept = common.stored(minhash.near_dedup(keyed.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key")))
+    return keyed.hint("merge").join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark, docs, sf_dir):

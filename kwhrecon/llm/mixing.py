@@ -225,7 +225,8 @@ def mixed(documents: DataFrame, model: dict, residuals: list[list[float]], least
         return documents
     packed = documents.select("doc_id", "text", F.struct("*").alias("_row"))
     rows = posteriors(packed, model).withColumn("_rate", rate_of(residuals, least))
-    lot = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20).cast("long")) / float(1 << 20)
+    # rows without an id draw by their text; a null adds nothing to the hash
+    lot = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit("mix")), F.lit(1 << 20).cast("long")) / float(1 << 20)
     copies = F.floor("_rate") + (lot < F.col("_rate") - F.floor("_rate")).cast("long")
     return (rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("_row.*"))
 

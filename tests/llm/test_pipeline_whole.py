@@ -56,3 +56,18 @@ def test_missed_targets_are_named(spark, tmp_path):
     with pytest.warns(UserWarning, match="misses its targets.*low"):
         _, model, _ = mixing.mix(docs, labels, {"clean": 1.0, "low": 0.0}, 1.0, 1.25)
     assert set(model["reached"]) == set(model["goal"]) == {"clean", "low"}
+
+
+def test_near_dedup_keeps_texts_of_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    text = [" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(7)]
+    rows = [(1, text[0]), (1, text[1]), (1, text[1]), (2, text[1] + " more"), (None, text[2]), (None, text[3]), (None, text[3]),
+            (None, text[4]), (3, text[4]), (4, text[5]), (4, text[5]), (5, text[6]), (6, text[6]), (7, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == docs.columns and len(got) == len(set(got))
+    texts = {t for _, t in got}
+    assert {text[0], text[2], text[3], text[4], text[5], text[6]} <= texts and (text[1] in texts) != (text[1] + " more" in texts)
+    assert {(None, text[2]), (None, text[3]), (3, text[4]), (4, text[5]), (5, text[6]), (7, None), (None, None)} <= set(got)
+    assert len(got) == 9
