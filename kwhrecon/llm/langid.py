@@ -8,8 +8,8 @@ language costs ``SWITCH``, labels spans; the language with the most letters wins
 the document and its share of the letters is the score.
 
 Learning counts trigrams of a sample of at most ``SAMPLE`` labelled documents
-(the first by a hash of their id) with a partial aggregate; the counts are
-bounded by languages x ``BUCKETS``, whatever the input. Labelling is one pass
+of each language (the first by a hash of their id) with a partial aggregate; the
+counts are bounded by languages x ``BUCKETS``, whatever the input. Labelling is one pass
 without a shuffle: documents of a batch advance through Viterbi side by side.
 
 Edge cases: a null text or one without letters is ``und`` with score 0. Words in
@@ -25,10 +25,10 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_document, read, with_hash_class
+from .common import by_document, read, stored, with_hash_class
 
 SAMPLE, BUCKETS, SWITCH, LANES = 4000, 1 << 16, 12.0, 2048
 
@@ -92,11 +92,25 @@ def _counts(langs: pa.Array, texts: pa.Array) -> dict:
             "n": pa.array(out["n"], pa.int64())}
 
 
+def teachers(usable: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, lang): of each language the first ``sample`` ids by their hash.
+
+    A language with many ids is cut by its hash to about twice the sample
+    before its ids are ranked, so no task ranks more than that.
+    """
+    ids = stored(usable.where("doc_id is not null").select("doc_id", "lang").distinct())
+    size = ids.groupBy("lang").agg(F.count("*").alias("n"))  # one row per language
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    near = (ids.withColumn("_share", share).join(F.broadcast(size), "lang")
+            .where(F.col("_share") * F.col("n") <= 2 * sample + 100))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_share", "doc_id"))
+    return stored(near.withColumn("_rank", rank).where(F.col("_rank") <= sample).select("doc_id", "lang"))
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     """The model from rows (doc_id, text, lang); rows without a language teach nothing."""
     usable = labelled.where("lang is not null and text is not null")
-    ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = usable.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `sample` longs
+    chosen = usable.join(F.broadcast(teachers(usable, sample)), ["doc_id", "lang"], "left_semi")  # at most `sample` ids a language
     counts = (by_document(chosen, _counts, "lang string, bucket int, n long", ["lang", "text"])
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
     names = sorted(set(counts["lang"].to_pylist()))
@@ -182,11 +196,16 @@ def identify(documents: DataFrame, model: dict) -> DataFrame:
 
 
 def accepted(documents: DataFrame, model: dict, least: float = 1 / 3) -> DataFrame:
-    """The rows, with all of their columns, whose text has a language with at least the given score."""
+    """The rows, with all of their columns, whose text has a language with at least the given score.
+
+    An empty model knows no language; the rows whose text has letters stay.
+    """
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and not model["names"]:
+                yield batch.filter(pa.array([len(words_of(t.as_py() or "")[1]) > 0 for t in batch.column("text")]))
+            elif batch.num_rows:
                 found = _predict(batch.column("doc_id"), batch.column("text"), model)
                 good = [lang != "und" and score >= least for lang, score in zip(found["lang_pred"].to_pylist(), found["score"].to_pylist())]
                 yield batch.filter(pa.array(good))
