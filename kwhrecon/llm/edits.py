@@ -42,8 +42,13 @@ REDACT = [
 ]
 
 
-#: Every kind has a digit or an at sign (a hexadecimal secret without a digit is a word).
-SIGNS = re.compile("[0-9@]")
+#: Every kind has a digit or an at sign (a hexadecimal secret without a digit is a word). Digits of any script count, as in REDACT.
+SIGNS, OTHER_SIGNS = re.compile("[0-9@]"), regex.compile(r"\d")
+
+
+def signs(text: str) -> bool:
+    """Whether the text may have anything to redact."""
+    return bool(SIGNS.search(text) or not text.isascii() and OTHER_SIGNS.search(text))
 
 
 class Counts(dict):
@@ -205,7 +210,7 @@ def with_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
 
 def redactions(text: str) -> list[dict]:
     """Edits that put placeholders in place of personal data and secrets, last one first so that positions hold."""
-    if not SIGNS.search(text):
+    if not signs(text):
         return []
     any_ = regex.compile("|".join(f"(?P<k{i}>{p})" for i, (p, _) in enumerate(REDACT)))
     found = [{"start": m.start(), "length": m.end() - m.start(), "insert": REDACT[int(m.lastgroup[1:])][1]}
