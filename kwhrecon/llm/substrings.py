@@ -21,8 +21,10 @@ Words to be removed are the union over all windows; they are judged on the
 input, not on what is left. Documents without a shared anchor ship no text.
 
 Edge cases: null, empty and short texts have no windows and lose nothing. Rows
-that repeat an id never remove each other's words; each gets a row. Extra
-columns are ignored.
+that repeat an id never remove each other's words; each gets a row, and texts
+that differ are cut each by its own windows (a row is known by its id and the
+hash of its text). Rows without an id are neither smaller nor larger than others:
+they lose nothing and hold nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def kept_digest(raw: bytes, gone: list[tuple[int, int]]) -> tuple[int, int, byte
     return len(words), len(words) - len(rows), b" ".join([words[i] for i in rows])
 
 
-def _segment_rows(ids: pa.Array, texts: pa.Array) -> dict:
+def _segment_rows(ids: pa.Array, hashes: pa.Array, texts: pa.Array) -> dict:
     """Per document one row of its segments, and its digest in case nothing is removed."""
     rows, sizes, shas = [], [], []
     for t in texts:
@@ -93,7 +95,7 @@ def _segment_rows(ids: pa.Array, texts: pa.Array) -> dict:
     parts = [np.concatenate([r[k] for r in rows]) for k in range(4)]
     struct = pa.StructArray.from_arrays([pa.array(parts[0]), pa.array(parts[1]), pa.array(parts[2].astype(np.int32)), pa.array(parts[3].astype(np.int32))],
                                         names=["anchor", "seg", "start", "n"])
-    return {"doc_id": ids, "n_words": pa.array(sizes, pa.int64()), "sha": shas,
+    return {"doc_id": ids, "h": hashes, "n_words": pa.array(sizes, pa.int64()), "sha": shas,
             "segments": pa.ListArray.from_arrays(pa.array(offsets), struct)}
 
 
@@ -155,25 +157,25 @@ def _window_rows(anchor: pa.Array, seg: pa.Array, ids: pa.Array, words: pa.Array
 
 
 def repeated_ranges(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((doc_id, gone: list of word ranges), texts of the documents concerned, digest rows of all documents)."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_words long, sha string, segments array<struct<anchor:long,seg:long,start:int,n:int>>"
-    listed = stored(by_document(docs, _segment_rows, schema, ["doc_id", "text"]))
-    rows = listed.select("doc_id", F.inline("segments"))
+    """((doc_id, h, gone: list of word ranges), texts of the documents concerned, digest rows of all documents); h is the text's hash."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    schema = "doc_id long, h long, n_words long, sha string, segments array<struct<anchor:long,seg:long,start:int,n:int>>"
+    listed = stored(by_document(docs, _segment_rows, schema, ["doc_id", "h", "text"]))
+    rows = listed.where("doc_id is not null").select("doc_id", "h", F.inline("segments"))
     shared = stored(rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"))
     met = stored(rows.join(shared, "anchor"))
-    classes = stored(met.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "start", "n")).alias("own"))
-                     .select("anchor", "seg", F.col("own.doc_id").alias("first"), "own.start", "own.n"))
+    classes = stored(met.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("own"))
+                     .select("anchor", "seg", F.col("own.doc_id").alias("first"), F.col("own.h").alias("first_h"), "own.start", "own.n"))
     several = stored(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("first").alias("lo"), F.max("first").alias("hi"))
                      .where("lo < hi").select("anchor", (F.col("k") > HOT).alias("hot")))
     held = stored(met.join(classes.select("anchor", "seg", "first"), ["anchor", "seg"]))
-    whole = held.where("doc_id > first").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("n") + (WINDOW - 1)).alias("to"))
-    wanted = (classes.join(several, "anchor").groupBy(F.col("first").alias("doc_id"))
+    whole = held.where("doc_id > first").select("doc_id", "h", F.col("start").alias("from"), (F.col("start") + F.col("n") + (WINDOW - 1)).alias("to"))
+    wanted = (classes.join(several, "anchor").groupBy(F.col("first").alias("doc_id"), F.col("first_h").alias("h"))
               .agg(F.collect_list(F.struct("anchor", "seg", "start", "n")).alias("wanted")))  # the segments of one document
-    concerned = stored(whole.select("doc_id").unionByName(wanted.select("doc_id")).distinct())
+    concerned = stored(whole.select("doc_id", "h").unionByName(wanted.select("doc_id", "h")).distinct())
     # the side of the ids grows with the documents: merged at every size, not broadcast while it is small
-    texts = stored(docs.hint("merge").join(concerned, "doc_id", "left_semi"))
-    cut = stored(by_document(texts.join(wanted, "doc_id"), _cut, "anchor long, seg long, doc_id long, n long, words binary",
+    texts = stored(docs.hint("merge").join(concerned, ["doc_id", "h"], "left_semi"))
+    cut = stored(by_document(texts.join(wanted, ["doc_id", "h"]), _cut, "anchor long, seg long, doc_id long, n long, words binary",
                              ["doc_id", "text", "wanted"]).dropDuplicates(["anchor", "seg"]).join(several, "anchor"))
     cold = (cut.where("not hot").select("anchor", "seg", "doc_id", "words").repartition("anchor")
             .sortWithinPartitions("anchor", "doc_id", "seg").mapInArrow(_shards, "anchor long, seg long, a int, b int"))
@@ -183,9 +185,9 @@ def repeated_ranges(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     one_by_one = hot.join(least, ["anchor", "hash"]).where("least < doc_id").select("anchor", "seg", "a", F.col("a").alias("b"))
     parts = stored(cold.unionByName(one_by_one))
     partial = (held.where("doc_id = first").join(parts, ["anchor", "seg"])
-               .select("doc_id", (F.col("start") + F.col("a")).alias("from"), (F.col("start") + F.col("b") + WINDOW).alias("to")))
-    gone = stored(whole.unionByName(partial).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("gone")))
-    return gone, texts, listed.select("doc_id", "n_words", "sha")
+               .select("doc_id", "h", (F.col("start") + F.col("a")).alias("from"), (F.col("start") + F.col("b") + WINDOW).alias("to")))
+    gone = stored(whole.unionByName(partial).groupBy("doc_id", "h").agg(F.collect_list(F.struct("from", "to")).alias("gone")))
+    return gone, texts, listed.select("doc_id", "h", "n_words", "sha")
 
 
 def _digests(ids: pa.Array, texts: pa.Array, gone: pa.Array) -> dict:
@@ -197,17 +199,17 @@ def _digests(ids: pa.Array, texts: pa.Array, gone: pa.Array) -> dict:
 def digests(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of (doc_id, text)."""
     gone, texts, listed = repeated_ranges(documents)
-    cut = by_document(texts.join(gone, "doc_id"), _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string",
+    cut = by_document(texts.join(gone, ["doc_id", "h"]), _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string",
                       ["doc_id", "text", "gone"])
-    same = (listed.join(gone.select("doc_id"), "doc_id", "left_anti")
+    same = (listed.join(gone.select("doc_id", "h"), ["doc_id", "h"], "left_anti")
             .select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
     return cut.unionByName(same)
 
 
-def _rewrite(ids: pa.Array, texts: pa.Array, gone: pa.Array) -> dict:
+def _rewrite(ids: pa.Array, hashes: pa.Array, texts: pa.Array, gone: pa.Array) -> dict:
     kept = [kept_digest(_raw(t), [(g["from"], g["to"]) for g in ranges.as_py()])[2].decode("utf-8", "surrogatepass")
             for t, ranges in zip(texts, gone)]
-    return {"doc_id": ids, "text": pa.array(kept, pa.string())}
+    return {"doc_id": ids, "h": hashes, "text": pa.array(kept, pa.string())}
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -217,9 +219,9 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     kept words are joined by single spaces.
     """
     gone, texts, _ = repeated_ranges(documents)
-    cut = stored(by_document(texts.join(gone, "doc_id"), _rewrite, "doc_id long, text string", ["doc_id", "text", "gone"]))
-    new = cut.select("doc_id", F.col("text").alias("_kept")).dropDuplicates(["doc_id"])
-    packed = documents.select("doc_id", F.struct("*").alias("_row")).hint("merge").join(new, "doc_id", "left").where("_kept is null or _kept <> ''")
+    cut = stored(by_document(texts.join(gone, ["doc_id", "h"]), _rewrite, "doc_id long, h long, text string", ["doc_id", "h", "text", "gone"]))
+    new = cut.select("doc_id", "h", F.col("text").alias("_kept")).dropDuplicates(["doc_id", "h"])
+    packed = documents.select("doc_id", F.xxhash64("text").alias("h"), F.struct("*").alias("_row")).hint("merge").join(new, ["doc_id", "h"], "left").where("_kept is null or _kept <> ''")
     return packed.select(F.col("_row").withField("text", F.coalesce("_kept", "_row.text")).alias("_row")).select("_row.*")
 
 
