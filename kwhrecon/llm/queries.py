@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, edits, langid, lattice, licences, minhash, mixing, quality, substrings, topk
+from . import bpe, edits, langid, lattice, licences, minhash, mixing, negatives, phrases, quality, substrings, topk, urls
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_top_k": topk.query,
     "op9_license_scan": licences.query,
     "op10_language_id": langid.query,
+    "op11_hard_negatives": negatives.query,
+    "op12_url_filters": urls.query,
+    "op13_phrase_collocations": phrases.query,
 }
 
 SQL = {
@@ -23,6 +26,9 @@ SQL = {
     "op7_embedding_near_dedup": lattice.SQL,
     "op8_exact_top_k": topk.SQL,
     "op9_license_scan": licences.SQL,
+    "op11_hard_negatives": negatives.SQL,
+    "op12_url_filters": urls.SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }
 
 

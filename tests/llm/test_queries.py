@@ -28,7 +28,7 @@ def test_query_matches_sql(spark, name):
 
 def test_all_queries_are_registered():
     names = E.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages(spark, tmp_path):
