@@ -13,10 +13,11 @@ Scale. DataFrame functions only. Token counts and the choice among fitting rules
 are partial aggregates, so a host of a third of all urls is combined before the
 shuffle; the choice is one long per url (lengths and verdict), from which the
 rule's text is cut out of the url itself, so no rule travels through a shuffle.
-The rule index is joined by Spark's own choice: sent to all tasks while it is
-below the session's broadcast threshold, else by a merge join, whose url side is
-a plain exchange that the skew rule can split. No list of rules is bounded and
-nothing is collected.
+Rules and index are written tables of known size, joined by Spark's own choice:
+sent to all tasks while they are below the session's broadcast threshold, else by
+a merge join, whose url side is a plain exchange that the skew rule can split; the
+token that all urls share is dealt to ``SALTS`` keys. No list of rules is bounded
+and nothing is collected.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path; only
 a rule for every host can fit it. Empty and very long urls are urls like any
@@ -32,12 +33,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALLOW, BLOCK = "allow", "block"
 #: The rules of the registered query.
 RULES = [("com", "/", ALLOW), ("example.com", "/en/", BLOCK), ("www.example.com", "/en/", ALLOW), ("net", "/es/", BLOCK), ("net", "/fr/", BLOCK)]
-#: Token of the rules that have no literal one; every url has it.
-ANY = "*"
+#: Token of the rules that have no literal one; every url has it, with one of so many numbers.
+ANY, SALTS = "*", 256
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -75,15 +78,17 @@ def indexed(rules: DataFrame, parts: DataFrame) -> DataFrame:
     ``weight`` orders fitting rules: length of host and path, then of the host; its last bit is 1 for block.
     """
     known = rules.where(F.col("verdict").isin(ALLOW, BLOCK)).dropna(subset=["host", "path"])
-    known = known.groupBy(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("verdict"))
+    known = stored(known.groupBy(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("verdict")))
     tokens = known.select("r_host", "r_path", F.explode(literal_tokens(F.col("r_host"), F.col("r_path"))).alias("token"))
     seen = parts.select(F.explode(literal_tokens(F.col("host"), F.col("path"))).alias("token"))
     counts = seen.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rarest = (tokens.join(counts, "token", "left").groupBy("r_host", "r_path")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token")))
     size = (F.length("r_host") + F.length("r_path")).cast("long") * 2**32 + F.length("r_host") * 2
+    anywhere = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.concat(F.lit(ANY), k.cast("string")))
+    filed = F.when(F.col("token").isNull(), anywhere).otherwise(F.array("token"))
     return known.join(rarest, ["r_host", "r_path"], "left").select(
-        F.coalesce("token", F.lit(ANY)).alias("token"), pattern(F.col("r_host"), F.col("r_path")).alias("pattern"),
+        F.explode(filed).alias("token"), pattern(F.col("r_host"), F.col("r_path")).alias("pattern"),
         (size + F.when(F.col("verdict") == BLOCK, 1).otherwise(0)).alias("weight"))
 
 
@@ -91,11 +96,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW, key: str = "
     """(``key``, host, path, rule, verdict) of every row."""
     host, path = host_and_path(url)
     parts = pages.select(F.col(key), host.alias("host"), path.alias("path"))
-    index = indexed(rules, parts)
+    index = stored(indexed(rules, parts))
     # every url keeps one row of its own: the one with the token of rules that have none
+    own = F.concat(F.lit(ANY), (F.col("_row") % SALTS).cast("string"))
     asked = (parts.withColumn("_row", F.monotonically_increasing_id())
-             .select("*", F.explode(F.concat(F.array(F.lit(ANY)), literal_tokens(F.col("host"), F.col("path")))).alias("token")))
-    met = asked.join(index, "token", "left").where((F.col("token") == ANY) | F.col("weight").isNotNull())
+             .select("*", F.explode(F.concat(F.array(own), literal_tokens(F.col("host"), F.col("path")))).alias("token")))
+    met = asked.join(index, "token", "left").where((F.col("token") == own) | F.col("weight").isNotNull())
     text = F.concat("host", "path")
     weight = F.when(F.expr("regexp_like(concat(host, path), pattern)"), F.col("weight"))
     best = met.groupBy("_row", key, "host", "path").agg(F.max(weight).alias("weight"))
