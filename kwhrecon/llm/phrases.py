@@ -12,7 +12,10 @@ their extension.
 
 Plan: three passes over the texts (words; pairs whose first word is too frequent;
 suffixes), each combined per slice of text before anything is shuffled, so that a
-word, line or passage of a third of the corpus is one row per slice. Subtrees are
+word, line or passage of a third of the corpus is one row per slice. Suffixes
+travel as 64-bit ids of their words in the order of the slice, which compresses
+well; ids are checked to be different over the whole vocabulary, and made with
+another seed where two words share one, so counts are exact. Subtrees are
 built where the groups' shuffle puts them. Scores are joins of the subtree nodes
 with each other, written tables under plain exchanges, which the skew rule can
 split. The best phrases of a language are picked per part first. The driver gets
@@ -29,6 +32,7 @@ name, are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -40,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read, stored
-from .words import _LOWER
+from .words import _LOWER, mix, word_hashes
 
 DEPTH, BUDGET, LEAST, TOP, COVER = 3, 1 << 18, 10, 2000, 50
 #: Bytes taken together; a slice of this size has fewer than 2 ** 21 different words, so three of them fit a long.
@@ -84,8 +88,12 @@ def slices(texts: Iterable[bytes], size: int = SLICE) -> Iterator[tuple[bytes, i
         yield b"\n".join(held), n
 
 
-def suffixes(raw: bytes, counted: int, depth: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
-    """The different suffixes of a slice: its words, the place in them of each of the first ``depth`` words (-1: none), and counts."""
+def seed_of(lang: str, seed: int) -> np.uint64:
+    return np.frombuffer(hashlib.blake2b(f"{seed} {lang}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)[0]
+
+
+def suffixes(raw: bytes, counted: int, depth: int, seed: np.uint64) -> tuple[pa.Array, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The different suffixes of a slice: its words, their ids, the place in them of each of the first ``depth`` words (-1: none), and counts."""
     b = np.frombuffer(raw.translate(_LOWER), np.uint8)
     kind = _KIND[b]
     inside = np.zeros(len(b) + 2, np.int8)
@@ -93,11 +101,13 @@ def suffixes(raw: bytes, counted: int, depth: int) -> tuple[pa.Array, list[np.nd
     edge = np.flatnonzero(np.diff(inside))
     first, after = edge[0::2], edge[1::2]
     if not len(first):
-        return pa.array([], pa.string()), [np.zeros(0, np.int64)] * depth, np.zeros(0, np.int64)
+        return pa.array([], pa.string()), np.zeros(0, np.int64), [np.zeros(0, np.int64)] * depth, np.zeros(0, np.int64)
     ends = np.zeros(len(first) + 1, np.int32)
     np.cumsum(after - first, out=ends[1:])
     spelled = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(b[kind == 0].tobytes()))
     coded = spelled.dictionary_encode()
+    ids = mix(word_hashes(b" ".join(coded.dictionary.cast(pa.binary()).to_pylist())) ^ seed)
+    ids = np.maximum(ids, np.uint64(1)).view(np.int64)  # 0 stands for no word
     code, n = coded.indices.to_numpy().astype(np.int64) + 1, len(coded.dictionary) + 1
     piece = np.cumsum(kind == 2, dtype=np.int32)[first]
     key, together = code.copy(), np.ones(len(code), bool)
@@ -112,11 +122,11 @@ def suffixes(raw: bytes, counted: int, depth: int) -> tuple[pa.Array, list[np.nd
     for _ in range(depth):
         key, place = np.divmod(key, n)
         places.append(place - 1)
-    return coded.dictionary, places[::-1], count
+    return coded.dictionary, ids, places[::-1], count
 
 
-def counted_suffixes(documents: DataFrame, depth: int, size: int = SLICE) -> DataFrame:
-    """(lang, w1, ..., n): suffixes of ``depth`` words, counted per slice; shorter ones end with nulls."""
+def counted_suffixes(documents: DataFrame, depth: int, size: int = SLICE, seed: int = 0) -> DataFrame:
+    """Suffixes counted per slice: (lang, word, w1, n) of one word, else (w1, ..., n) by the ids of their words, 0 after the last."""
     names = [f"w{i + 1}" for i in range(depth)]
 
     def run(batches):
@@ -125,64 +135,65 @@ def counted_suffixes(documents: DataFrame, depth: int, size: int = SLICE) -> Dat
             texts = batch.column(1).cast(pa.binary())
             for lang in pc.unique(langs):
                 own = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
+                mark = seed_of(lang.as_py(), seed)
                 for raw, counted in slices((texts[int(i)].as_py() or b"" for i in own), size):
-                    words, places, count = suffixes(raw, counted, depth)
-                    if depth > 1:  # a last word alone is no phrase
+                    words, ids, places, count = suffixes(raw, counted, depth, mark)
+                    if depth == 1:
+                        columns = {"lang": pa.array([lang.as_py()] * len(count), pa.string()), "word": words.take(pa.array(places[0])), "w1": ids[places[0]]}
+                    else:  # a last word alone is no phrase
                         more = places[1] >= 0
-                        places, count = [p[more] for p in places], count[more]
-                    columns = {w: words.take(pa.array(p, mask=p < 0)) for w, p in zip(names, places)}
-                    yield pa.RecordBatch.from_pydict(
-                        {"lang": pa.array([lang.as_py()] * len(count), pa.string())} | columns | {"n": pa.array(count, pa.int64())})
+                        places, count, ids = [p[more] for p in places], count[more], np.append(ids, 0)
+                        columns = {w: ids[p] for w, p in zip(names, places)}
+                    yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(count, pa.int64())})
 
-    return documents.select("lang", "text").mapInArrow(run, "lang string, " + ", ".join(f"{w} string" for w in names) + ", n long")
+    kind = ", ".join(f"{w} long" for w in [*names, "n"])
+    return documents.select("lang", "text").mapInArrow(run, kind if depth > 1 else "lang string, word string, " + kind)
 
 
 def subtree(rows: pa.Table, least: int) -> pa.Table:
-    """The nodes of one group's subtree that ``least`` suffixes or more lie under: (lang, w1, w2, w3 or null, a)."""
-    rows = rows.combine_chunks()
-    spelled = pa.chunked_array([rows[w].chunk(0) for w in ("w1", "w2", "w3")]).combine_chunks().dictionary_encode()
-    code = pc.fill_null(spelled.indices, -1).to_numpy(zero_copy_only=False).reshape(3, -1)
-    lang = rows["lang"].chunk(0).dictionary_encode()
-    keys = [lang.indices.to_numpy(), *code]
+    """The nodes of one group's subtree that ``least`` suffixes or more lie under: (w1, w2, w3 or 0, a)."""
+    keys = [rows[w].to_numpy() for w in ("w1", "w2", "w3")]
     order = np.lexsort(keys[::-1])
     keys, n = [k[order] for k in keys], rows["n"].to_numpy()[order]
-    cut = rows["depth"].to_numpy()[order]
     new = np.ones(len(order), bool)
-    new[1:] = False
-    found = {"lang": [], "w1": [], "w2": [], "w3": [], "a": []}
-    for depth, k in enumerate(keys):
-        new[1:] |= k[1:] != k[:-1]
-        if depth < 2:
-            continue
+    new[1:] = keys[0][1:] != keys[0][:-1]
+    found = []
+    for depth in (1, 2):
+        new[1:] |= keys[depth][1:] != keys[depth][:-1]
         start = np.flatnonzero(new)
         total = np.add.reduceat(n, start)
-        # a pair that was extended has leaves in many groups
-        keep = (total >= least) & ((cut[start] < 3) if depth == 2 else (keys[3][start] >= 0))
+        keep = (total >= least) & (keys[depth][start] != 0)
         start, total = start[keep], total[keep]
-        found["lang"].append(lang.dictionary.take(pa.array(keys[0][start])))
-        for i, w in enumerate(("w1", "w2", "w3"), 1):
-            at = keys[i][start]
-            found[w].append(spelled.dictionary.take(pa.array(at, mask=np.full(len(at), i > depth))))
-        found["a"].append(pa.array(total, pa.int64()))
-    return pa.table({k: pa.chunked_array(v) for k, v in found.items()})
+        found.append([keys[0][start], keys[1][start], keys[2][start] * (depth == 2), total])
+    return pa.table(dict(zip(("w1", "w2", "w3", "a"), (np.concatenate(c) for c in zip(*found)))))
+
+
+def vocabulary(documents: DataFrame, size: int = SLICE) -> tuple[DataFrame, int]:
+    """Words (lang, word, w1, a), w1 being their ids, and the seed of the ids: the first one that gives no id twice."""
+    seed = 0
+    while True:
+        words = stored(counted_suffixes(documents, 1, size, seed).groupBy("lang", "word", "w1").agg(F.sum("n").alias("a")))
+        if words.groupBy("w1").count().where("count > 1").isEmpty():
+            return words, seed
+        seed += 1
 
 
 def phrase_counts(documents: DataFrame, least: int = LEAST, budget: int = BUDGET, size: int = SLICE) -> tuple[DataFrame, DataFrame]:
-    """Words (lang, w1, a) and phrases of two and three words (lang, w1, w2, w3 or null, a), the latter from ``least`` occurrences on."""
-    words = stored(counted_suffixes(documents, 1, size).groupBy("lang", "w1").agg(F.sum("n").alias("a")))
+    """Words (lang, word, w1, a) and phrases of two and three words (w1, w2, w3 or 0, a), the latter from ``least`` occurrences on."""
+    words, seed = vocabulary(documents, size)
     groups = max(1, math.ceil((words.agg(F.sum("a")).first()[0] or 0) / (budget // 2)))
-    often = stored(words.where(F.col("a") > budget // 4).select("lang", "w1", F.lit(True).alias("often")))
-    pairs = counted_suffixes(documents, 2, size).join(often, ["lang", "w1"], "left_semi")
-    pairs = stored(pairs.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") > budget // 4))
-    rows = (counted_suffixes(documents, DEPTH, size).join(often, ["lang", "w1"], "left")
-            .join(pairs.select("lang", "w1", "w2", F.lit(True).alias("more")), ["lang", "w1", "w2"], "left"))
-    depth = F.when(F.col("more"), 3).when(F.col("often"), 2).otherwise(1)
-    prefix = ["lang", "w1", F.when(F.col("depth") > 1, F.col("w2")), F.when(F.col("depth") > 2, F.col("w3"))]
-    rows = rows.withColumn("depth", depth).withColumn("group", F.pmod(F.xxhash64(*prefix), F.lit(groups).cast("long")))
-    nodes = (rows.select("group", "lang", "w1", "w2", "w3", "depth", "n").groupBy("group")
-             .applyInArrow(lambda t: subtree(t, least), "lang string, w1 string, w2 string, w3 string, a long"))
-    whole = pairs.where(F.col("a") >= least).select("lang", "w1", "w2", F.lit(None).cast("string").alias("w3"), "a")
-    return words, stored(nodes.unionByName(whole))
+    often = stored(words.where(F.col("a") > budget // 4).select("w1", F.lit(True).alias("often")))
+    pairs = counted_suffixes(documents, 2, size, seed).join(often, "w1", "left_semi")
+    pairs = stored(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("a")).where(F.col("a") > budget // 4))
+    rows = (counted_suffixes(documents, DEPTH, size, seed).join(often, "w1", "left")
+            .join(pairs.select("w1", "w2", F.lit(True).alias("more")), ["w1", "w2"], "left"))
+    prefix = ["w1", F.when(F.col("often"), F.col("w2")), F.when(F.col("more"), F.col("w3"))]
+    rows = rows.select(F.pmod(F.xxhash64(*prefix), F.lit(groups).cast("long")).alias("group"), "w1", "w2", "w3", "n")
+    nodes = rows.groupBy("group").applyInArrow(lambda t: subtree(t, least), "w1 long, w2 long, w3 long, a long")
+    # the leaves of a pair that was extended lie in many groups: its count is known, its partial nodes go
+    kept = nodes.join(pairs.select("w1", "w2", F.lit(0).cast("long").alias("w3")), ["w1", "w2", "w3"], "left_anti")
+    whole = pairs.where(F.col("a") >= least).select("w1", "w2", F.lit(0).cast("long").alias("w3"), "a")
+    return words, stored(kept.unionByName(whole))
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -192,38 +203,39 @@ def score(a: str, left: str, right: str) -> Column:
 
 
 def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP, cover: int = COVER, budget: int = BUDGET,
-                 size: int = SLICE, parts: int = 64) -> DataFrame:
+                 size: int = SLICE, parts: tuple = (512, 4)) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language.
 
     A pair inside a phrase of three words goes where the longer one has ``cover`` percent of its occurrences or more.
     """
     words, nodes = phrase_counts(documents, least, budget, size)
-    known = words.where(F.col("a") >= least)
+    known = stored(words.where(F.col("a") >= least))
 
-    def of_word(w, name):
-        return known.select("lang", F.col("w1").alias(w), F.col("a").alias(name))
+    def of_word(w, name, *more):
+        return known.select(F.col("w1").alias(w), F.col("a").alias(name), F.col("word").alias("t" + w[1]), *more)
 
     def of_pair(w, v, name):
-        return nodes.where("w3 is null").select("lang", F.col("w1").alias(w), F.col("w2").alias(v), F.col("a").alias(name))
+        return nodes.where("w3 = 0").select(F.col("w1").alias(w), F.col("w2").alias(v), F.col("a").alias(name))
 
-    triples = nodes.where("w3 is not null")
-    longer = triples.select("lang", "w1", "w2", "a").unionByName(triples.select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
-    longer = stored(longer.groupBy("lang", "w1", "w2").agg(F.max("a").alias("longer")))
-    two = (nodes.where("w3 is null").join(longer, ["lang", "w1", "w2"], "left")
+    triples = nodes.where("w3 <> 0")
+    longer = triples.select("w1", "w2", "a").unionByName(triples.select(F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
+    longer = stored(longer.groupBy("w1", "w2").agg(F.max("a").alias("longer")))
+    two = (nodes.where("w3 = 0").join(longer, ["w1", "w2"], "left")
            .where(F.coalesce(100 * F.col("longer") < cover * F.col("a"), F.lit(True)))
-           .join(of_word("w1", "l"), ["lang", "w1"]).join(of_word("w2", "r"), ["lang", "w2"])
-           .select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "l", "r", score("a", "l", "r").alias("score")))
-    three = (triples.join(of_word("w1", "l1"), ["lang", "w1"]).join(of_pair("w2", "w3", "r1"), ["lang", "w2", "w3"])
-             .join(of_pair("w1", "w2", "l2"), ["lang", "w1", "w2"]).join(of_word("w3", "r2"), ["lang", "w3"])
+           .join(of_word("w1", "l", "lang"), "w1").join(of_word("w2", "r"), "w2")
+           .select("lang", F.concat_ws(" ", "t1", "t2").alias("phrase"), "a", "l", "r", score("a", "l", "r").alias("score")))
+    three = (triples.join(of_pair("w2", "w3", "r1"), ["w2", "w3"]).join(of_pair("w1", "w2", "l2"), ["w1", "w2"])
+             .join(of_word("w1", "l1", "lang"), "w1").join(of_word("w2", "middle"), "w2").join(of_word("w3", "r2"), "w3")
              .withColumns({"s1": score("a", "l1", "r1"), "s2": score("a", "l2", "r2")}))
     second = F.col("s2") < F.col("s1")
-    three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a",
+    three = three.select("lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "a",
                          F.when(second, F.col("l2")).otherwise(F.col("l1")).alias("l"),
                          F.when(second, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.least("s1", "s2").alias("score"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    best = two.unionByName(three).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
-    for keys in (["lang", "part"], ["lang"]):
-        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
+    best = two.unionByName(three)
+    for n in (*parts, 1):
+        ranked = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(n))).orderBy(*order)
+        best = best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from kwhrecon.llm import phrases
@@ -66,7 +67,7 @@ def test_against_plain_counts(spark, rows, budget, size):
 
 
 def test_limits(spark, rows):
-    got = phrases.collocations(table(spark, rows), least=4, top=7, cover=20, budget=1000, parts=2)
+    got = phrases.collocations(table(spark, rows), least=4, top=7, cover=20, budget=1000, parts=(3,))
     assert sorted(map(tuple, got.collect())) == brute(rows, 4, 7, 20)
 
 
@@ -77,7 +78,8 @@ def test_prefixes_are_extended_until_they_fit(spark, rows):
         for piece in re.split("[.,;:!?\x0a-\x0d]", lowered(text or "")):
             ws = re.findall("[^\x20\x09]+", piece)
             want.update((lang if lang is not None else "und", *ws[i:i + k]) for k in (2, 3) for i in range(len(ws) - k + 1))
-    got = {tuple(x for x in (r["lang"], r["w1"], r["w2"], r["w3"]) if x is not None): r["a"] for r in nodes.collect()}
+    names = {r["w1"]: (r["lang"], r["word"]) for r in words.collect()}
+    got = {(names[r["w1"]][0], *(names[r[w]][1] for w in ("w1", "w2", "w3") if r[w])): r["a"] for r in nodes.collect()}
     assert got == {k: a for k, a in want.items() if a >= 10}
     assert words.where("a > 100").count() > 5
 
@@ -90,12 +92,23 @@ def test_cuts_lose_nothing():
         for part, counted in phrases.parts_of(raw, size):
             assert part[:counted] == raw[at:at + counted]
             at += counted
-            words, places, count = phrases.suffixes(part, counted, 1)
+            words, _, places, count = phrases.suffixes(part, counted, 1, phrases.seed_of("en", 0))
             got.update({words[int(i)].as_py(): int(c) for i, c in zip(places[0], count)})
         assert at == len(raw)
         assert got == Counter(re.findall("[^\x20\x09.,;:!?\x0a-\x0d]+", raw.decode()))
 
 
+def test_words_that_share_an_id_get_others(spark, rows, monkeypatch):
+    """Ids of four bits for the first seed: words share them; the next seed tells them apart."""
+    top, low, whole = np.uint64(1 << 63), np.uint64(15), phrases.word_hashes
+    monkeypatch.setattr(phrases, "word_hashes", lambda raw: whole(raw) & ~top)
+    monkeypatch.setattr(phrases, "seed_of", lambda lang, seed: np.uint64(0) if seed == 0 else top ^ np.uint64(hash(lang) % 1000 << 8))
+    monkeypatch.setattr(phrases, "mix", lambda h: np.where(h & top, h, h & low))
+    words, seed = phrases.vocabulary(table(spark, rows))
+    assert seed > 0
+    assert words.count() == words.select("w1").distinct().count() == words.select("lang", "word").distinct().count()
+
+
 def test_empty_tables(spark):
     assert phrases.collocations(table(spark, [])).count() == 0
     assert phrases.collocations(table(spark, [(None, None), ("", "en")])).count() == 0
