@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kwhrecon.functions.keys import strip_decimal_suffix
+from kwhrecon.operators.late import best_rows
 
 
-def keep_last(df: DataFrame, key: str = "uc", seq: str = "seq") -> DataFrame:
-    """The last row per key in ``seq`` order (one ``groupBy`` + ``max_by``)."""
-    payload = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*payload), seq).alias("_l")).select(key, "_l.*")
+def keep_last(df: DataFrame, key: str = "uc", seq="seq") -> DataFrame:
+    """The last row per key in ``seq`` order (a column or several): numbers are aggregated, the rows fetched after."""
+    order = [F.col(c).desc_nulls_last() for c in ([seq] if isinstance(seq, str) else seq)]
+    return best_rows(df, [key], order)
 
 
 def enrich_left(df: DataFrame, metadata: DataFrame, key: str = "uc", seq: str = "seq",
@@ -51,8 +52,7 @@ def upsert_keep_last(current: DataFrame, new: DataFrame, key: str = "uc",
         return new
     both = current.withColumn("_batch", F.lit(0)).unionByName(
         new.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
-    both = both.withColumn("_seq", F.struct("_batch", seq))
-    return keep_last(both.drop("_batch"), key, "_seq").drop("_seq")
+    return keep_last(both, key, ["_batch", seq]).drop("_batch")
 
 
 def merge_fields(current: DataFrame, updates: DataFrame, key: str = "uc") -> DataFrame:

@@ -1,18 +1,21 @@
 """Invoice grouping into parent / child / separator rows.
 
 Plan: one ``groupBy`` over the group keys computes size, flags, the parsed
-sums and the first appearance of the group (minimum report order) --
-partial aggregation makes a hot group cheap. Members are the original rows
-joined to those per-group facts (AQE splits a skewed group); the parent is
-the member whose order equals its group's minimum, with the sums put in;
-separators come from the aggregate. Nothing is collected per group. Layout order = (group first appearance, kind rank,
-row order), applied by ``layout_order`` with a range-partitioned sort.
+sums and the first appearance of the group (minimum report order); partial
+aggregation makes a hot group cheap. Members are the original rows joined to
+those facts; the rows of groups that may hold more than a bounded share of all
+are dealt over salts (``operators.skew``), so that one group of a third of all
+rows spreads over all tasks. The same join yields the parents: the member whose
+order equals its group's minimum gives a second row with the sums put in, and
+a third one, empty, that separates the group from the next. The rows to group
+are thus read twice, besides their keys for the sketch, and nothing is collected
+per group. The order must be unique, as one that ends with the row ids is.
+Layout order = (group first appearance, kind rank, row order), applied by
+``layout_order`` with a range-partitioned sort.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from kwhrecon.functions.keys import group_key_text, strip_decimal_suffix
 from kwhrecon.functions.money import br_number
 from kwhrecon.functions.text import strip
 from kwhrecon.operators.filters import is_main
+from kwhrecon.operators.skew import hot_keys, salted_join
 
 # Grouping flag, classification labels.
 GROUP_FLAG_VALUE = "Agrupamento"
@@ -128,27 +132,27 @@ def apply_grouping(df: DataFrame, mode: str = "default", include_child_rows: boo
     qualifies = (F.col("_n") > 1) & (F.col("_marked") if mode == "default" else F.lit(True))
     majority = F.when(F.col("_n_invoice") * 2 > F.col("_n"), F.lit(LABEL_INVOICE)).otherwise(F.lit(LABEL_RULE))
     stats = stats.withColumns({"_q": qualifies, "_majority": majority})
-    facts = stats.select(*keys, "_q", "group_ord", "_majority", *["_sum_" + c for c in sum_cols])
-    # every row with its group's facts; the parent is the group's first row
-    # (the one whose order equals the group's minimum), so no wide struct
-    # has to travel through the aggregate
-    joined = g.join(facts, keys)
-    helper = ["_q", "_majority", *["_sum_" + c for c in sum_cols]]
-    parents = joined.filter(F.col("_q") & (F.col(order) == F.col("group_ord"))).withColumns({
-        "uc": group_label(mode),
-        **{c: F.col("_sum_" + c) for c in sum_cols},
-        "row_kind": F.lit("parent"), "kind_rank": F.lit(0),
-        "classification": F.col("_majority") if include_child_rows else classify(),
-    }).drop(*helper)
-    members = joined if include_child_rows else joined.filter(~F.col("_q"))
-    members = members.withColumns({
-        **{c: br_number(c, dtype=types[c]).cast("double") for c in sum_cols},
-        "row_kind": F.when(F.col("_q"), F.lit("child")).otherwise(F.lit("normal")),
-        "kind_rank": F.lit(1), "classification": classify(),
-    }).drop(*helper)
-    separators = stats.select(*keys, "group_ord", F.lit("separator").alias("row_kind"),
-                              F.lit(2).alias("kind_rank"), F.lit(LABEL_RULE).alias("classification"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [parents, members, separators])
+    sums = ["_sum_" + c for c in sum_cols]
+    facts = stats.select(*keys, "_q", "group_ord", "_majority", *sums)
+    joined = salted_join(g, facts, keys, hot_keys(g, keys), spread=[order])
+
+    def kinds(*names) -> Column:
+        rank = {"parent": 0, "child": 1, "normal": 1, "separator": 2}
+        return F.array(*[F.struct(F.lit(k).alias("row_kind"), F.lit(rank[k]).alias("kind_rank")) for k in names])
+
+    # a row of a group that qualifies gives a child, if wanted; the group's first row gives the parent and the separator besides
+    first, child = F.col(order) == F.col("group_ord"), ["child"] if include_child_rows else []
+    made = (F.when(first & F.col("_q"), kinds("parent", *child, "separator")).when(first, kinds("normal", "separator"))
+            .when(~F.col("_q"), kinds("normal")).otherwise(kinds(*child) if child else F.slice(kinds("normal"), 1, 0)))
+    rows = joined.withColumn("_made", F.explode(made))
+    kind, columns = F.col("_made.row_kind"), [c for c in g.columns if c not in keys]
+    parent, written = kind == "parent", kind != "separator"
+    values = {c: F.col(c) for c in columns} | {c: br_number(c, dtype=types[c]).cast("double") for c in sum_cols}
+    values |= {c: F.when(parent, F.col("_sum_" + c)).otherwise(values[c]) for c in sum_cols}
+    values["uc"] = F.when(parent, group_label(mode)).otherwise(F.col("uc"))
+    label = F.when(parent, F.col("_majority")).otherwise(classify()) if include_child_rows else classify()
+    return rows.select(*keys, *[F.when(written, v).alias(c) for c, v in values.items()], "group_ord", kind.alias("row_kind"),
+                       F.col("_made.kind_rank").alias("kind_rank"), F.when(written, label).otherwise(LABEL_RULE).alias("classification"))
 
 
 def layout_order(extra_keys=()) -> list[Column]:

@@ -2,7 +2,10 @@
 
 Only charges that exist in the billing portal stay, at most one per
 (final unit, month text), with a positive charged value that then becomes
-the billed amount. All steps are aggregations or joins on unit keys.
+the billed amount. Keys, preference and row numbers of the scope are stored
+as a narrow table; the best preference per key is a hash aggregate of one number
+over it, and whole rows are fetched for the winners only. The lookups deal hot
+keys over salts (``operators.skew``).
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ from kwhrecon.functions.keys import contains_letter, uc_text
 from kwhrecon.functions.money import br_number
 from kwhrecon.functions.text import lower_strip, strip
 from kwhrecon.operators.filters import positive_charge
+from kwhrecon.operators.late import ROW
+from kwhrecon.operators.skew import hot_keys, salted_join
+from kwhrecon.session import materialize
 
 ORDER = ["src", "row_id"]
 
@@ -49,7 +55,8 @@ def final_unit(df: DataFrame, aliases: DataFrame, order_cols=ORDER, extra_keys=(
     salt = F.concat(F.lit("\u0001"), *[F.col(c).cast("string") for c in order_cols])
     keyed = df.withColumns({"_uc_base": base, "_uc_portal": _portal_text(df)})
     keyed = keyed.withColumn("_probe", F.coalesce(F.col("_uc_base"), salt))
-    joined = keyed.join(aliases.withColumnRenamed("alias_key", "_probe"), [*extra_keys, "_probe"], "left")
+    on = [*extra_keys, "_probe"]
+    joined = salted_join(keyed, aliases.withColumnRenamed("alias_key", "_probe"), on, hot_keys(keyed, on), "left", order_cols)
     return joined.withColumn("uc_final", F.coalesce("_uc_portal", "alias_uc", "_uc_base")) \
         .drop("_probe", "alias_uc", "_uc_portal", "_uc_base")
 
@@ -67,24 +74,50 @@ def preference_order(df: DataFrame, order_cols=ORDER) -> Column:
                     *[F.col(c) for c in order_cols])
 
 
-def restrict_to_portal(df: DataFrame, alias_scope: DataFrame | None = None,
-                       order_cols=ORDER, period: str = "period", extra_keys=()) -> DataFrame:
+def portal_winners(scope: DataFrame, aliases: DataFrame, order_cols=ORDER, period: str = "period", extra_keys=()) -> DataFrame:
+    """D9 + D4: (extra keys, row ids, ``uc_final``) of the best row per (final unit, month text) of a filtered scope.
+
+    ``scope`` needs only the columns that decide; it is stored once, narrow.
+    """
+    extra_keys = list(extra_keys)
+    ids = [ROW] if ROW in scope.columns else list(order_cols)
+    work = final_unit(scope.withColumn("_pref", preference_order(scope, order_cols)), aliases, order_cols, extra_keys)
+    work = work.filter(F.col("uc_final").isNotNull() & F.col(period).isNotNull())
+    work = materialize(work.select(*extra_keys, "uc_final", period, *[F.col(c).alias("_id_" + c) for c in ids], "_pref.*")
+                       .withColumn("_rank", preference_rank()).drop("_p1", "_p2", "_p3"))
+    keys = [*extra_keys, "uc_final", period]
+    # the best preference per key is one number; only rows that reach it meet again, for the row order
+    top = work.groupBy(*keys).agg(F.min("_rank").alias("_best"))
+    tied = salted_join(work, top, keys, hot_keys(work, keys), spread=order_cols).where("_rank = _best")
+    row = F.struct(*[F.col("_id_" + c).alias(c) for c in ids])
+    return tied.groupBy(*keys).agg(F.min_by(row, F.struct(*order_cols)).alias("_row")).select(*extra_keys, "_row.*", "uc_final")
+
+
+def preference_rank() -> Column:
+    """The preference (``_p1``, ``_p2``, ``_p3``) as one whole-ordered number: the flags stand above every amount of 18 digits."""
+    flags = F.col("_p1").cast("int") * 2 + F.col("_p2").cast("int")
+    return flags.cast("decimal(1,0)") * F.lit(2 * 10**18).cast("decimal(19,0)") + F.col("_p3").cast("decimal(24,6)")
+
+
+def restrict_to_portal(df: DataFrame, alias_scope: DataFrame | None = None, order_cols=ORDER,
+                       period: str = "period", extra_keys=(), enrich=None) -> DataFrame:
     """P7 -> D9 -> D4 -> V5. Output keeps every input column; ``uc`` is the
     final unit, ``amount`` the charged value (null -> 0), and ``pref_ord`` the
-    D4 ordering (used downstream as the stable tie-break)."""
+    D4 ordering (used downstream as the stable tie-break). ``enrich`` adds columns
+    to the winners (with ``uc_final``) while they are narrow."""
     if "charged_amount" not in df.columns:
         return df
     extra_keys = list(extra_keys)
     aliases = alias_map(alias_scope if alias_scope is not None else df, order_cols, extra_keys)
-    work = df.filter(positive_charge())
-    work = final_unit(work, aliases, order_cols, extra_keys)
-    work = work.filter(F.col("uc_final").isNotNull() & F.col(period).isNotNull())
-    work = work.withColumn("pref_ord", preference_order(work, order_cols))
-    keys = [*extra_keys, "uc_final", period]
-    payload = [c for c in work.columns if c not in keys]
-    best = work.groupBy(*keys).agg(F.min_by(F.struct(*payload), "pref_ord").alias("_b"))
-    out = best.select(*keys, "_b.*")
-    return out.withColumns({
+    scope = df.filter(positive_charge())
+    won = portal_winners(scope, aliases, order_cols, period, extra_keys)
+    ids = [c for c in won.columns if c != "uc_final"]
+    return billed(scope.join(enrich(won) if enrich else won, ids), order_cols)
+
+
+def billed(rows: DataFrame, order_cols=ORDER) -> DataFrame:
+    """V5: winners (with ``uc_final``) under their final unit and charged value, with the D4 ordering ``pref_ord``."""
+    return rows.withColumn("pref_ord", preference_order(rows, order_cols)).withColumns({
         "uc": F.col("uc_final"),
         "amount": F.coalesce(F.col("charged_amount").cast("double"), F.lit(0.0)),
     }).drop("uc_final")

@@ -7,11 +7,12 @@ membership and gap typing (J9, C5) and the expansion guard (A11, A12).
 
 Scale notes
 -----------
-* Dedupe is a ``groupBy`` with ``min_by``: partial aggregation collapses a
-  hot (unit, month) before the shuffle, unlike a window that would send all
-  of its rows to one task and sort them.
+* Dedupe is a hash aggregate of numbers: partial aggregation collapses a
+  hot (unit, month) before the shuffle; whole charge rows are fetched for
+  the winners only (``operators.late``).
 * The deduped charges are one row per (uc_key, period_month); each join
   shuffles that small table, so both of its sides can be split by AQE.
+* The identity lookup deals the rows of hot keys over salts (``operators.skew``).
 * Null join keys are never shuffled together: rows that need no fallback
   get a unique key that cannot match (digits-only keys never contain '#').
 """
@@ -27,6 +28,8 @@ from kwhrecon.functions.dates import parse_full_date, period_month
 from kwhrecon.functions.keys import account_text, doc_digits, identity_key, portal_uc, uc_key
 from kwhrecon.functions.money import charge_money
 from kwhrecon.functions.text import is_blank, lower_strip
+from kwhrecon.operators.late import ROW, best_rows, with_row_numbers
+from kwhrecon.operators.skew import hot_keys, salted_join
 
 KEYS = ["uc_key", "period_month"]
 ORDER = ["src", "row_id"]
@@ -69,12 +72,6 @@ def drop_cancelled(charges: DataFrame, col: str = "cancelled") -> DataFrame:
     return charges.filter(active_charge(col))
 
 
-def _due_first_ordering(due_col: str, order_cols) -> Column:
-    # latest due date first, no due date last: one reference to the parser
-    neg_due = F.coalesce(-F.unix_date(parse_full_date(due_col)), F.lit(2 ** 31 - 1))
-    return F.struct(neg_due.alias("_neg_due"), *[F.col(c) for c in order_cols])
-
-
 def dedupe_charges(charges: DataFrame, keys=KEYS, due_col: str = "due_date",
                    order_cols=("charge_id",), active: Column | None = None) -> DataFrame:
     """D1+D3: one charge per (unit key, month) -- the latest due date wins,
@@ -86,19 +83,16 @@ def dedupe_charges(charges: DataFrame, keys=KEYS, due_col: str = "due_date",
     keep ``dup_count = 0`` and a null payload, so the same aggregate also
     serves the membership set of all charge units (J9). Rows with a null
     key stay as their own group; ``deduped_view`` drops them (P8).
+
+    The due date is parsed once, where the charges are stored with their row
+    numbers; the aggregate sees keys and numbers only.
     """
     keys = list(keys)
-    payload_cols = [c for c in charges.columns if c not in keys]
-    ordering = _due_first_ordering(due_col, order_cols) if due_col in charges.columns \
-        else F.struct(*[F.col(c) for c in order_cols])
-    if active is not None:
-        ordering = F.when(active, ordering)
-    counted = F.count_if(active) if active is not None else F.count(F.lit(1))
-    agg = charges.groupBy(*keys).agg(
-        F.min_by(F.struct(*payload_cols), ordering).alias("_first"),
-        counted.alias("dup_count"),
-    )
-    out = agg.select(*keys, "_first.*", (F.col("dup_count") > 1).alias("is_dup"), "dup_count")
+    days = F.unix_date(parse_full_date(due_col)) if due_col in charges.columns else F.lit(None).cast("int")
+    rows = with_row_numbers(charges.withColumn("_before_due", F.coalesce(-days, F.lit(2**31 - 1))))
+    out = best_rows(rows.withColumn("charge_no", F.col(ROW)), keys, [F.col("_before_due"), *[F.col(c) for c in order_cols]],
+                    competes=active, count="dup_count").drop("_before_due")
+    out = out.select(*[c for c in out.columns if c != "dup_count"], (F.col("dup_count") > 1).alias("is_dup"), "dup_count")
     return out if active is not None else deduped_view(out, keys)
 
 
@@ -215,6 +209,7 @@ def portal_only_charges(deduped: DataFrame, base_k: DataFrame, doc: str = "doc")
     cols = {
         "src": F.lit(1),
         "row_id": F.col("charge_id") if "charge_id" in ch.columns else F.xxhash64(*deduped.columns),
+        ROW: F.col("charge_no") + F.lit(2**62) if "charge_no" in ch.columns else F.lit(None).cast("long"),
         "uc": F.col("portal_uc"),
         "portal_uc": F.col("portal_uc"),
         "alt_uc": null_s,
@@ -250,29 +245,44 @@ def identity_backfill(df: DataFrame, identity_cols=IDENTITY_COLS, key_cols=IDENT
     space, F15-normalised), trying the row's keys in that order.
 
     Plan: explode <= 3 keys per row, ``groupBy(key)`` with ``min_by`` (partial
-    aggregation), then only rows with a blank value look their keys up.
+    aggregation), then only rows with a blank value look their keys up, in a
+    join that deals hot keys over salts.
     """
     idc = _present(df, identity_cols)
     kc = _present(df, key_cols)
     if not idc or not kc:
         return df
+    lookup = identity_lookup(df, idc, kc, order_cols)
+    needs = reduce(lambda a, b: a | b, [is_blank(c) for c in idc])
+    return df.filter(~needs).unionByName(identity_fill(df.filter(needs), lookup, idc, kc, order_cols))
+
+
+def identity_keys(key_cols) -> Column:
+    return F.array(*[identity_key(k) for k in key_cols])
+
+
+def identity_lookup(df: DataFrame, identity_cols, key_cols, order_cols=ORDER) -> DataFrame:
+    """J5, donors: per identity key the first non-blank value of each identity column (``_lk_<column>``)."""
     order = F.struct(*[F.col(c) for c in order_cols])
-    keys_arr = F.array(*[identity_key(k) for k in kc])
-    donors = (df.select(order.alias("_ord"), *idc, F.posexplode(keys_arr).alias("_kpos", "_key"))
+    donors = (df.select(order.alias("_ord"), *identity_cols, F.posexplode(identity_keys(key_cols)).alias("_kpos", "_key"))
               .filter(F.col("_key") != ""))
-    lookup = donors.groupBy("_key").agg(*[
-        F.min_by(F.col(c), F.when(~is_blank(c), F.struct("_ord", "_kpos"))).alias("_lk_" + c) for c in idc])
-    needs = reduce(lambda a, b: a | b, [is_blank(c) for c in idc])
-    target = df.filter(needs)
-    probes = (target.select(*order_cols, F.posexplode(keys_arr).alias("_kpos", "_key"))
+    return donors.groupBy("_key").agg(*[
+        F.min_by(F.col(c), F.when(~is_blank(c), F.struct("_ord", "_kpos"))).alias("_lk_" + c) for c in identity_cols])
+
+
+def identity_fill(target: DataFrame, lookup: DataFrame, identity_cols, key_cols, order_cols=ORDER) -> DataFrame:
+    """J5, receivers: blank identity values filled through the row's keys, in their order; a hot key is dealt over salts."""
+    ids = [ROW] if ROW in target.columns else list(order_cols)
+    probes = (target.select(*ids, F.posexplode(identity_keys(key_cols)).alias("_kpos", "_key"))
               .filter(F.col("_key") != ""))
-    hits = probes.join(lookup, "_key").groupBy(*order_cols).agg(*[
+    met = salted_join(probes, lookup, ["_key"], hot_keys(probes, ["_key"]), spread=ids)
+    hits = met.groupBy(*ids).agg(*[
         F.min_by(F.col("_lk_" + c), F.when(F.col("_lk_" + c).isNotNull(), F.col("_kpos"))).alias("_fill_" + c)
-        for c in idc])
-    filled = target.join(hits, list(order_cols), "left").withColumns({
+        for c in identity_cols])
+    filled = target.join(hits, ids, "left").withColumns({
         c: F.when(is_blank(c) & F.col("_fill_" + c).isNotNull(), F.col("_fill_" + c)).otherwise(F.col(c))
-        for c in idc}).drop(*["_fill_" + c for c in idc])
-    return df.filter(~needs).unionByName(filled.select(*df.columns))
+        for c in identity_cols}).drop(*["_fill_" + c for c in identity_cols])
+    return filled.select(*target.columns)
 
 
 def finalize_columns(df: DataFrame) -> DataFrame:

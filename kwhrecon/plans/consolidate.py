@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kwhrecon.operators import reconcile as R
+from kwhrecon.operators.late import ROW
 from kwhrecon.session import materialize
 
 
@@ -36,12 +37,13 @@ def consolidate(base: DataFrame, charges: DataFrame | None, *, strict_br: bool =
     overrides that choice.
 
     ``checkpoint`` writes three intermediate tables to the shared folder: the
-    base with its parsed keys (read by the join, the document set and the
-    match keys), the per-key charge aggregate (read by both joins, the append
-    and the membership test) and the joined table before the identity backfill
-    (read twice). These are three eager jobs; all cut the lineage, so a lost executor
-    recomputes from them, not from the scan. Each join shuffles both sides, so
-    AQE can split a hot key.
+    base with its parsed keys and row numbers (read by the join, the document
+    set and the match keys), the per-key charge aggregate (read by both joins,
+    the append and the membership test) and the joined table before the identity
+    backfill (read twice). The dedupe stores the parsed charges besides. These are
+    eager jobs; all cut the lineage, so a lost executor recomputes from them, not
+    from the scan. The joins by month shuffle both sides, so AQE can split a hot
+    key; the identity lookup deals hot keys over salts.
     """
     if by_month is None:
         by_month = charges is None or "period" in charges.columns
@@ -51,7 +53,7 @@ def consolidate(base: DataFrame, charges: DataFrame | None, *, strict_br: bool =
         empty = cons.limit(0)
         return Consolidation(cons, empty, empty, empty)
     if checkpoint:
-        base_k = materialize(base_k)
+        base_k = materialize(base_k.withColumn(ROW, F.monotonically_increasing_id()))
     ch_all = R.charge_keys(charges, strict_br=strict_br)
     if not by_month:
         ch_all = ch_all.withColumn("period_month", F.lit(None).cast("date"))

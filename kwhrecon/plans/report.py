@@ -26,6 +26,7 @@ from kwhrecon.operators import grouping as G
 from kwhrecon.operators import layout as L
 from kwhrecon.operators import payment as C
 from kwhrecon.operators import portal as J
+from kwhrecon.operators.late import ROW
 from kwhrecon.session import materialize
 
 SORT_SAVINGS = "Economia Gerada (Desc)"
@@ -45,7 +46,7 @@ class ReportOptions:
     sort_by: str = SORT_SAVINGS
     as_of: object = None
     # materialise the restricted, enriched scope in the shared checkpoint
-    # folder: grouping reads it three times (facts, members, separators)
+    # folder: grouping reads it twice (facts, members)
     checkpoint: bool = True
     extra: dict = field(default_factory=dict)
 
@@ -85,16 +86,36 @@ def _finish(work: DataFrame, opts: ReportOptions, extra_cols, extra_keys) -> Dat
     return L.blank_separators(L.assign_sheets(out, opts.presentation, opts.split_audit))
 
 
+def _with_metadata(won: DataFrame, metadata: DataFrame | None, taken) -> tuple[DataFrame, list[str]]:
+    """J7 on the narrow winners of the portal restriction: their rows, fetched afterwards, bring the columns ``taken``."""
+    if metadata is None:
+        return won, []
+    own = metadata.drop(*[c for c in metadata.columns if c in taken and c not in ("uc", "seq")])
+    rows, extra = E.enrich_left(won.withColumnRenamed("uc_final", "uc"), own, reserved=L.REPORT_NAMES)
+    return rows.withColumnRenamed("uc", "uc_final"), extra
+
+
+def _enriched(scope: DataFrame, alias_scope: DataFrame, metadata: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """The portal restriction of a scope with its metadata columns, and their names."""
+    if "charged_amount" not in scope.columns:
+        return E.enrich_left(scope, metadata, reserved=L.REPORT_NAMES) if metadata is not None else (scope, [])
+    names: list[str] = []
+
+    def enrich(won: DataFrame) -> DataFrame:
+        rows, extra = _with_metadata(won, metadata, scope.columns)
+        names.extend(extra)
+        return rows
+
+    return J.restrict_to_portal(scope, alias_scope, enrich=enrich), names
+
+
 def generate(consolidated: DataFrame, clients, periods, metadata: DataFrame | None = None,
              opts: ReportOptions | None = None) -> DataFrame:
     """The report rows of one scope (unsorted; see ``sorted_report``)."""
     opts = opts or ReportOptions()
     scope = P.filter_scope(consolidated, clients, periods)
     alias_scope = P.filter_scope(consolidated, clients, [])
-    work = J.restrict_to_portal(scope, alias_scope)
-    extra_cols = []
-    if metadata is not None:
-        work, extra_cols = E.enrich_left(work, metadata, reserved=L.REPORT_NAMES)
+    work, extra_cols = _enriched(scope, alias_scope, metadata)
     return _finish(work, opts, extra_cols, [])
 
 
@@ -104,12 +125,8 @@ def generate_by_month(consolidated: DataFrame, clients, periods, metadata: DataF
     opts = opts or ReportOptions()
     scope = P.filter_scope(consolidated, clients, periods)
     alias_scope = P.filter_scope(consolidated, clients, [])
-    work = J.restrict_to_portal(scope, alias_scope)
-    work = work.withColumn("output_period", normalize_period_value("period"))
-    extra_cols = []
-    if metadata is not None:
-        work, extra_cols = E.enrich_left(work, metadata, reserved=L.REPORT_NAMES)
-    return _finish(work, opts, extra_cols, ["output_period"])
+    work, extra_cols = _enriched(scope, alias_scope, metadata)
+    return _finish(work.withColumn("output_period", normalize_period_value("period")), opts, extra_cols, ["output_period"])
 
 
 GROUP_KEYS = ["group_id", "output_name"]
@@ -127,42 +144,67 @@ def group_names(groups: DataFrame, periods: DataFrame) -> DataFrame:
         "output_name", output_file_name_of("group_name", F.col("n_clients"), F.col("first_client"), F.col("periods")))
 
 
-def group_scope(consolidated: DataFrame, groups: DataFrame, periods: DataFrame) -> DataFrame:
-    """J10 + J11 + P1-P3 for many groups at once: consolidated rows tagged with
-    ``GROUP_KEYS`` and ``in_months``. The group id keeps outputs apart whose names
-    (F28) are equal; a client listed twice counts once. A row belongs to a group
-    when its client is listed or its (non-empty) document is one of the listed
-    clients' documents; rows with a document match through the document join
-    only, rows without one through the client join only, so the two parts are
-    disjoint. Groups without clients or months produce nothing (K3)."""
-    names = group_names(groups, periods).select(*GROUP_KEYS)
-    members = E.group_clients(groups).select("group_id", "client").join(names, "group_id")
+def group_membership(consolidated: DataFrame, groups: DataFrame) -> DataFrame:
+    """J10 + J11 + P1/P2 for many groups at once: the rows of any group, each once, with ``groups``, the set of its group ids.
+
+    A row belongs to a group when its client is listed or its (non-empty)
+    document is one of the listed clients' documents: rows with a document match
+    through the document only, rows without one through the client. The sets per
+    document and per client are stored, so both joins are plain shuffles.
+    """
+    members = E.group_clients(groups).select("group_id", "client")
     keyed = consolidated.withColumn("_doc_key", doc_digits("doc"))
-    by_client = keyed.join(members, "client")
-    docs = by_client.filter(F.col("_doc_key") != "").select(*GROUP_KEYS, "_doc_key").distinct()
-    with_doc = keyed.filter(F.col("_doc_key") != "").join(docs, "_doc_key")
-    without_doc = by_client.filter(F.col("_doc_key") == "")
-    scope = with_doc.unionByName(without_doc).drop("_doc_key").withColumn("_month", normalize_period_value("period"))
-    months = (periods.select("group_id", normalize_period_value("period").alias("_month"))
-              .filter(F.col("_month") != "").distinct().withColumn("in_months", F.lit(True)))
-    return (scope.join(months, ["group_id", "_month"], "left")
+    pairs = keyed.filter(F.col("_doc_key") != "").select("client", "_doc_key").distinct()
+    by_doc = materialize(pairs.join(members, "client").groupBy(F.col("_doc_key").alias("_probe_doc")).agg(F.collect_set("group_id").alias("_g_doc")))
+    by_client = materialize(members.groupBy(F.col("client").alias("_probe_client")).agg(F.collect_set("group_id").alias("_g_client")))
+    # rows that can match on one side only get a key of their own for the other
+    own = F.concat(F.lit("#"), F.col("src").cast("string"), F.lit(":"), F.col("row_id").cast("string"))
+    rows = keyed.withColumns({
+        "_probe_doc": F.when(F.col("_doc_key") != "", F.col("_doc_key")).otherwise(own),
+        "_probe_client": F.when((F.col("_doc_key") == "") & F.col("client").isNotNull(), F.col("client")).otherwise(F.concat(F.lit("\u0001"), own))})
+    rows = rows.join(by_doc, "_probe_doc", "left").join(by_client, "_probe_client", "left")
+    return (rows.withColumn("groups", F.coalesce("_g_doc", "_g_client")).filter(F.col("groups").isNotNull())
+            .drop("_doc_key", "_probe_doc", "_probe_client", "_g_doc", "_g_client"))
+
+
+def _group_months(periods: DataFrame) -> DataFrame:
+    return (periods.select("group_id", normalize_period_value("period").alias("_month"))
+            .filter(F.col("_month") != "").distinct().withColumn("in_months", F.lit(True)))
+
+
+def group_scope(consolidated: DataFrame, groups: DataFrame, periods: DataFrame) -> DataFrame:
+    """The rows of ``group_membership`` once per group, with ``GROUP_KEYS`` and ``in_months`` (P3). The group id
+    keeps outputs apart whose names (F28) are equal; a client listed twice counts once. Groups without clients or
+    months produce nothing (K3)."""
+    scope = group_membership(consolidated, groups).withColumn("group_id", F.explode("groups")).drop("groups")
+    scope = scope.join(group_names(groups, periods).select(*GROUP_KEYS), "group_id")
+    scope = scope.withColumn("_month", normalize_period_value("period"))
+    return (scope.join(_group_months(periods), ["group_id", "_month"], "left")
             .withColumn("in_months", F.coalesce("in_months", F.lit(False))).drop("_month"))
 
 
 def generate_many(consolidated: DataFrame, groups: DataFrame, periods: DataFrame, metadata: DataFrame | None = None,
                   opts: ReportOptions | None = None) -> DataFrame:
-    """One output per saved group (``GROUP_KEYS``), as one plan over one scope."""
+    """One output per saved group (``GROUP_KEYS``), as one plan over one scope.
+
+    Rows carry the set of their groups; only the few columns that decide the
+    portal restriction are repeated per group, and whole rows are fetched for the
+    winners. The stored scope has one narrow row per table row.
+    """
     opts = opts or ReportOptions()
-    everything = group_scope(consolidated, groups, periods)
-    if opts.checkpoint:
-        everything = materialize(everything)
-    alias_scope = everything.drop("in_months")
-    scope = everything.filter("in_months").drop("in_months")
-    work = J.restrict_to_portal(scope, alias_scope, extra_keys=GROUP_KEYS)
-    extra_cols = []
-    if metadata is not None:
-        work, extra_cols = E.enrich_left(work, metadata, reserved=L.REPORT_NAMES)
-    return _finish(work, opts, extra_cols, GROUP_KEYS)
+    names = materialize(group_names(groups, periods).select(*GROUP_KEYS))
+    ids = [ROW] if ROW in consolidated.columns else J.ORDER
+    deciding = [c for c in dict.fromkeys([*ids, *J.ORDER, "uc", "portal_uc", "alt_uc", "period", "source", "account", "amount", "charged_amount"])
+                if c in consolidated.columns]
+    scope = group_membership(consolidated, groups).withColumn("_month", normalize_period_value("period"))
+    scope = scope.select(*deciding, "_month", "groups")
+    scope = (materialize(scope) if opts.checkpoint else scope).withColumn("group_id", F.explode("groups")).drop("groups")
+    aliases = J.alias_map(scope, extra_keys=["group_id"])
+    wanted = _group_months(periods).join(names.select("group_id"), "group_id", "left_semi").drop("in_months")
+    due = scope.filter(P.positive_charge()).join(wanted, ["group_id", "_month"], "left_semi").drop("_month")
+    won = J.portal_winners(due, aliases, extra_keys=["group_id"]).join(names, "group_id")
+    won, extra_cols = _with_metadata(won, metadata, [*consolidated.columns, *GROUP_KEYS])
+    return _finish(J.billed(consolidated.join(won, ids)), opts, extra_cols, GROUP_KEYS)
 
 
 def sorted_report(report: DataFrame, extra_keys=()) -> DataFrame:
