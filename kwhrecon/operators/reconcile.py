@@ -194,9 +194,10 @@ def base_match_keys(base_k: DataFrame) -> DataFrame:
     return keys.filter((F.col("key") != "") & F.col("period_month").isNotNull())
 
 
-def portal_only_charges(deduped: DataFrame, base_k: DataFrame, doc: str = "doc") -> DataFrame:
+def portal_only_charges(deduped: DataFrame, base_k: DataFrame, doc: str = "doc", key_as: str | None = None) -> DataFrame:
     """Deduped charges of a document present in the base whose (unit,
-    month) matches no base row through either key, shaped as base rows."""
+    month) matches no base row through either key, shaped as base rows.
+    ``key_as`` names a column for the unit key of the charge."""
     if doc not in deduped.columns or doc not in base_k.columns:
         return None
     docs = base_k.select(doc_digits(doc).alias("_doc_key")).filter(F.col("_doc_key") != "").distinct()
@@ -206,6 +207,7 @@ def portal_only_charges(deduped: DataFrame, base_k: DataFrame, doc: str = "doc")
     ch = ch.join(keys, (ch["uc_key"] == keys["key"]) & (ch["period_month"] == keys["period_month"]),
                  "left_anti")
     null_s = F.lit(None).cast("string")
+    key = F.col("uc_key")
     cols = {
         "src": F.lit(1),
         "row_id": F.col("charge_id") if "charge_id" in ch.columns else F.xxhash64(*deduped.columns),
@@ -226,6 +228,8 @@ def portal_only_charges(deduped: DataFrame, base_k: DataFrame, doc: str = "doc")
     for c in CHARGE_FIELDS:
         if c in ch.columns and c not in cols and c != "is_dup":
             cols[c] = F.col(c)
+    if key_as:
+        cols[key_as] = key
     return ch.select(*[v.alias(k) for k, v in cols.items()])
 
 
@@ -263,11 +267,14 @@ def identity_keys(key_cols) -> Column:
 
 def identity_lookup(df: DataFrame, identity_cols, key_cols, order_cols=ORDER) -> DataFrame:
     """J5, donors: per identity key the first non-blank value of each identity column (``_lk_<column>``)."""
-    order = F.struct(*[F.col(c) for c in order_cols])
-    donors = (df.select(order.alias("_ord"), *identity_cols, F.posexplode(identity_keys(key_cols)).alias("_kpos", "_key"))
-              .filter(F.col("_key") != ""))
+    donors = df.select(*order_cols, *identity_cols, F.posexplode(identity_keys(key_cols)).alias("_kpos", "_key"))
+    return first_donors(donors.filter(F.col("_key") != ""), identity_cols, order_cols)
+
+
+def first_donors(donors: DataFrame, identity_cols, order_cols=ORDER) -> DataFrame:
+    """The lookup rows of exploded donors (order, identity columns, ``_kpos``, ``_key``)."""
     return donors.groupBy("_key").agg(*[
-        F.min_by(F.col(c), F.when(~is_blank(c), F.struct("_ord", "_kpos"))).alias("_lk_" + c) for c in identity_cols])
+        F.min_by(F.col(c), F.when(~is_blank(c), F.struct(*order_cols, "_kpos"))).alias("_lk_" + c) for c in identity_cols])
 
 
 def identity_fill(target: DataFrame, lookup: DataFrame, identity_cols, key_cols, order_cols=ORDER) -> DataFrame:
