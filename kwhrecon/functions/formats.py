@@ -137,14 +137,27 @@ def output_file_name_of(name, n: Column, first: Column, periods: Column) -> Colu
     return F.when(is_generic_group_name(raw), generic).otherwise(F.concat(sanitize_filename(raw), F.lit(".xlsx")))
 
 
+def _count_and_first(clients: Column) -> tuple[Column, Column]:
+    return F.coalesce(F.size(clients), F.lit(0)), F.get(clients, F.lit(0))
+
+
 def suggested_name(name, clients: Column, periods: Column) -> Column:
-    base = scope_base_name(name, clients)
-    suffix = periods_suffix(periods)
+    return suggested_name_of(name, *_count_and_first(clients), periods)
+
+
+def suggested_name_of(name, n: Column, first: Column, periods: Column) -> Column:
+    """F28 (suggested): the base name and the suffix of the months."""
+    base, suffix = scope_base_name_of(name, n, first), periods_suffix(periods)
     return F.when(suffix == "", base).otherwise(F.concat(base, F.lit("_"), suffix))
 
 
 def zip_entry_name(name, clients: Column, period) -> Column:
-    return F.concat(scope_base_name(name, clients), F.lit("_"), period_token(period), F.lit(".xlsx"))
+    return zip_entry_name_of(name, *_count_and_first(clients), period)
+
+
+def zip_entry_name_of(name, n: Column, first: Column, period) -> Column:
+    """F28 (entry of one month): the base name and the month's token."""
+    return F.concat(scope_base_name_of(name, n, first), F.lit("_"), period_token(period), F.lit(".xlsx"))
 
 
 def search_normalize(c) -> Column:

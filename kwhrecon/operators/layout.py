@@ -34,7 +34,7 @@ REPORT_NAMES = [c for c, _ in REPORT_COLUMNS]
 LAYOUT_COLUMNS = ["row_kind", "kind_rank", "group_ord", "ord"]
 SINGLE_TABLE = "Tabela Única"
 MULTI_SHEET = "Separadores Múltiplos"
-MISSING_NOTE = "Dado ausente na Gestão de Cobrança para este período"
+MISSING_NOTE = "⚠ Dado ausente na Gestão de Cobrança para este período"
 
 
 def report_projection(df: DataFrame, extra_cols=(), keep=()) -> DataFrame:

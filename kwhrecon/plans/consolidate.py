@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kwhrecon.operators import reconcile as R
 from kwhrecon.operators.late import ROW
 from kwhrecon.session import materialize
+from kwhrecon.sources import folders
 
 
 @dataclass
@@ -77,8 +78,8 @@ def consolidate(base: DataFrame, charges: DataFrame | None, *, strict_br: bool =
 
 
 def gap_report_items(gaps: DataFrame) -> DataFrame:
-    """K2 items: unit, month text, client, document and gap type."""
-    return gaps.select(
+    """K2 items: unit, month text, client, document and gap type, by type and month."""
+    return gaps.orderBy("gap_type", F.col("period").cast("string"), "src", "row_id").select(
         F.col("uc").cast("string").alias("no_uc"),
         F.col("period").cast("string").alias("referencia"),
         F.col("client").alias("razao_social"),
@@ -101,9 +102,14 @@ def write_consolidated(df: DataFrame, path: str, mode: str = "overwrite", partit
     split over many tasks, small months share one, so files stay few and
     large. The row order is part of the range key, so rows without a unit key
     (appended charges) spread too. Rows are sorted by unit key inside files
-    (readers of one unit touch few row groups)."""
+    (readers of one unit touch few row groups). An overwrite is written beside
+    the table and takes its place when finished, so a stopped run leaves the
+    old table."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = [c for c in ("src", "row_id") if c in df.columns]
+    target = folders.staging(path) if mode == "overwrite" else path
     (df.repartitionByRange(n, "period_month", "uc_key", *spread)
        .sortWithinPartitions("period_month", "uc_key")
-       .write.mode(mode).partitionBy("period_month").parquet(path))
+       .write.mode(mode).partitionBy("period_month").parquet(target))
+    if target != path:
+        folders.publish(df.sparkSession, target, path)

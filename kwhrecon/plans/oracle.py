@@ -294,6 +294,26 @@ def output_file_name(name: str, n: str, first: str, periods: str) -> str:
             f"ELSE {sanitize_filename(raw)} || '.xlsx' END)")
 
 
+def base_name(name: str, n: str, first: str) -> str:
+    """A custom name without the months at its end, else one client or the first of several."""
+    safe = sanitize_filename(name, "memoria_calculo")
+    cut = f"regexp_replace({safe}, '((_({'|'.join(MONTH_ABBR)}))+_[0-9]{{4}})+$', '', 'i')"
+    custom = f"coalesce(nullif(trim({cut}, '_'), ''), {safe})"
+    return (f"(CASE WHEN {name} IS NOT NULL AND {name} <> '' AND NOT starts_with({name}, 'Grupo_') THEN {custom} "
+            f"WHEN {n} = 1 THEN {sanitize_filename(first, 'memoria_calculo')} WHEN {n} > 1 THEN {sanitize_filename(first + " || '_e_outros'", 'memoria_calculo')} "
+            f"ELSE 'Memoria_Calculo' END)")
+
+
+def zip_entry(name: str, n: str, first: str, period: str) -> str:
+    token = (f"(CASE WHEN {period_parts(period)} IS NOT NULL THEN {month_abbr(period_parts(period) + '.month')} || '_' || CAST({period_parts(period)}.year AS VARCHAR) "
+             f"ELSE {sanitize_filename('lower(' + txt(period) + ')', 'memoria_calculo')} END)")
+    return f"{base_name(name, n, first)} || '_' || {token} || '.xlsx'"
+
+
+def suggested(name: str, n: str, first: str, months: str) -> str:
+    return f"{base_name(name, n, first)} || CASE WHEN {periods_suffix(months)} = '' THEN '' ELSE '_' || {periods_suffix(months)} END"
+
+
 GROUP_HEADS = """heads AS (SELECT h.group_id, group_name, n, first, months FROM
   (SELECT group_id, min(group_name) AS group_name, count(DISTINCT client) AS n, min(client) AS first FROM client_groups
    WHERE client IS NOT NULL GROUP BY group_id) h
@@ -325,7 +345,7 @@ scope_p AS (SELECT s.* FROM scope_all s WHERE {f5('s.period')} <> ''
 def report_ctes(mode: str = "default", include_children: bool = True, sort_by: str = "savings",
                 only_pending: bool = False, split_audit: bool = False, multi_sheet: bool = False,
                 scope: str = "all", with_meta: bool = True, as_of: str = "1996-06-01",
-                incomplete: str = "all", scope_sql: tuple[str, str, str] | None = None) -> str:
+                incomplete: str = "all", scope_sql: tuple[str, str, str] | None = None, flagged_only: bool = False) -> str:
     """The report as CTEs over ``t1_ctes()``; final CTEs ``grouped`` and ``report``."""
     X = {"all": [], "by_month": ["output_period"], "by_group": ["group_id", "output_name"]}[scope]
     xk = "".join(k + ", " for k in X)
@@ -393,6 +413,8 @@ enriched AS (SELECT p.*, m.cost_center, m.tag FROM portal p LEFT JOIN meta_last
         else:
             third = (f"coalesce(CAST(CASE WHEN has_ci THEN coalesce({bn('commercial_id')}, {bn('alt_uc')}, uc) "
                      f"ELSE coalesce({bn('alt_uc')}, uc) END AS VARCHAR), 'N/A')")
+            if flagged_only:  # the columns of commercial ids and alternative units are missing
+                third = f"coalesce(CASE WHEN coalesce({strip('group_flag')} = 'Agrupamento', false) THEN 'AGRUPADO' ELSE CAST(uc AS VARCHAR) END, 'N/A')"
             keys_sql = f"{gkt('period')} AS g1, {gkt('client')} AS g2, {third} AS g3"
             keys = ["g1", "g2", "g3"]
             alt_sql = f", CASE WHEN has_ci THEN alt_uc ELSE coalesce({bn('alt_uc')}, uc) END AS alt_uc"

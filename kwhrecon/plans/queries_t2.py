@@ -344,20 +344,24 @@ EXPORT_ROWS = 500
 EXPORT_HEADER = ["No. UC", "CPF/CNPJ", "Razao Social", "Referencia", "Distribuidora"]
 
 
-def export_with_junk(base, path: str) -> None:
-    """Write the base table as ``;``-separated exports of about ``EXPORT_ROWS``
-    rows, each with junk lines above its header line (the layout S2 must find)."""
-    cols = ["uc", "doc", "client", "period", "distributor"]
-    files = F.floor(F.regexp_extract("row_id", "([0-9]+)$", 1).cast("long") / EXPORT_ROWS).cast("long")
-    cell = lambda c: F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'))
-    body = base.select(files.alias("f"), F.lit(2).alias("o"), F.col("row_id").alias("r"), F.concat_ws(";", *[cell(c) for c in cols]).alias("value"))
+def export_files(table, path: str, cols, order: str, header) -> None:
+    """Write a table as ``;``-separated exports of about ``EXPORT_ROWS`` rows in the order of an id that begins with a
+    number, each with junk lines above its header line (the layout S2 must find); file names follow the order too."""
+    files = F.lpad(F.floor(F.regexp_extract(order, "^([0-9]+)", 1).cast("long") / EXPORT_ROWS).cast("string"), 12, "0")
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    body = table.select(files.alias("f"), F.lit(2).alias("o"), F.col(order).alias("r"), F.concat_ws(";", *[cell(c) for c in cols]).alias("value"))
     top = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(str(i)).alias("r"), F.lit(v).alias("value")) for i, (o, v) in enumerate(
-        [(0, "Balanco Operacional"), (0, ";;;"), (1, ";".join(EXPORT_HEADER))])])
+        [(0, "Balanco Operacional"), (0, ";;;"), (1, ";".join(header))])])
     lines = body.unionByName(body.select("f").distinct().select("f", F.explode(top).alias("x")).select("f", "x.o", "x.r", "x.value"))
     # one folder per export: a task never mixes two exports in one file
     lines.repartition("f").sortWithinPartitions("f", "o", "r").select("value", "f").write.partitionBy("f").text(path)
 
 
+def export_with_junk(base, path: str) -> None:
+    """The base table as exports of the columns of ``EXPORT_HEADER``."""
+    export_files(base, path, ["uc", "doc", "client", "period", "distributor"], "row_id", EXPORT_HEADER)
+
+
 @register("header_scan", f"""{W} SELECT '"' || coalesce(uc, '') || '"' AS uc, '"' || coalesce(client, '') || '"' AS client, 2 AS header_line FROM base""")
 def header_scan(spark, sf):
     import uuid

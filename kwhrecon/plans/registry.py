@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from kwhrecon.plans import queries_t1, queries_t2
+from kwhrecon.plans import queries_t1, queries_t2, queries_t3
 
 
 def _all() -> dict:
-    return queries_t1.Q | queries_t2.Q
+    return queries_t1.Q | queries_t2.Q | queries_t3.Q
 
 
 def queries() -> dict:

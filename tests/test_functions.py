@@ -17,61 +17,55 @@ def one(spark, col_fn, values, dtype="string"):
 
 
 def test_parse_full_date(spark):
-    vals = ["2026-05-12", "2026-05-12 14:30:00", "12/05/2026", "05-12-2026", "N/A", "", None,
-            "texto qualquer", "13/05/2026", "05/13/2026", "12-2025", "20260512", "12.05.2026",
-            "15-05-2026 10:00", "1/5/26", "2026-05-12xyz", "2026-02-30", "2026/05", "2026-05", "Jan-2026", "10 Feb 2026", "Foo 2026"]
     d = dt.date
-    assert one(spark, D.parse_full_date, vals) == [
-        d(2026, 5, 12), d(2026, 5, 12), d(2026, 5, 12), d(2026, 12, 5), None, None, None, None,
-        d(2026, 5, 13), d(2026, 5, 13), d(2025, 12, 1), d(2026, 5, 12), d(2026, 5, 12), d(2026, 5, 15),
-        d(2026, 5, 1), None, None, d(2026, 5, 1), d(2026, 5, 1), d(2026, 1, 1), d(2026, 2, 10), None]
+    table = {"2031-08-23": d(2031, 8, 23), "2031-08-23 07:45:10": d(2031, 8, 23), "23/08/2031": d(2031, 8, 23), "07-09-2033": d(2033, 9, 7), "N/A": None, "": None,
+             None: None, "sem vencimento": None, "28/02/2032": d(2032, 2, 28), "02/28/2032": d(2032, 2, 28), "11-2034": d(2034, 11, 1), "20330917": d(2033, 9, 17),
+             "17.09.2033": d(2033, 9, 17), "19-09-2033 21:15": d(2033, 9, 19), "3/4/31": d(2031, 4, 3), "3/4/71": d(1971, 4, 3), "2031-08-23abc": None, "2031-06-31": None,
+             "2035/10": d(2035, 10, 1), "2035-10": d(2035, 10, 1), "Sep-2034": d(2034, 9, 1), "27 Oct 2034": d(2034, 10, 27), "Bar 2034": None, "nat": None}
+    assert one(spark, D.parse_full_date, list(table)) == list(table.values())
 
 
 def test_reference_period(spark):
-    vals = ["05/2026", "05-2026", "2026-05", "2026-05-12", "12/05/2026", "N/A", "", None, "99/9999"]
-    assert one(spark, D.parse_reference_period, vals) == [
-        "05-2026", "05-2026", "05-2026", "05-2026", "05-2026", None, None, None, "99-9999"]
-    assert one(spark, D.format_reference_period, vals[:6]) == [
-        "05/2026", "05/2026", "05/2026", "05/2026", "05/2026", "Não disponível"]
-    assert one(spark, D.period_month, ["99/9999", "13-2025", "01/2026"]) == [None, None, dt.date(2026, 1, 1)]
+    table = {"09/2032": "09-2032", "10-2033": "10-2033", "2034-11": "11-2034", "2034-11-30": "11-2034", "30/11/2034": "11-2034", "n/a": None, "": None, None: None, "77/7777": "77-7777"}
+    assert one(spark, D.parse_reference_period, list(table)) == list(table.values())
+    assert one(spark, D.format_reference_period, list(table)[:6]) == ["09/2032", "10/2033", "11/2034", "11/2034", "11/2034", "Não disponível"]
+    assert one(spark, D.period_month, ["77/7777", "14-2033", "09/2032"]) == [None, None, dt.date(2032, 9, 1)]
 
 
 def test_format_full_date(spark):
-    assert one(spark, D.format_full_date, ["2026-05-12", "12/05/2026", "N/A", None]) == [
-        "12-05-2026", "12-05-2026", "Não disponível", "Não disponível"]
+    assert one(spark, D.format_full_date, ["2031-08-23", "7/9/2033", "--", None]) == ["23-08-2031", "07-09-2033", "Não disponível", "Não disponível"]
 
 
 def test_period_sort_key(spark):
-    df = spark.createDataFrame([("02/2026",), ("12/2025",), ("13/2025",), ("01/2026",)], "p string")
+    df = spark.createDataFrame([("08/2033",), ("11/2032",), ("15/2032",), ("03/2033",)], "p string")
     got = [r.p for r in df.orderBy(D.period_sort_key("p")).collect()]
-    assert got == ["12/2025", "01/2026", "02/2026", "13/2025"]
+    assert got == ["11/2032", "03/2033", "08/2033", "15/2032"]
 
 
 def test_unit_keys(spark):
-    vals = ["42074274.0", " 005143128.0 ", "W7008678589", None, "nan", "abc.0"]
-    assert one(spark, K.uc_key, vals) == ["42074274", "5143128", "7008678589", "", "", ""]
-    assert one(spark, K.portal_uc, vals) == ["42074274", "005143128", "W7008678589", None, None, "abc"]
-    assert one(spark, K.uc_text, [".0", "nan", "12.0"]) == ["", None, "12"]
-    assert one(spark, K.identity_key, ["0012.0", "w-70.08", None]) == ["0012", "W7008", ""]
-    assert one(spark, K.doc_digits, ["88.456.760/0001-98", None]) == ["88456760000198", ""]
-    assert one(spark, K.contains_letter, ["123", "W12", None]) == [False, True, False]
-    assert one(spark, K.account_text, ["1079.0", "007.0", "abc.0", "12", None]) == ["1079", "7", "abc", "12", None]
-    assert one(spark, K.group_key_text, [" cemig ", "nan", "", None]) == ["CEMIG", "N/A", "N/A", "N/A"]
+    vals = ["70310055.0", " 000918273.0 ", "K4410099", None, "nan", "pqr.0"]
+    assert one(spark, K.uc_key, vals) == ["70310055", "918273", "4410099", "", "", ""]
+    assert one(spark, K.portal_uc, vals) == ["70310055", "000918273", "K4410099", None, None, "pqr"]
+    assert one(spark, K.uc_text, [".0", "NaN", "61.0"]) == ["", None, "61"]
+    assert one(spark, K.identity_key, ["0093.0", "k-44.10", None]) == ["0093", "K4410", ""]
+    assert one(spark, K.doc_digits, ["40.500.600/0007-81", None]) == ["40500600000781", ""]
+    assert one(spark, K.contains_letter, ["905", "K9", None]) == [False, True, False]
+    assert one(spark, K.account_text, ["3081.0", "0045.0", "pqr.0", "66", None]) == ["3081", "45", "pqr", "66", None]
+    assert one(spark, K.group_key_text, [" norte luz ", "none", "", None]) == ["NORTE LUZ", "N/A", "N/A", "N/A"]
 
 
 def test_br_numbers(spark):
-    vals = ["1.234,56", "170,71", "1234.56", "-", "", None, "abc", " 12 ", "0,853421", "1.500,375", "1e5"]
+    vals = ["7.654,30", "88,09", "7654.30", "--", "", None, "pqr", " 41 ", "0,417265", "9.250,125", "2e3"]
     got = [None if v is None else float(v) for v in one(spark, M.br_number, vals)]
-    assert got == [1234.56, 170.71, 1234.56, None, None, None, None, 12.0, 0.853421, 1500.375, 100000.0]
+    assert got == [7654.30, 88.09, 7654.30, None, None, None, None, 41.0, 0.417265, 9250.125, 2000.0]
     strict = [None if v is None else float(v) for v in one(spark, lambda c: M.charge_money(c, strict_br=True), vals[:3])]
-    assert strict == [1234.56, 170.71, 123456.0]
-    assert one(spark, M.clamp_non_negative, [-0.5, 0.85, None], "double") == [0.0, 0.85, None]
+    assert strict == [7654.30, 88.09, 765430.0]
+    assert one(spark, M.clamp_non_negative, [-0.25, 0.41, None], "double") == [0.0, 0.41, None]
 
 
 def test_documents_and_titles(spark):
-    assert one(spark, FM.format_document, ["11111111000101", "12345678901", "123", None]) == [
-        "11.111.111/0001-01", "123.456.789-01", "00.000.000/0001-23", None]
-    assert one(spark, FM.sheet_title, ["Fin - A/B:C*D?[x]", ""]) == ["Fin - ABCDx", "Consolidado"]
+    assert one(spark, FM.format_document, ["40500600000781", "70180190217", "65", None]) == ["40.500.600/0007-81", "701.801.902-17", "00.000.000/0000-65", None]
+    assert one(spark, FM.sheet_title, ["Aud - N/S:L*O?[y]", ""]) == ["Aud - NSLOy", "Consolidado"]
 
 
 def test_names(spark):

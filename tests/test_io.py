@@ -43,12 +43,60 @@ def test_aliases_and_csv(spark):
     assert (r.uc, r.account, r.period) == ("123.0", "55.0", "01-2026")
 
 
+def test_export_blocks_and_line_ends(spark):
+    """Files of many blocks and of CRLF lines: nothing above the header comes through, everything below does, in file order, without a shuffle."""
+    d = scratch()
+    with open(os.path.join(d, "a.csv"), "w", newline="") as f:
+        f.write("junk\r\nNo. UC;CPF/CNPJ\r\n" + "".join(f"U{i:05d};{i}\r\n" for i in range(3000)))
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write("CPF/CNPJ;No. UC;Razao Social\n" + "".join(f"{i};V{i};\n" for i in range(40)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = S.read_export(spark, d)
+        got = rows.orderBy("file", "block", "n").collect()
+        assert [r["No. UC"] for r in got] == [f"U{i:05d}" for i in range(3000)] + [f"V{i}" for i in range(40)]
+        assert [r["CPF/CNPJ"] for r in got[:3000]] == [str(i) for i in range(3000)] and got[-1]["Razao Social"] is None
+        assert len({r.block for r in got}) > 5
+        body = S.read_with_header(spark, d)
+        body.collect()
+        assert "Exchange hashpartitioning" not in body._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_required_columns_and_pruned_scan(spark):
+    d = os.path.join(scratch(), "t")
+    spark.createDataFrame([("a", 1, 2.0)], "` uc ` string, n int, other double").write.json(d)
+    assert S.pruned_scan(spark, d, ["uc", "n"], fmt="json").columns == ["uc", "n"]
+    assert sorted(S.pruned_scan(spark, d, ["absent"], fmt="json").columns) == ["n", "other", "uc"]
+    with pytest.raises(ValueError, match="missing required columns.*periodo"):
+        S.require_columns(spark.range(1), ["id", "periodo"])
+    with pytest.raises(ValueError, match="no header line"):
+        bad = scratch()
+        with open(os.path.join(bad, "x.csv"), "w") as f:
+            f.write("a;b\n")
+        S.read_with_header(spark, bad)
+
+
+def test_document_folder(spark):
+    d = scratch()
+    for unit, text in (("u-1", '{"tag": "x", "n": 1}'), ("u2", '{"cost_center": "C"}')):
+        with open(os.path.join(d, unit + ".json"), "w") as f:
+            f.write(text)
+    got = {r.uc: (r.tag, r.cost_center) for r in S.read_documents(spark, d).collect()}
+    assert got == {"u-1": ("x", None), "u2": (None, "C")}
+
+
 def test_latest_snapshot_and_profile(spark):
     d = scratch()
-    spark.createDataFrame([(1,)], "x int").write.parquet(os.path.join(d, "a_2025"))
-    spark.createDataFrame([(2,)], "x int").write.parquet(os.path.join(d, "b_2026"))
-    df = spark.read.parquet(os.path.join(d, "a_2025"), os.path.join(d, "b_2026"))
-    assert [r.x for r in S.latest_snapshot(df).collect()] == [2]
+    spark.range(50).repartition(4).write.parquet(os.path.join(d, "2030"))
+    spark.range(90).repartition(6).write.parquet(os.path.join(d, "2031"))
+    spark.range(7).write.parquet(os.path.join(d, "2032"))
+    os.rename(os.path.join(d, "2032", "_SUCCESS"), os.path.join(d, "2032", "_STARTED"))
+    assert S.latest_snapshot(spark, d).count() == 90
+    with pytest.raises(FileNotFoundError):
+        S.latest_snapshot(spark, scratch())
     prim = spark.createDataFrame([("p1", "u")], "profile string, uc string")
     loc = spark.createDataFrame([("p1", "v"), ("p2", "w")], "profile string, uc string")
     assert sorted((r.profile, r.uc) for r in S.load_profile(prim, loc).collect()) == [("p1", "u"), ("p2", "w")]

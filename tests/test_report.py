@@ -78,16 +78,16 @@ def test_positive_charge_takes_numbers_only(spark):
 
 def test_portal_restriction(spark):
     df = spark.createDataFrame([
-        (0, 1, "631753726", "01/2026", 111.0, None, "Fatura", "A1", 5.0),
-        (0, 2, "631753726", "01/2026", 90.0, None, "Contrato", None, 9.0),
-        (0, 3, "777", "01/2026", None, None, "Fatura", None, 1.0),
-        (0, 4, "888", "01/2026", 0.0, None, "Fatura", None, 1.0),
-        (0, 5, "W7008678589", "02/2026", 10.0, "631753726", "Fatura", None, 1.0),
+        (0, 1, "50917", "08/2033", 41.0, None, "Fatura", "C7", 3.0),
+        (0, 2, "50917", "08/2033", 77.0, None, "Contrato", None, 8.0),
+        (0, 3, "60", "08/2033", None, None, "Fatura", None, 2.0),
+        (0, 4, "61", "08/2033", 0.0, None, "Fatura", None, 2.0),
+        (0, 5, "K4410099", "09/2033", 15.0, "50917", "Fatura", None, 2.0),
     ], "src int, row_id long, uc string, period string, charged_amount double, portal_uc string, "
        "source string, account string, amount double")
     out = {r.row_id: r for r in J.restrict_to_portal(df).collect()}
     assert set(out) == {1, 5}
-    assert out[1].amount == 111.0 and out[1].uc == "W7008678589"
+    assert out[1].amount == 41.0 and out[1].uc == "K4410099"
 
 
 def test_payment_rules(spark):
