@@ -15,9 +15,9 @@ Decoding turns ids into bytes and bytes into text by a UTF-8 state machine that
 keeps at most three bytes. Ill-formed bytes become U+FFFD, as ids may be any.
 
 Scale: documents are encoded where they lie, without a shuffle. A task keeps the
-merge table (some 50,000 rules, a fixed size), a cache of ``CACHE`` pre-tokens
-and one buffer; a document of any length adds nothing to that but its digest
-states. Lost tasks are simply run again.
+merge table (some 50,000 rules, a fixed size), caches of at most twice ``CACHE``
+pre-tokens and one buffer; a document of any length adds nothing to that but its
+digest states. Lost tasks are simply run again.
 
 Edge cases: a null text is an empty one (no tokens, digests of the empty
 string). The texts of special tokens become their ids, as the library's default
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import by_document, read
 
-CACHE, CHUNK, HOLD, SHORT = 1 << 17, 1 << 16, 4, 64
+CACHE, CHUNK, HOLD, SHORT = 1 << 18, 1 << 16, 4, 64
 
 #: The splitting pattern of the public byte-level tokenizers.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,6 +90,24 @@ def lookahead(rules: dict[int, tuple[int, int]], spelled: dict[int, bytes]) -> i
     return longest + max(map(len, spelled.values()))
 
 
+class Recent(dict):
+    """What ``make`` gave for the keys seen lately: at most ``CACHE`` new ones, and those before them."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Text chunks in, token ids out."""
 
@@ -101,12 +119,15 @@ class Encoder:
         self.parts = {made: (rank, key >> 32, key & 0xFFFFFFFF) for key, (rank, made) in self.rules.items()}
         self.whole = {self.spelled[t]: t for t in self.parts}
         self.whole |= {self.spelled[t]: t for t in self.bytes}
-        self.follows: dict[int, bool] = {}
+        self.follows = Recent(lambda key: self.fits(key >> 32, key & 0xFFFFFFFF))
         #: the longest token that begins with these four bytes
         self.longest: dict[bytes, int] = {}
         for raw in self.whole:
             self.longest[raw[:4]] = max(self.longest.get(raw[:4], 0), len(raw))
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: tokens of short byte strings; ids as text and spelled bytes of short pre-tokens
+        self.tokens = Recent(self._cut)
+        self.names = Recent(lambda piece: ",".join(map(str, self.ids(piece))))
+        self.raws = Recent(lambda piece: self.spell(self.ids(piece)))
         self.split = regex.compile(PRE_TOKENS)
         self.open = [(regex.compile(c), regex.compile(p)) for c, p in GO_ON]
 
@@ -130,39 +151,40 @@ class Encoder:
             else:
                 taken_b, b = pb[0], pb[1]
 
+    def _cut(self, piece: bytes) -> tuple[int, ...]:
+        """Tokens of a short piece: its first token is the longest one that fits the tokens of the rest.
+
+        There is one way to cut a piece in which all neighbours fit, so what is left
+        of it without its first token is cut as a piece of its own would be.
+        """
+        whole = self.whole.get
+        t = whole(piece)
+        if t is not None:
+            return (t,)
+        top = len(piece) - 1
+        if top >= 4:
+            top = min(top, self.longest.get(piece[:4], 3))
+        for end in range(top, 0, -1):
+            t = whole(piece[:end])
+            if t is not None:
+                rest = self.tokens[piece[end:]]
+                if self.follows[(t << 32) | rest[0]]:
+                    return (t, *rest)
+        raise AssertionError("every byte is a token")
+
     def merge(self, piece: bytes) -> list[int]:
-        """Tokens of a piece: the one way to cut it in which each neighbour fits, longest tokens tried first."""
-        if len(piece) > SHORT:
-            return self.merge_long([self.bytes[b] for b in piece])
-        whole, follows, longest, n = self.whole.get, self.follows, self.longest.get, len(piece)
-        ids: list[int] = []
-        ends: list[int] = []
-        dead: set[int] = set()
-        at, stop = 0, n
-        while at < n:
-            top = stop if stop - at < 4 else min(stop, at + longest(piece[at:at + 4], 3))
-            for end in range(top, at, -1):
-                if end in dead or (t := whole(piece[at:end])) is None:
-                    continue
-                if ids:
-                    key = (ids[-1] << 32) | t
-                    ok = follows.get(key)
-                    if ok is None:
-                        if len(follows) >= 2 * CACHE:
-                            follows.clear()
-                        ok = follows[key] = self.fits(ids[-1], t)
-                    if not ok:
-                        continue
-                ids.append(t)
-                ends.append(end)
-                at, stop = end, n
-                break
-            else:  # nothing fits here: this border is none, try a shorter last token
-                dead.add(at)
-                ids.pop()
-                stop = ends.pop() - 1
-                at = ends[-1] if ends else 0
-        return ids
+        """Tokens of a piece."""
+        return list(self.tokens[piece]) if 0 < len(piece) <= SHORT else self.merge_long([self.bytes[b] for b in piece])
+
+    def ids(self, piece: str) -> tuple[int, ...]:
+        """Tokens of one whole pre-token."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        if len(raw) <= SHORT:
+            return self.tokens[raw]
+        return tuple(self.merge(raw) if len(raw) <= self.window else self.stable(raw, True)[0])
+
+    def spell(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, ids))
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same by a queue of candidate merges over a linked list, for long pieces."""
@@ -202,23 +224,8 @@ class Encoder:
             held = held[done:]
         return out, held
 
-    def piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        """Ids of one whole pre-token, and as text."""
-        raw = piece.encode("utf-8", "surrogatepass")
-        ids = tuple(self.merge(raw) if len(raw) <= self.window else self.stable(raw, True)[0])
-        entry = ids, ",".join(map(str, ids))
-        if len(piece) <= SHORT:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[piece] = entry
-        return entry
-
-    def pieces(self, found: list[str]) -> list[tuple[tuple[int, ...], str]]:
-        cached, piece = self.cache.get, self.piece
-        return [cached(p) or piece(p) for p in found]
-
-    def plain(self, chunks: Iterable[str]) -> Iterator[list[tuple[tuple[int, ...], str]]]:
-        """Lists of (ids, ids as text) of the pre-tokens of text without special tokens."""
+    def _plain(self, chunks: Iterable[str]) -> Iterator[tuple[list[str], Iterable[int]]]:
+        """Short pre-tokens, or ids of the others, in the order of text without special tokens."""
         held, open_, raw = "", None, b""
         for chunk, last in _with_last(chunks):
             held += chunk
@@ -231,7 +238,7 @@ class Encoder:
                 raw += held[:at].encode("utf-8", "surrogatepass")
                 ended = last or at < safe
                 ids, raw = self.stable(raw, ended)
-                yield [(tuple(ids), ",".join(map(str, ids)))]
+                yield [], ids
                 if not ended:
                     held = held[at:]
                     continue
@@ -239,19 +246,36 @@ class Encoder:
             found, end = self.split.findall(held, at), len(held)  # the pre-tokens cover the text
             while end > safe and found:
                 end -= len(found.pop())
-            yield self.pieces(found)
+            if max(map(len, found), default=0) <= SHORT:
+                yield found, ()
+            else:
+                for short, group in itertools.groupby(found, lambda p: len(p) <= SHORT):
+                    yield (list(group), ()) if short else ([], itertools.chain.from_iterable(map(self.ids, group)))
             held = held[end:]
             if len(held) > CHUNK:  # one pre-token fills the buffer: let its bytes through
                 first = held[1] if held[0] == " " and not regex.match(r"\s", held[1]) else held[0]
                 open_ = next(p for c, p in self.open if c.match(first))
                 raw, held = held[:-HOLD].encode("utf-8", "surrogatepass"), held[-HOLD:]
                 ids, raw = self.stable(raw, False)
-                yield [(tuple(ids), ",".join(map(str, ids)))]
+                yield [], ids
+
+    def plain(self, chunks: Iterable[str]) -> Iterator[list[tuple[tuple[int, ...], str]]]:
+        """Lists of (ids, ids as text) of the pre-tokens of text without special tokens."""
+        return map(self._entries, self._plain(chunks))
 
     def encode(self, chunks: Iterable[str]) -> Iterator[list[tuple[tuple[int, ...], str]]]:
         """Lists of (ids, ids as text) of any text; special tokens end what stands before them."""
+        return map(self._entries, self.runs(chunks))
+
+    def _entries(self, run: tuple[list[str], Iterable[int]]) -> list[tuple[tuple[int, ...], str]]:
+        found, ids = run
+        ids = tuple(ids)
+        return [(self.ids(p), self.names[p]) for p in found] + ([(ids, ",".join(map(str, ids)))] if ids else [])
+
+    def runs(self, chunks: Iterable[str]) -> Iterator[tuple[list[str], Iterable[int]]]:
+        """Short pre-tokens, or ids of all else, in the order of any text."""
         if not self.special:
-            yield from self.plain(chunks)
+            yield from self._plain(chunks)
             return
         names = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)))
         keep, stream, found = max(map(len, self.special)) - 1, iter(chunks), []
@@ -280,10 +304,10 @@ class Encoder:
 
         while True:
             found.clear()
-            yield from self.plain(until_special())
+            yield from self._plain(until_special())
             if not found:
                 return
-            yield [((found[0],), str(found[0]))]
+            yield [], (found[0],)
 
 
 def _with_last(chunks: Iterable[str]) -> Iterator[tuple[str, bool]]:
@@ -305,7 +329,11 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> str:
         """Text of the characters completed by these ids; ids that are in no vocabulary add nothing."""
-        return self.state.decode(b"".join(map(self.spelled.get, ids, itertools.repeat(b""))))
+        return self.feed_bytes(b"".join(map(self.spelled.get, ids, itertools.repeat(b""))))
+
+    def feed_bytes(self, raw: bytes) -> str:
+        """The same from the bytes that ids are spelled with."""
+        return self.state.decode(raw)
 
     def end(self) -> str:
         rest = self.state.decode(b"", True)
@@ -320,28 +348,19 @@ def chunks_of(text: str, size: int = CHUNK) -> Iterator[str]:
 
 def round_trip(text: str, encoder: Encoder, decoder: Decoder) -> tuple[int, str, str]:
     """Tokens, digest of the ids and digest of the decoded text, in bounded pieces."""
-    n, ids_sha, text_sha, first = 0, hashlib.sha256(), hashlib.sha256(), True
-    names: list[str] = []
-    ids: list[int] = []
-
-    def flush():
-        nonlocal first, n
-        n += len(ids)
-        if names:
-            ids_sha.update(("" if first else ",").encode() + ",".join(names).encode())
-            first = False
-        text_sha.update(decoder.feed(ids).encode())
-        names.clear()
-        ids.clear()
-
-    for entries in encoder.encode(chunks_of(text)):
-        for some, name in entries:
-            if some:
-                ids += some
-                names.append(name)
-        if len(ids) >= CHUNK:
-            flush()
-    flush()
+    n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+    name_of, raw_of = encoder.names.__getitem__, encoder.raws.__getitem__
+    for found, ids in encoder.runs(chunks_of(text)):
+        if found:
+            names, raw = ",".join(map(name_of, found)), b"".join(map(raw_of, found))
+        else:
+            ids = tuple(ids)
+            if not ids:
+                continue
+            names, raw = ",".join(map(str, ids)), encoder.spell(ids)
+        ids_sha.update(("," + names if n else names).encode())
+        n += names.count(",") + 1
+        text_sha.update(decoder.feed_bytes(raw).encode())
     text_sha.update(decoder.end().encode())
     return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
