@@ -120,14 +120,15 @@ class Encoder:
         self.whole = {self.spelled[t]: t for t in self.parts}
         self.whole |= {self.spelled[t]: t for t in self.bytes}
         self.follows = Recent(lambda key: self.fits(key >> 32, key & 0xFFFFFFFF))
-        #: the longest token that begins with these four bytes
-        self.longest: dict[bytes, int] = {}
+        #: lengths of the tokens that begin with these three bytes, longest first
+        lengths: dict[bytes, set[int]] = {}
         for raw in self.whole:
-            self.longest[raw[:4]] = max(self.longest.get(raw[:4], 0), len(raw))
-        #: tokens of short byte strings; ids as text and spelled bytes of short pre-tokens
+            if len(raw) > 2:
+                lengths.setdefault(raw[:3], set()).add(len(raw))
+        self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in lengths.items()}
+        #: tokens of short byte strings; of short pre-tokens the ids as text, and the bytes that they spell
         self.tokens = Recent(self._cut)
-        self.names = Recent(lambda piece: ",".join(map(str, self.ids(piece))))
-        self.raws = Recent(lambda piece: self.spell(self.ids(piece)))
+        self.written = Recent(self._written)
         self.split = regex.compile(PRE_TOKENS)
         self.open = [(regex.compile(c), regex.compile(p)) for c, p in GO_ON]
 
@@ -157,16 +158,12 @@ class Encoder:
         There is one way to cut a piece in which all neighbours fit, so what is left
         of it without its first token is cut as a piece of its own would be.
         """
-        whole = self.whole.get
+        whole, n = self.whole.get, len(piece)
         t = whole(piece)
         if t is not None:
             return (t,)
-        top = len(piece) - 1
-        if top >= 4:
-            top = min(top, self.longest.get(piece[:4], 3))
-        for end in range(top, 0, -1):
-            t = whole(piece[:end])
-            if t is not None:
+        for end in self.lengths.get(piece[:3], (2, 1)):
+            if end < n and (t := whole(piece[:end])) is not None:
                 rest = self.tokens[piece[end:]]
                 if self.follows[(t << 32) | rest[0]]:
                     return (t, *rest)
@@ -183,6 +180,10 @@ class Encoder:
             return self.tokens[raw]
         return tuple(self.merge(raw) if len(raw) <= self.window else self.stable(raw, True)[0])
 
+    def _written(self, piece: str) -> tuple[str, bytes]:
+        ids = self.ids(piece)
+        return ",".join(map(str, ids)), self.spell(ids)
+
     def spell(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.spelled.__getitem__, ids))
 
@@ -270,7 +271,7 @@ class Encoder:
     def _entries(self, run: tuple[list[str], Iterable[int]]) -> list[tuple[tuple[int, ...], str]]:
         found, ids = run
         ids = tuple(ids)
-        return [(self.ids(p), self.names[p]) for p in found] + ([(ids, ",".join(map(str, ids)))] if ids else [])
+        return [(self.ids(p), self.written[p][0]) for p in found] + ([(ids, ",".join(map(str, ids)))] if ids else [])
 
     def runs(self, chunks: Iterable[str]) -> Iterator[tuple[list[str], Iterable[int]]]:
         """Short pre-tokens, or ids of all else, in the order of any text."""
@@ -349,10 +350,11 @@ def chunks_of(text: str, size: int = CHUNK) -> Iterator[str]:
 def round_trip(text: str, encoder: Encoder, decoder: Decoder) -> tuple[int, str, str]:
     """Tokens, digest of the ids and digest of the decoded text, in bounded pieces."""
     n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
-    name_of, raw_of = encoder.names.__getitem__, encoder.raws.__getitem__
+    written = encoder.written.__getitem__
     for found, ids in encoder.runs(chunks_of(text)):
         if found:
-            names, raw = ",".join(map(name_of, found)), b"".join(map(raw_of, found))
+            names, raws = zip(*map(written, found))
+            names, raw = ",".join(names), b"".join(raws)
         else:
             ids = tuple(ids)
             if not ids:

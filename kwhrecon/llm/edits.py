@@ -118,10 +118,24 @@ class TokenTree:
         both = [(c, t) for c, t in zip(self.chars[self.size:], self.tokens[self.size:]) if c] or [(0, 0)]
         return [c for c, _ in both], [t for _, t in both]
 
+    def _ahead(self, i: int, n: int) -> str:
+        """The first ``n`` characters after a leaf."""
+        found = ""
+        while len(found) < n and (i := i + 1) < self.size:
+            leaf = self.leaves[i]
+            found += leaf[:n] if isinstance(leaf, str) else "".join(p for p, _ in leaf)
+        return found[:n]
+
     def _rows(self, i: int) -> list[tuple[str, int]]:
-        """The pre-tokens of a leaf with their counts."""
-        if isinstance(self.leaves[i], str):
-            found = self.counts.split(self.leaves[i])
+        """The pre-tokens of a leaf with their counts; a leaf that is text is split with what follows in sight."""
+        leaf = self.leaves[i]
+        if isinstance(leaf, str):
+            found, left = [], len(leaf)
+            for p in self.counts.split(leaf + self._ahead(i, self.counts.reach)):
+                if left <= 0:
+                    break
+                found.append(p)
+                left -= len(p)
             self.leaves[i] = list(zip(found, map(self.counts.__getitem__, found)))
         return self.leaves[i]
 
