@@ -10,18 +10,23 @@ the document and its share of the letters is the score.
 Learning counts trigrams of a sample of at most ``SAMPLE`` labelled documents
 of each language (the first by a hash of their id) with a partial aggregate; the
 counts are bounded by languages x ``BUCKETS``, whatever the input. Labelling is one pass
-without a shuffle: documents of a batch advance through Viterbi side by side.
-
-Edge cases: a null text or one without letters is ``und`` with score 0. Words in
-scripts of no learned language score alike for all. Ties go to the first
-language in alphabetical order. With nothing to learn from, every text is
-``und``. Repeated rows get equal results; extra columns are ignored.
+without a shuffle: documents of a batch advance through Viterbi side by side,
+as many as hold ``LETTERS`` characters together, so memory is bounded by that and
+the longest text.
+
+Edge cases: a null text or one without letters is ``und`` with score 0; a null id
+is an id like any other, but teaches nothing. A very long text is labelled whole,
+alone in its lane. Words in scripts of no learned language score alike for all.
+Ties go to the first language in alphabetical order. With nothing to learn from,
+every text is ``und``; an empty table gives no rows. Repeated rows get equal
+results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import by_document, read, stored, with_hash_class
 
-SAMPLE, BUCKETS, SWITCH, LANES = 4000, 1 << 16, 12.0, 2048
+SAMPLE, BUCKETS, SWITCH, LANES, LETTERS = 4000, 1 << 16, 12.0, 2048, 1 << 21
 
 #: First code point of each script's ranges, and the script (0: none).
 SCRIPT_RANGES = [
@@ -43,7 +48,6 @@ SCRIPT_RANGES = [
 SCRIPTS = 15
 
 
-@functools.cache
 def letter_kinds() -> np.ndarray:
     """Per code point: 0 no part of words, 1 mark, 2 letter."""
     kinds = np.zeros(0x110000, np.uint8)
@@ -54,10 +58,14 @@ def letter_kinds() -> np.ndarray:
     return kinds
 
 
+#: A plain table that travels with the functions that use it: workers need no copy of this package.
+KINDS = letter_kinds()
+
+
 def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words as runs of letters: (trigram buckets, first trigram of each word, letters, script)."""
     code = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = letter_kinds()[code]
+    kind = KINDS[code]
     inside = kind > 0
     code = np.where(inside, code, np.uint32(32)).astype(np.uint64)
     at = np.flatnonzero(inside)
@@ -133,16 +141,16 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
     if not len(order) or lengths[0] == 0:
         return path
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # texts longer than t
-    came = np.empty(scores.shape, np.uint8)
+    came = np.empty(scores.shape, np.int32)
     best = np.zeros((len(order), scores.shape[1]), np.float64)
-    stay = np.arange(scores.shape[1], dtype=np.uint8)
+    stay = np.arange(scores.shape[1], dtype=np.int32)
     for t in range(lengths[0]):
         n = active[t]
         rows, now = starts[:n] + t, best[:n]
         top = now.argmax(1)
         jump = now[np.arange(n), top] - switch
         moved = jump[:, None] > now
-        came[rows] = np.where(moved, top[:, None].astype(np.uint8), stay)
+        came[rows] = np.where(moved, top[:, None].astype(np.int32), stay)
         best[:n] = np.maximum(now, jump[:, None]) + scores[rows]
     state = best.argmax(1)
     for t in range(lengths[0] - 1, -1, -1):
@@ -171,10 +179,24 @@ def label_words(texts: list[str], model: dict, switch: float = SWITCH) -> list[t
     return [(path[s:s + k], w) for s, k, w in zip(starts, lengths, weights)]
 
 
+def lanes(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts to advance side by side: at most ``LANES``, and of ``LETTERS`` characters together unless one alone has more."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        text = t.as_py() or ""
+        if held and (len(held) == LANES or size + len(text) > LETTERS):
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def _predict(ids: pa.Array, texts: pa.Array, model: dict) -> dict:
     langs, scores, spans = [], [], []
-    for lo in range(0, len(texts), LANES):
-        part = [t.as_py() or "" for t in texts[lo:lo + LANES]]
+    for part in lanes(texts):
         if not model["names"]:
             labelled = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(part)
         else:
@@ -218,7 +240,7 @@ def spans(documents: DataFrame, model: dict) -> DataFrame:
 
     def work(ids, texts, model):
         out: dict[str, list] = {"doc_id": [], "first_word": [], "last_word": [], "lang": []}
-        for i, (path, _) in zip(ids.to_pylist(), label_words([t.as_py() or "" for t in texts], model)):
+        for i, (path, _) in zip(ids.to_pylist(), itertools.chain.from_iterable(label_words(part, model) for part in lanes(texts))):
             cut = np.r_[0, np.flatnonzero(path[1:] != path[:-1]) + 1, len(path)] if len(path) else np.zeros(1, int)
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 for k, v in zip(out, (i, a, b - 1, model["names"][path[a]])):

@@ -231,6 +231,37 @@ def near_dedup(documents: DataFrame) -> DataFrame:
     return met.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def own_keys(documents: DataFrame) -> DataFrame:
+    """(key, text, row): every different (doc_id, text) with a number of its own, the row's columns packed in ``row``.
+
+    The number is doc_id; above all ids come further texts of an id, and above them the rows without one. Of rows
+    with the same id and text one stays.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*documents.columns).alias("row"))
+    repeated = stored(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    plain = rows.where("id is not null").hint("merge").join(repeated, "id", "left_anti").select(F.col("id").alias("key"), "text", "row")
+    again = rows.hint("merge").join(repeated, "id", "left_semi").unionByName(rows.where("id is null"))
+    again = again.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["id", "hash"])
+    again = stored(again.withColumn("place", F.monotonically_increasing_id()))  # numbers that stay as they are
+    if again.isEmpty():
+        return plain
+    top = F.lit(rows.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0] + 1)
+    least = again.where("id is not null").groupBy("id").agg(F.min("hash").alias("least"))
+    key = F.when(F.col("hash") == F.col("least"), F.col("id")).otherwise(top + F.col("place") + F.when(F.col("id").isNull(), 2**61).otherwise(0))
+    return plain.unionByName(again.join(least, "id", "left").select(key.alias("key"), "text", "row"))
+
+
+def first_of_copies(documents: DataFrame) -> DataFrame:
+    """The rows, with all of their columns, without those that are near copies of one before them.
+
+    Rows are told apart by (doc_id, text): texts that differ under one id, and rows with a null id, are documents of
+    their own and stay unless they are near copies of another; they come after all others in the order of ids.
+    """
+    keyed = own_keys(documents)
+    kept = stored(near_dedup(keyed.select(F.col("key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("key")))
+    return keyed.hint("merge").join(kept, "key", "left_semi").select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: every whole text of ``documents``."""
     return near_dedup(read(spark, sf_dir, "documents"))

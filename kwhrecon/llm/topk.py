@@ -11,7 +11,10 @@ tile, a shard and their product.
 Edge cases: vectors that are null or hold null or non-finite components take
 no part (neither as query nor as candidate). Vectors of different lengths are
 never compared. Rows with the query's own id are no candidates; other repeated
-rows each count. Ties go to the smaller id. An empty table gives no rows.
+rows each count, and a query id given twice has one list, of the best over its
+rows. Ties go to the smaller id. Components and scores beyond 64 bits count as the
+nearest long; very large ones are multiplied as Python integers, so all others are
+exact. An empty table gives no rows. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +38,15 @@ def scaled_ints(vector: str, factor: int = 1024) -> Column:
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; floats where every sum stays below 2 ** 53."""
-    largest = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
+    """Exact integer inner products; floats where every sum stays below 2 ** 53, the nearest long beyond 64 bits."""
+    size = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    largest = q.shape[1] * size(q) * size(c)
     if largest < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if largest < 2**63:
+        return q @ c.T
+    wide = q.astype(object) @ c.astype(object).T
+    return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _best_of_tile(rows: pa.Table, k: int) -> pa.Table:
