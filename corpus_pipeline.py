@@ -16,25 +16,14 @@ TARGETS, GROWTH, LEAST = {"clean": 0.8, "low": 0.1, "toxic": 0.1}, 1.25, 1.0
 
 
 def language_id(spark, docs, sf_dir):
-    """Drops documents without a language (no text, no letters) or with none that prevails."""
-    return langid.accepted(docs, langid.learn(langid.learning_rows(docs)))
-
+    """Drops documents without a language (no text, no letters) or with none that prevails.
 
-def own_ids(docs):
-    """The rows with _key, an id of each (doc_id, text): doc_id itself, and above all ids for null ids and further texts of an id."""
-    repeated = common.stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
-    plain = docs.where("doc_id is not null").hint("merge").join(repeated, "doc_id", "left_anti").withColumn("_key", F.col("doc_id").cast("long"))
-    again = docs.hint("merge").join(repeated, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    again = again.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_text"])
-    again = common.stored(again.withColumn("_row", F.monotonically_increasing_id()))  # numbers that stay as they are
-    if again.isEmpty():
-        return plain
-    top = F.lit(docs.agg(F.coalesce(F.max("doc_id").cast("long"), F.lit(0).cast("long"))).first()[0] + 1)
-    least = again.where("doc_id is not null").groupBy("doc_id").agg(F.min("_text").alias("_least"))
-    known = again.where("doc_id is not null").join(least, "doc_id")
-    known = known.withColumn("_key", F.when(F.col("_text") == F.col("_least"), F.col("doc_id").cast("long")).otherwise(top + F.col("_row")))
-    unknown = again.where("doc_id is null").withColumn("_key", top + F.col("_row"))
-    return plain.unionByName(known.drop("_text", "_row", "_least")).unionByName(unknown.drop("_text", "_row"))
+    Null and empty texts go, null ids stay if their text has a language; a very
+    long text is judged whole. Equal shares go to the first language in the
+    alphabet; repeated rows are judged alike. Where nothing teaches, every text
+    with letters stays. An empty table stays empty; columns of any name pass through.
+    """
+    return langid.accepted(docs, langid.learn(langid.learning_rows(docs)))
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -43,27 +32,44 @@ def near_dedup(spark, docs, sf_dir):
     Rows are told apart by (doc_id, text): texts that differ under one id, and
     rows with a null id, are documents of their own and stay unless they are
     near copies of another. They come after all others in the order of ids. Of
-    rows with the same id and text one stays.
+    rows with the same id and text one stays. Documents without words stay. An
+    empty table stays empty; columns of any name pass through.
     """
-    keyed = own_ids(docs)
-    kept = common.stored(minhash.near_dedup(keyed.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key")))
-    return keyed.hint("merge").join(kept, "_key", "left_semi").select(*docs.columns)
+    return minhash.first_of_copies(docs)
 
 
 def substring_dedup(spark, docs, sf_dir):
-    """Cuts out repeated passages; a document that consists of them alone goes."""
+    """Cuts out repeated passages; a document that consists of them alone goes.
+
+    A null text has no passage and stays as it is, like an empty one; of a very
+    long text every window counts. Equal passages stay in the document with the
+    smallest id; rows that repeat an id, or have none, never cut each other.
+    An empty table stays empty; columns of any name pass through.
+    """
     return substrings.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark, docs, sf_dir):
-    """Repeats documents by the rates that bring the labelled domains to their target weights."""
+    """Repeats documents by the rates that bring the labelled domains to their target weights.
+
+    No document goes. Null and empty texts have no tokens and keep the rate 1 or
+    the rate of their posterior; whole long texts are scored. Ties of the fit do
+    not matter, as the rates are numbers; a row's last fraction is drawn by a hash
+    of its id (of its text without one), so repeated rows are repeated alike.
+    Without labels, or without rows, nothing changes; columns of any name pass through.
+    """
     labels = mixing.domains(common.read(spark, sf_dir, "labels"))
     _, model, residuals = mixing.mix(docs, labels, TARGETS, LEAST, GROWTH)
     return mixing.mixed(docs, model, residuals, LEAST)
 
 
 def bpe_round_trip(spark, docs, sf_dir):
-    """Tokens of what is left, and the digest of its decoded text."""
+    """Tokens of what is left, and the digest of its decoded text.
+
+    One row per row, repeated ones included; a null text is an empty one, a null
+    id stays null; long texts are encoded whole; other columns are left out; an
+    empty table gives no rows. There are no ties.
+    """
     return bpe.encode_decode(docs, bpe.default_path())
 
 
