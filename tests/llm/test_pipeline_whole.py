@@ -71,3 +71,22 @@ def test_near_dedup_keeps_texts_of_null_and_repeated_ids(spark):
     assert {text[0], text[2], text[3], text[4], text[5], text[6]} <= texts and (text[1] in texts) != (text[1] + " more" in texts)
     assert {(None, text[2]), (None, text[3]), (3, text[4]), (4, text[5]), (5, text[6]), (7, None), (None, None)} <= set(got)
     assert len(got) == 9
+
+
+def test_stages_on_empty_tables_and_clashing_names(spark, tmp_path):
+    """Columns that are named as the stages' own pass through; tables without rows give none."""
+    import corpus_pipeline
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key int, _text string, _row string, _least int, key long, row int, id string"
+    rows = [(i, f"the {i} little words of text number {i * 7} are written here for a test", "en", "s", 1, 2, "t", "r", 3, 4, 5, "d") for i in range(12)]
+    for some in (rows + [(None, None, None, None, None, 2, "t", "r", 3, 4, 5, "d")], []):
+        docs = spark.createDataFrame(some, schema)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k < 4:
+                assert out.columns == docs.columns, name
+                kept = out.collect()
+                assert bool(kept) == bool(some) and all((r["_key"], r["_text"], r["_row"], r["_least"], r["key"], r["row"], r["id"]) == (2, "t", "r", 3, 4, 5, "d") for r in kept), name
+            else:
+                assert (out.count() > 0) == bool(some)
