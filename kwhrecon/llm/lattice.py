@@ -13,11 +13,16 @@ group of copies of any size costs a partial aggregate. Only ids and cell keys
 are shuffled for the occupancy count; vectors are joined just to the rows of
 cells that hold a home and another class. Cells above ``block`` members
 are cut into blocks that meet block by block, in separate tasks; no member is
-dropped and no cell is capped.
+dropped and no cell is capped. A link belongs to the first cell in which its two
+ends meet, which a task tells from their codes, so every link is known in one task
+only: what leaves a task is each vector's number of links there and a spanning
+forest of them, never the links themselves.
 
 Edge cases: vectors that are null, zero, empty or hold null or non-finite
 components link with nothing and are their own component. Vectors of different
-lengths never link. Repeated ids give one row per id of the table's rows.
+lengths never link. Repeated ids give one row per id of the table's rows; there
+are no ties, as links depend on the cosine alone. An empty table gives no rows.
+Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, grouped, read, stored
+from .common import components, grouped, local_forest, read, stored
 from .vectors import finite, matrix
 
-TABLES, PROBES, SCALE, BLOCK, THRESHOLD = 12, 8, 0.5, 2048, 0.9
+TABLES, PROBES, SCALE, BLOCK, THRESHOLD, ROWS = 12, 8, 0.5, 2048, 0.9, 64
 
 
 def minimal_vectors() -> np.ndarray:
@@ -71,26 +76,33 @@ def _keys(points: np.ndarray, mix: np.ndarray, salt: int) -> np.ndarray:
 
 
 def cells(vectors: np.ndarray, tables: int, probes: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Home cells (n x tables) and looked-into cells (n x tables x probes) of unit vectors."""
-    dim, minimal = vectors.shape[1], minimal_vectors()
+    """Home cells (n x tables) and looked-into cells (n x tables x probes) of unit vectors.
+
+    Rows go through the products ``ROWS`` at a time, the last ones padded, so a vector's cells do not depend on its company.
+    """
+    n, dim = vectors.shape
+    whole = np.zeros((-(-n // ROWS) * ROWS, dim))
+    whole[:n] = vectors
+    minimal = minimal_vectors()
     rng = np.random.default_rng([17, dim])
-    home = np.empty((len(vectors), tables), np.int64)
-    near = np.empty((len(vectors), tables, probes), np.int64)
+    home = np.empty((len(whole), tables), np.int64)
+    near = np.empty((len(whole), tables, probes), np.int64)
     steps = np.zeros((2, 240, 16))
     steps[0, :, :8], steps[1, :, 8:] = minimal, minimal
     steps = steps.reshape(480, 16)
+    by_rows = lambda x, y: np.concatenate([x[lo:lo + ROWS] @ y for lo in range(0, len(x), ROWS)]) if len(x) else x @ y
     for t in range(tables):
-        x = vectors @ (rng.standard_normal((dim, 16)) * scale)
+        x = by_rows(whole, rng.standard_normal((dim, 16)) * scale)
         mix = rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
         point = np.hstack([nearest_e8(x[:, :8]), nearest_e8(x[:, 8:])])
         residual = x - point
-        along = np.hstack([residual[:, :8] @ minimal.T, residual[:, 8:] @ minimal.T])
+        along = np.hstack([by_rows(np.ascontiguousarray(residual[:, :8]), minimal.T), by_rows(np.ascontiguousarray(residual[:, 8:]), minimal.T)])
         best = np.argpartition(-along, probes, axis=1)[:, :probes]
         salt = dim * 1000 + t
         home[:, t] = _keys(point, mix, salt)
         for p in range(probes):
             near[:, t, p] = _keys(point + steps[best[:, p]], mix, salt)
-    return home, near
+    return home[:n], near[:n]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -114,28 +126,61 @@ def _cell_rows(batches, tables: int, probes: int, scale: float):
                 yield pa.RecordBatch.from_pydict({"cell": key, "rep": np.repeat(ids[part], n), "home": is_home})
 
 
-def _links_of_cells(batches, threshold: float):
-    """Verified links (a < b) between members at home in a block and those that look into it."""
+def first_meeting(home: np.ndarray, codes: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(table, which of x and y is at home) of the first meeting of each pair of rows; the smaller id's home goes first.
+
+    ``home`` is n x tables, ``codes`` n x tables x cells: the home cell and those looked into.
+    """
+    table, host = np.full(len(x), -1), np.full(len(x), -1)
+    low = np.where(ids[x] < ids[y], x, y)
+    high = np.where(ids[x] < ids[y], y, x)
+    for t in range(home.shape[1]):
+        for mine, other in ((low, high), (high, low)):
+            meet = (table < 0) & (codes[other, t] == home[mine, t][:, None]).any(1)
+            table[meet], host[meet] = t, mine[meet]
+    return table, host
+
+
+def _facts_of_cells(batches, tables: int, probes: int, scale: float, threshold: float):
+    """Of the links whose ends first meet in a block: numbers of links of each vector, and a spanning forest."""
     for table, offsets in grouped(batches, ["cell", "i", "j"]):
-        ids, home = table["rep"].to_numpy(), table["home"].to_numpy()
+        ids, home, copies = table["rep"].to_numpy(), table["home"].to_numpy(), table["copies"].to_numpy()
         for lo, hi in itertools.pairwise(offsets):
-            own = np.flatnonzero(home[lo:hi]) + lo
-            if hi - lo < 2 or not len(own):
+            own, look = np.flatnonzero(home[lo:hi]), np.flatnonzero(~home[lo:hi])
+            if not len(own) or not len(look):
                 continue
             lengths = np.asarray(table["embedding"].slice(lo, 1).combine_chunks().value_lengths())
             v = _unit(np.asarray(table["embedding"].slice(lo, hi - lo).combine_chunks().flatten()).reshape(hi - lo, lengths[0]))
-            cos = v[own - lo] @ v.T
-            x, y = np.nonzero(cos >= threshold)
-            a, b = ids[own[x]], ids[lo + y]
-            keep = a != b
-            if keep.any():
-                pair = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]), axis=1)
-                yield pa.RecordBatch.from_pydict({"a": pair[0], "b": pair[1]})
+            here, weight = ids[lo:hi], copies[lo:hi]
+            x, y = np.nonzero(v[own] @ v[look].T >= threshold)
+            # a vector may lie in a block twice, at home and looking in: one row stands for it
+            _, one, place = np.unique(here, return_index=True, return_inverse=True)
+            x, y = place[own[x]], place[look[y]]
+            x, y = x[x != y], y[x != y]
+            if not len(x):
+                continue
+            here, weight, v = here[one], weight[one], v[one]
+            used, at = np.unique(np.r_[x, y], return_inverse=True)
+            mine, near = cells(v[used], tables, probes, scale)
+            codes = np.concatenate([mine[:, :, None], near], axis=2)
+            x_, y_ = at[:len(x)], at[len(x):]
+            when, host = first_meeting(mine, codes, here[used], x_, y_)
+            cell = table["cell"][int(lo)].as_py()
+            first = (host == x_) & (mine[x_, when] == cell)
+            x, y = x[first], y[first]
+            if not len(x):
+                continue
+            links = np.bincount(x, weight[y], len(here)) + np.bincount(y, weight[x], len(here))
+            linked = np.flatnonzero(links)
+            a, b = local_forest(here[x], here[y])
+            yield pa.RecordBatch.from_pydict({
+                "rep": np.concatenate([here[linked], a]), "least": pa.array(np.concatenate([np.zeros(len(linked), np.int64), b]), mask=np.arange(len(linked) + len(a)) < len(linked)),
+                "others": np.concatenate([links[linked].astype(np.int64), np.zeros(len(a), np.int64)])})
 
 
-def near_links(classes: DataFrame, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE,
+def near_facts(classes: DataFrame, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE,
                block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct links (a, b), a < b, between the classes (rep, embedding)."""
+    """(rep, least, others) of classes (rep, embedding, copies): rows without ``least`` count linked vectors, the others are edges of a forest."""
     codes = stored(classes.select("rep", "embedding", F.size("embedding").alias("dim"))
                    .mapInArrow(lambda b: _cell_rows(b, tables, probes, scale), "cell long, rep long, home boolean"))
     met = stored(codes.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("homes"),
@@ -146,11 +191,12 @@ def near_links(classes: DataFrame, tables: int = TABLES, probes: int = PROBES, s
     part = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
     own = live.where("home").select("cell", "rep", "home", part.alias("i"), every.alias("j"))
-    look = live.where("not home or m > 1").select("cell", "rep", F.lit(False).alias("home"), every.alias("i"), part.alias("j"))
-    rows = (own.unionByName(look).join(classes.select("rep", "embedding"), "rep")
+    # every member looks in, those at home too: two members meet where the one lies at home and the other looks in, once
+    look = live.select("cell", "rep", F.lit(False).alias("home"), every.alias("i"), part.alias("j"))
+    rows = (own.unionByName(look).join(classes.select("rep", "embedding", "copies"), "rep")
             .repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "home", "rep"))
-    return rows.select("cell", "i", "j", "rep", "home", "embedding").mapInArrow(
-        lambda b: _links_of_cells(b, threshold), "a long, b long").distinct()
+    return rows.select("cell", "i", "j", "rep", "home", "copies", "embedding").mapInArrow(
+        lambda b: _facts_of_cells(b, tables, probes, scale, threshold), "rep long, least long, others long")
 
 
 def near_dedup(vectors: DataFrame, **parameters) -> DataFrame:
@@ -159,11 +205,9 @@ def near_dedup(vectors: DataFrame, **parameters) -> DataFrame:
     nonzero = finite("embedding") & F.exists("embedding", lambda v: v != 0)
     usable = rows.where(nonzero)
     classes = stored(usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    links = stored(near_links(classes, **parameters))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = (both.join(classes.select(F.col("rep").alias("b"), "copies"), "b")
-              .groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others")))
-    comp = components(links, "a", "b").withColumnRenamed("node", "rep")
+    found = stored(near_facts(classes, **parameters))
+    degree = found.where("least is null").groupBy("rep").agg(F.sum("others").alias("others"))
+    comp = components(found.where("least is not null"), "rep", "least").withColumnRenamed("node", "rep")
     facts = stored(classes.join(degree, "rep", "left").join(comp, "rep", "left")
                    .select("embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                            F.coalesce("component_id", "rep").alias("component_id")))

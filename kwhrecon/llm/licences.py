@@ -144,8 +144,10 @@ def _by_term(vectors: DataFrame) -> DataFrame:
 def licence_files(files: DataFrame, own: DataFrame, least: float = WHOLE) -> DataFrame:
     """The distinct paths of files whose whole text is near their licence's templates, whatever its length."""
     vectors, idf = template_vectors(files.sparkSession)
-    texts = files.select("path", "text").join(own.select("path", "licence"), "path").select("path", "licence", "text", terms(F.col("text")).alias("terms"))
-    w = _weighed(texts.select("path", "licence", F.xxhash64("text").alias("copy"), "terms"), idf, ["path", "licence", "copy"])
+    # stored, as a condition on the terms would else be tested on the texts of all files
+    texts = stored(files.select("path", "text").join(own.select("path", "licence"), "path"))
+    texts = texts.select("path", "licence", F.xxhash64("text").alias("copy"), terms(F.col("text")).alias("terms"))
+    w = _weighed(texts, idf, ["path", "licence", "copy"])
     norm = w.groupBy("path", "copy").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (w.join(F.broadcast(vectors), ["licence", "term"]).groupBy("path", "copy", "template")
             .agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
@@ -219,7 +221,7 @@ files AS (
   FROM documents),
 sent AS (SELECT DISTINCT path, sentence FROM (
   SELECT path, unnest(list_concat(string_split_regex(text, '
-|[.!?] '), string_split_regex(regexp_replace(text, '[ 	
+|[.!?] '), string_split_regex(regexp_replace(text, '[ 	
 ]+', ' ', 'g'), '[.!?:] '))) AS sentence
   FROM files WHERE regexp_matches(text, '{MENTION}')) WHERE regexp_matches(sentence, '{MENTION}')),
 st AS (SELECT path, sentence, {_TERMS.format('sentence')} AS term FROM sent),
