@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import components, grouped, local_forest, read, stored
 from .vectors import finite, matrix
 
-TABLES, PROBES, SCALE, BLOCK, THRESHOLD, ROWS = 12, 8, 0.5, 2048, 0.9, 64
+TABLES, PROBES, SCALE, BLOCK, THRESHOLD, ROWS, PAIRS = 12, 8, 0.5, 2048, 0.9, 64, 1 << 20
 
 
 def minimal_vectors() -> np.ndarray:
@@ -145,37 +145,48 @@ def _facts_of_cells(batches, tables: int, probes: int, scale: float, threshold:
     """Of the links whose ends first meet in a block: numbers of links of each vector, and a spanning forest."""
     for table, offsets in grouped(batches, ["cell", "i", "j"]):
         ids, home, copies = table["rep"].to_numpy(), table["home"].to_numpy(), table["copies"].to_numpy()
+        lengths = table["embedding"].combine_chunks().value_lengths().to_numpy()
+        found, n = [], 0
         for lo, hi in itertools.pairwise(offsets):
             own, look = np.flatnonzero(home[lo:hi]), np.flatnonzero(~home[lo:hi])
             if not len(own) or not len(look):
                 continue
-            lengths = np.asarray(table["embedding"].slice(lo, 1).combine_chunks().value_lengths())
-            v = _unit(np.asarray(table["embedding"].slice(lo, hi - lo).combine_chunks().flatten()).reshape(hi - lo, lengths[0]))
-            here, weight = ids[lo:hi], copies[lo:hi]
+            v = _unit(np.asarray(table["embedding"].slice(lo, hi - lo).combine_chunks().flatten()).reshape(hi - lo, lengths[lo]))
             x, y = np.nonzero(v[own] @ v[look].T >= threshold)
-            # a vector may lie in a block twice, at home and looking in: one row stands for it
-            _, one, place = np.unique(here, return_index=True, return_inverse=True)
-            x, y = place[own[x]], place[look[y]]
-            x, y = x[x != y], y[x != y]
-            if not len(x):
-                continue
-            here, weight, v = here[one], weight[one], v[one]
-            used, at = np.unique(np.r_[x, y], return_inverse=True)
-            mine, near = cells(v[used], tables, probes, scale)
-            codes = np.concatenate([mine[:, :, None], near], axis=2)
-            x_, y_ = at[:len(x)], at[len(x):]
-            when, host = first_meeting(mine, codes, here[used], x_, y_)
-            cell = table["cell"][int(lo)].as_py()
-            first = (host == x_) & (mine[x_, when] == cell)
-            x, y = x[first], y[first]
-            if not len(x):
-                continue
-            links = np.bincount(x, weight[y], len(here)) + np.bincount(y, weight[x], len(here))
-            linked = np.flatnonzero(links)
-            a, b = local_forest(here[x], here[y])
-            yield pa.RecordBatch.from_pydict({
-                "rep": np.concatenate([here[linked], a]), "least": pa.array(np.concatenate([np.zeros(len(linked), np.int64), b]), mask=np.arange(len(linked) + len(a)) < len(linked)),
-                "others": np.concatenate([links[linked].astype(np.int64), np.zeros(len(a), np.int64)])})
+            x, y = own[x] + lo, look[y] + lo
+            x, y = x[ids[x] != ids[y]], y[ids[x] != ids[y]]
+            if len(x):
+                found.append((x, y))
+                n += len(x)
+            if n > PAIRS or hi == offsets[-1]:
+                if found:
+                    yield from _first_links(table, ids, copies, lengths, *map(np.concatenate, zip(*found)), tables, probes, scale)
+                found, n = [], 0
+
+
+def _first_links(table, ids, copies, lengths, x, y, tables: int, probes: int, scale: float):
+    """The facts of those pairs of rows (x at home) that meet for the first time; codes are made once per vector."""
+    cell = table["cell"].to_numpy()
+    for dim in np.unique(lengths[x]):
+        some = lengths[x] == dim
+        _, row, at = np.unique(ids[np.r_[x[some], y[some]]], return_index=True, return_inverse=True)
+        row = np.r_[x[some], y[some]][row]
+        here, weight = ids[row], copies[row]
+        home, near = cells(_unit(matrix(table["embedding"].combine_chunks().take(pa.array(row)))), tables, probes, scale)
+        codes = np.concatenate([home[:, :, None], near], axis=2)
+        a, b, where = at[:some.sum()], at[some.sum():], cell[x[some]]
+        when, host = first_meeting(home, codes, here, a, b)
+        first = (host == a) & (home[a, when] == where)
+        a, b = a[first], b[first]
+        if not len(a):
+            continue
+        links = np.bincount(a, weight[b], len(here)) + np.bincount(b, weight[a], len(here))
+        linked = np.flatnonzero(links)
+        u, w = local_forest(here[a], here[b])
+        yield pa.RecordBatch.from_pydict({
+            "rep": np.concatenate([here[linked], u]),
+            "least": pa.array(np.concatenate([np.zeros(len(linked), np.int64), w]), mask=np.arange(len(linked) + len(u)) < len(linked)),
+            "others": np.concatenate([links[linked].astype(np.int64), np.zeros(len(u), np.int64)])})
 
 
 def near_facts(classes: DataFrame, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE,
