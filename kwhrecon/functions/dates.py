@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kwhrecon.functions.text import as_text, col_of, strip, lower_strip
-
-# Text that means "no date" (compared lower-cased and stripped).
-DATE_NULL_TOKENS = ["", "-", "--", "n/a", "não", "none", "nan", "nat", "não disponível"]
+from kwhrecon.functions.text import as_text, strip
 
 NOT_AVAILABLE = "Não disponível"
 
@@ -42,6 +39,8 @@ _DATE_REWRITES = [
 _CANONICAL = r"^(\d{4}-\d{1,2}-\d{1,2})$"
 # An optional day, an English month name or its first letters, and a year.
 _NAMED = r"^(?:(\d{1,2})[-/. ]+)?([A-Za-z]{3})[A-Za-z]*[-/., ]+(\d{4})$"
+# First letters of the English month names, in order.
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def _g(s: Column, pattern: str, i: int) -> Column:
@@ -50,8 +49,9 @@ def _g(s: Column, pattern: str, i: int) -> Column:
 
 def _named_date(s: Column) -> Column:
     """``10 Feb 2026`` or ``Jan-2026`` (first of the month); null for other words."""
-    day_first = F.regexp_replace(F.initcap(F.regexp_replace(s, _NAMED, "$1 $2 $3")), "^ ", "1 ")
-    return F.try_to_timestamp(day_first, F.lit("d MMM yyyy")).cast("date")
+    at = F.instr(F.lit(_MONTHS), F.lower(_g(s, _NAMED, 2)))
+    day = F.coalesce(F.nullif(_g(s, _NAMED, 1), F.lit("")), F.lit("1"))
+    return F.when(at % 3 == 1, F.concat_ws("-", F.right(s, F.lit(4)), F.floor((at + 2) / 3).cast("string"), day)).try_cast("date")
 
 
 def parse_full_date(c) -> Column:
@@ -71,21 +71,29 @@ def parse_full_date(c) -> Column:
     first = F.substring(s, 1, 1)
     day_first = lambda a, b: F.concat(F.substring(s, 7, 4), F.lit("-"), F.substring(s, a, 2),
                                       F.lit("-"), F.substring(s, b, 2)).try_cast("date")
-    # fast paths: ISO and dd/mm/yyyy need one pattern test; without month names
+    # the common layouts have parts at fixed places and need one pattern test; without month names
     # nothing that starts without a digit is a date; the rewrite chain handles the rest
     return (F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s.try_cast("date"))
-            .when(s.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.coalesce(day_first(4, 1), day_first(1, 4)))
+            .when(s.rlike(rf"^\d{{2}}{_SEP}\d{{2}}{_SEP}\d{{4}}$"), F.coalesce(day_first(4, 1), day_first(1, 4)))
             .when(s.rlike(_NAMED), _named_date(s))
             .when(~first.between("0", "9") | first.isNull(), F.lit(None).cast("date"))
             .otherwise(F.regexp_extract(chain, _CANONICAL, 1).try_cast("date")))
 
 
-_PERIOD_REWRITES = [
-    (r"^(\d{4})-(\d{2})$", "$2-$1"),
-    (r"^(\d{2})/(\d{4})$", "$1-$2"),
-    (r"^(\d{4})-(\d)-\d{1,2}.*$", "0$2-$1"),
-    (r"^(\d{4})-(\d{2})-\d{1,2}.*$", "$2-$1"),
-]
+# Layouts whose month and year stand at fixed places; a date that starts with
+# its year counts by that prefix, whatever follows the day.
+_MONTH_YEAR = r"^\d{2}[-/]\d{4}$"
+_YEAR_MONTH = r"^\d{4}-\d{2}(-\d{1,2}.*)?$"
+_YEAR_SHORT_MONTH = r"^\d{4}-\d-\d{1,2}.*$"
+
+
+def _month_text(c, month_year, year_month, short_month, other) -> Column:
+    """The value built for the layout of ``c``; each builder takes the stripped text."""
+    s = strip(c)
+    return (F.when(s.rlike(_MONTH_YEAR), month_year(s))
+            .when(s.rlike(_YEAR_MONTH), year_month(s))
+            .when(s.rlike(_YEAR_SHORT_MONTH), short_month(s))
+            .otherwise(other))
 
 
 def parse_reference_period(c) -> Column:
@@ -94,15 +102,13 @@ def parse_reference_period(c) -> Column:
     ``YYYY-MM``, ``MM-YYYY``, ``MM/YYYY`` and a year-first date prefix are
     read directly; anything else goes through F1.
     """
-    s = strip(c)
-    chain = s
-    for pattern, repl in _PERIOD_REWRITES:
-        chain = F.regexp_replace(chain, pattern, repl)
-    direct = F.nullif(F.regexp_extract(chain, r"^(\d{2}-\d{4})$", 1), F.lit(""))
-    # fast paths for the common layouts; the rewrite chain handles the rest
-    return (F.when(s.rlike(r"^\d{2}-\d{4}$"), s)
-            .when(s.rlike(r"^\d{2}/\d{4}$"), F.translate(s, "/", "-"))
-            .otherwise(F.coalesce(direct, F.date_format(parse_full_date(c), "MM-yyyy"))))
+    part = F.substring
+    return _month_text(
+        c,
+        lambda s: F.translate(s, "/", "-"),
+        lambda s: F.concat(part(s, 6, 2), F.lit("-"), part(s, 1, 4)),
+        lambda s: F.concat(F.lit("0"), part(s, 6, 1), F.lit("-"), part(s, 1, 4)),
+        F.date_format(parse_full_date(c), "MM-yyyy"))
 
 
 def format_full_date(c, default: str = NOT_AVAILABLE) -> Column:
@@ -127,8 +133,13 @@ def period_month(c) -> Column:
     Deliberate difference: an out-of-range month (``13-2025``) gives null,
     an unmatched key, instead of aborting the whole run.
     """
-    p = parse_reference_period(c)
-    return F.regexp_replace(p, r"^(\d{2})-(\d{4})$", "$2-$1-01").try_cast("date")
+    part = F.substring
+    return _month_text(
+        c,
+        lambda s: F.concat(part(s, 4, 4), F.lit("-"), part(s, 1, 2), F.lit("-01")).try_cast("date"),
+        lambda s: F.concat(part(s, 1, 7), F.lit("-01")).try_cast("date"),
+        lambda s: F.concat(part(s, 1, 5), F.lit("0"), part(s, 6, 1), F.lit("-01")).try_cast("date"),
+        F.trunc(parse_full_date(c), "MM"))
 
 
 def period_sort_key(c) -> Column:

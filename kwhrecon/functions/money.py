@@ -16,13 +16,17 @@ from kwhrecon.functions.text import as_text, col_of, strip
 MONEY = "decimal(18,2)"
 # Numeric inputs (rates such as the tariff) keep six decimals when summed.
 MEASURE = "decimal(24,6)"
-# Text that means "no number".
-NUMBER_NULL_TOKENS = ["", "-", "--", " - "]
+# Blank text and dashes alone ("", "-", "--") are no numbers.
 _PLAIN_NUMBER = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 
 
 def _to_number(s: Column, kind: str) -> Column:
-    return F.when(s.rlike(_PLAIN_NUMBER), s.try_cast(kind))
+    return F.regexp_extract(s, _PLAIN_NUMBER, 0).try_cast(kind)
+
+
+def _decimal_point(s: Column) -> Column:
+    """``1.234,56`` -> ``1234.56``."""
+    return F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
 
 
 def br_number(c, default=None, dtype=None, kind: str = MEASURE) -> Column:
@@ -37,12 +41,9 @@ def br_number(c, default=None, dtype=None, kind: str = MEASURE) -> Column:
     dflt = F.lit(default).cast(kind)
     if dtype is not None and isinstance(dtype, NumericType):
         return F.coalesce(c.cast(MEASURE), dflt)
-    raw = as_text(c)
-    s = strip(raw)
-    cleaned = F.when(s.contains(","), F.translate(F.translate(s, ".", ""), ",", ".")).otherwise(s)
-    val = F.when(raw.isNull() | raw.isin(NUMBER_NULL_TOKENS) | s.isin(NUMBER_NULL_TOKENS), F.lit(None).cast(kind)) \
-        .otherwise(_to_number(cleaned, kind))
-    return F.coalesce(val, dflt)
+    s = strip(as_text(c))
+    val = _to_number(F.when(s.contains(","), _decimal_point(s)).otherwise(s), kind)
+    return val if default is None else F.coalesce(val, dflt)
 
 
 def charge_money(c, strict_br: bool = False, dtype=None) -> Column:
@@ -57,7 +58,7 @@ def charge_money(c, strict_br: bool = False, dtype=None) -> Column:
     if not strict_br:
         return br_number(c, kind=MONEY)
     s = strip(as_text(c))
-    return _to_number(F.translate(F.translate(s, ".", ""), ",", "."), MONEY)
+    return _to_number(_decimal_point(s), MONEY)
 
 
 def clamp_non_negative(c) -> Column:

@@ -31,9 +31,3 @@ def lower_strip(c) -> Column:
 def is_blank(c) -> Column:
     """Null or only whitespace."""
     return col_of(c).isNull() | (strip(c) == F.lit(""))
-
-
-def null_if_in(c: Column, tokens, lowered: bool = True) -> Column:
-    """``c`` unless its (lower-cased, stripped) text is one of ``tokens``."""
-    probe = lower_strip(c) if lowered else strip(c)
-    return F.when(probe.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
