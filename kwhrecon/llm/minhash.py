@@ -17,9 +17,9 @@ their share of equal bins is concentrated around it.
    its members are compared with those of other components too; after that most
    of a bucket is known to hang together.
 4. Members of a bucket that are still in different components meet block by
-   block (``BLOCK`` members each, so no bucket is capped). Pairs whose sketches
-   agree in at least ``NEAR`` of the bins are compared exactly, where they meet;
-   only links leave the block.
+   block (``BLOCK`` members each, so no bucket is capped), first as sketches.
+   Members of pairs whose sketches agree in at least ``NEAR`` of the bins meet
+   again with their texts and are compared exactly; only links leave the block.
 
 Comparison of a class with many others is cut into parts of ``BLOCK``; the sets
 are rebuilt from the texts and compared in full. Only classes that share a
@@ -144,13 +144,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "part", "b", "text").mapInArrow(_verify, "a long, b long")
 
 
-def _close_links(batches, pivots: bool):
-    """Links between members of a block meeting whose components differ.
+def _blocks(batches, pivots: bool):
+    """Per block meeting: (table, ids, comp, candidates, rows of the left side).
 
-    A pair is looked at by the first band that its members share, and by no
-    other; if its sketches nearly agree in enough bins, the whole sets are
-    compared. Links join components at once, so pairs that already hang
-    together are passed over and a block gives out fewer links than members.
+    ``candidates(x, now)`` are the rows on the right whose pair with row x is
+    due: in another component by ``now``, sketches equal in enough bins, and
+    the block's bucket is the first that both share.
     """
     for table, offsets in grouped(batches, ["key", "i", "j"]):
         keys, ids, comp, side = (table[c].to_numpy() for c in ("key", "rep", "comp", "side"))
@@ -158,23 +157,52 @@ def _close_links(batches, pivots: bool):
         bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(ids), BANDS)
         for lo, hi in itertools.pairwise(offsets):
             left, right = np.flatnonzero(side[lo:hi] == 0) + lo, np.flatnonzero(side[lo:hi] == 1) + lo
-            now, sets, found = comp.copy(), {}, []
 
-            def set_of(row):
-                if ids[row] not in sets:
-                    sets[ids[row]] = shingles(table["text"][int(row)].as_py())
-                return sets[ids[row]]
-
-            for x in left if len(right) else []:
+            def candidates(x, now):
                 y = right[(now[right] != now[x]) & (ids[right] != ids[x] if pivots else ids[right] > ids[x])]
                 y = y[(prints[y] == prints[x]).mean(1) >= NEAR]
-                y = y[bands[x][(bands[y] == bands[x]).argmax(1)] == keys[x]]
-                for k in y:
-                    if now[k] != now[x] and similar(set_of(x), set_of(k)):
-                        found.append((ids[x], ids[k]))
-                        now[now == now[k]] = now[x]
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": np.array([f[0] for f in found]), "b": np.array([f[1] for f in found])})
+                return y[bands[x][(bands[y] == bands[x]).argmax(1)] == keys[x]]
+
+            yield table, ids, comp, candidates, left if len(right) else []
+
+
+def _near_rows(batches, pivots: bool):
+    """The rows of a block meeting that are in a pair to be compared."""
+    last, due = None, None
+    for table, _, comp, candidates, left in _blocks(batches, pivots):
+        if table is not last:
+            if last is not None and due.any():
+                yield from last.filter(pa.array(due)).to_batches()
+            last, due = table, np.zeros(len(table), bool)
+        for x in left:
+            y = candidates(x, comp)
+            due[y] = True
+            due[x] |= len(y) > 0
+    if last is not None and due.any():
+        yield from last.filter(pa.array(due)).to_batches()
+
+
+def _close_links(batches, pivots: bool):
+    """Links between members of a block meeting whose components differ.
+
+    Links join components at once, so pairs that already hang together are
+    passed over and a block gives out fewer links than members.
+    """
+    for table, ids, comp, candidates, left in _blocks(batches, pivots):
+        now, sets, found = comp.copy(), {}, []
+
+        def set_of(row):
+            if ids[row] not in sets:
+                sets[ids[row]] = shingles(table["text"][int(row)].as_py())
+            return sets[ids[row]]
+
+        for x in left:
+            for k in candidates(x, now):
+                if now[k] != now[x] and similar(set_of(x), set_of(k)):
+                    found.append((ids[x], ids[k]))
+                    now[now == now[k]] = now[x]
+        if found:
+            yield pa.RecordBatch.from_pydict({"a": np.array([f[0] for f in found]), "b": np.array([f[1] for f in found])})
 
 
 def remaining_links(live: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFrame, pivots: int | None) -> DataFrame:
@@ -186,11 +214,10 @@ def remaining_links(live: DataFrame, comp: DataFrame, sketches: DataFrame, texts
                   .select("key", "rep", F.coalesce("component_id", "rep").alias("comp")))
     apart = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                    .where("lo < hi").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")))
-    whole = sketches.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    open_ = (rows.join(apart, "key").join(whole, "rep")
+    open_ = (rows.join(apart, "key").join(sketches, "rep")
              .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")))
     every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-    columns = ["rep", "comp", "print", "bands", "text"]
+    columns = ["rep", "comp", "print", "bands"]
     if pivots:
         chosen = open_.where(F.pmod(F.xxhash64("rep", F.lit("pivot")), F.ceil(F.col("n") / pivots).cast("long")) == 0)
         left = chosen.select("key", F.lit(0).alias("i"), every.alias("j"), F.lit(0).alias("side"), *columns)
@@ -198,8 +225,12 @@ def remaining_links(live: DataFrame, comp: DataFrame, sketches: DataFrame, texts
     else:
         left = open_.select("key", F.col("part").alias("i"), every.alias("j"), F.lit(0).alias("side"), *columns)
         right = open_.select("key", every.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), *columns)
-    met = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "rep")
-    return met.select("key", "i", "j", "side", *columns).mapInArrow(lambda batches: _close_links(batches, bool(pivots)), "a long, b long")
+    columns = ["key", "i", "j", "side", *columns]
+    meet = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "rep")
+    met = meet(left.unionByName(right)).select(*columns)
+    near = stored(met.mapInArrow(lambda batches: _near_rows(batches, bool(pivots)), met.schema))
+    whole = meet(near.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")).select(*columns, "text")
+    return whole.mapInArrow(lambda batches: _close_links(batches, bool(pivots)), "a long, b long")
 
 
 def near_dedup(documents: DataFrame) -> DataFrame:
