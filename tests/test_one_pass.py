@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kwhrecon.functions.keys import portal_uc, uc_text
+from kwhrecon.operators import grouping as G
 from kwhrecon.operators import portal as J
 from kwhrecon.operators import reconcile as R
 
@@ -52,3 +53,11 @@ def test_short_text_alone_is_lower_cased(spark):
         s = None if r.t is None else r.t.strip()
         assert r.p == (None if s is None or bare(s).lower() in ("", "nan", "none") else bare(s))
         assert r.u == (None if s is None or s.lower() in ("", "nan", "none") else bare(s))
+
+
+def test_kinds_of_a_row_are_compiled(spark, sample_base):
+    rows = sample_base.withColumn("ord", F.struct("src", "row_id"))
+    for mode in ("default", "distributor", "cnpj"):
+        out = G.apply_grouping(rows, mode)
+        assert "Generate explode(_kinds" in plan(out)
+        assert "_kinds" not in out.columns
